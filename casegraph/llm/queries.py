@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forest import hash_prefix_forest
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import best_fit_packing
 from .simple8b import token_files
@@ -45,6 +46,10 @@ def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_prefix_forest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -58,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op5_mix_sources, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op5_mix_sources, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
