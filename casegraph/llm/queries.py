@@ -11,6 +11,7 @@ from .forest import hash_prefix_forest
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import best_fit_packing
+from .quality import quality_scores
 from .simple8b import token_files
 from .suffix import repeat_report
 from .topk import exact_top_k
@@ -59,6 +60,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -68,7 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op8_neighbour_vote, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
