@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .extract import extract_text
 from .forest import hash_prefix_forest
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -15,6 +16,7 @@ from .quality import quality_scores
 from .simple8b import token_files
 from .suffix import repeat_report
 from .topk import exact_top_k
+from .warc import archive
 
 
 OP1_SQL = """
@@ -29,6 +31,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+#: The files' own columns (urlkey, ts, run, offset, place) are left out on both sides by the query.
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+l AS (SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM d LEFT JOIN l USING (payload_digest)
+"""
+
+
 def tokenizer() -> str:
     """The public tokenizer file; the same path holds on every executor."""
     import public_tokenizers
@@ -60,6 +74,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,8 +95,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op8_neighbour_vote, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op6_warc_archive, op7_page_difference, op8_neighbour_vote, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_block_top_k": OP1_SQL}
+    return {"op1_block_top_k": OP1_SQL, "op6_warc_archive": OP6_SQL}
