@@ -32,8 +32,8 @@ def normalize_org(c: Column) -> Column:
     name = F.trim(cut(name, r"^bilaga\s+", r"^övrigt\s+yttrande\s+", r"^yttrande\s+från\s+"))
     name = F.trim(cut(name, r"\s*bilaga\s*(?:till\s+remissvar)?\s*$", r"\s*bilaga\s+\d+\s*$", r"\s*svar\s*$", r"\s+AB$"))
     name = F.trim(F.regexp_replace(name, r"\s*\([A-ZÄÖÅ]{2,6}\)\s*$", ""))
-    kept = F.exists(F.array(*map(F.lit, rules.KEEP_FINAL_S)), lambda e: F.endswith(F.lower(name), e))
-    name = F.when(name.endswith("s") & (F.length(name) > 6) & ~kept, F.substring(name, F.lit(1), F.length(name) - 1)).otherwise(name)
+    kept = "|".join(e[:-1] for e in rules.KEEP_FINAL_S)
+    name = F.regexp_replace(name, rf"{FLAGS}^(.{{6,}})(?<!{kept})(?-i:s)$", "$1")
     name = F.regexp_replace(name, FLAGS + r"\bAP[\s–]+fonden\b", "AP-fonden")
     name = F.regexp_replace(name, FLAGS + r"\b(Patent|Post|Havs|Tandvårds|Klimat|Arbets|Miljö)\s+och\s+", "$1- och ")
     return F.when(has_contact(raw) | name.rlike(FLAGS + rules.DOCUMENT_TITLE), "").otherwise(name)
@@ -49,17 +49,21 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """E6. 1 for names equal after folding; 0.8 + 0.2 * ratio of lengths where one holds the other and is at least half
-    as long or stands as whole words in it; else twice the shared bigrams over the sum of both sides'."""
-    x, y = folded(a), folded(b)
+def _folded_similarity(x: Column, y: Column) -> Column:
+    """similarity of names that are folded."""
     short, long = F.when(F.length(x) > F.length(y), y).otherwise(x), F.when(F.length(x) > F.length(y), x).otherwise(y)
     ratio = F.length(short) / F.length(long)
     whole = F.regexp_like(long, F.concat(F.lit(FLAGS + r"\b"), F.regexp_replace(short, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\b")))
     ga, gb = bigrams(x), bigrams(y)
     dice = F.when((F.size(ga) > 0) & (F.size(gb) > 0), F.size(F.array_intersect(ga, gb)) * 2 / (F.size(ga) + F.size(gb))).otherwise(0.0)
+    return F.when(x == y, 1.0).when(F.contains(long, short) & ((ratio >= 0.5) | whole), F.lit(0.8) + F.lit(0.2) * ratio).otherwise(dice).cast("double")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """E6. 1 for names equal after folding; 0.8 + 0.2 * ratio of lengths where one holds the other and is at least half
+    as long or stands as whole words in it; else twice the shared bigrams over the sum of both sides'."""
     empty = F.coalesce((F.length(a) == 0) | (F.length(b) == 0), F.lit(True))
-    return F.when(empty, 0.0).when(x == y, 1.0).when(F.contains(long, short) & ((ratio >= 0.5) | whole), F.lit(0.8) + F.lit(0.2) * ratio).otherwise(dice).cast("double")
+    return F.when(empty, 0.0).otherwise(_folded_similarity(folded(a), folded(b)))
 
 
 def municipal(c: Column) -> Column:
@@ -121,7 +125,7 @@ def _grams(c: Column, n: int) -> Column:
 def match_stem(names: DataFrame, entities: DataFrame, least: int = 6) -> DataFrame:
     """E5. An entity's name without its ending holds the name without Svensk(a) or Sveriges, of `least` characters or
     more. Names meet entities on the name's first six characters as a gram of the stem, so only holders can meet."""
-    stem = reduce(lambda c, e: F.when(F.endswith(c, F.lit(e)), F.trim(F.substring(c, F.lit(1), F.length(c) - len(e)))).otherwise(c), rules.ORG_ENDINGS, F.lower("entity_name"))
+    stem = reduce(lambda c, e: F.trim(F.regexp_replace(c, e + "$", "")), rules.ORG_ENDINGS, F.lower("entity_name"))
     part = F.regexp_replace(F.regexp_replace(F.lower("name"), r"^svenska?\s+", ""), r"^sveriges\s+", "")
     left = names.withColumn("part", part).where(F.length("part") >= least).withColumn("gram", F.substring("part", 1, least))
     right = entities.withColumn("stem", stem).withColumn("gram", F.explode(_grams(F.col("stem"), least)))
@@ -138,8 +142,8 @@ def match_fuzzy(names: DataFrame, entities: DataFrame) -> DataFrame:
     left = names.distinct().withColumn("gram", F.explode(forms(F.col("name"))))
     right = entities.select("entity_id", "entity_name", F.explode(forms(F.col("entity_name"))).alias("gram"))
     pairs = left.join(right, "gram").groupBy("name", "entity_id", "entity_name").agg(F.count("*").alias("shared"))
-    low = lambda c: F.lower(c)
-    scored = pairs.withColumn("score", F.greatest(similarity(low("name"), low("entity_name")), similarity(municipal(low("name")), municipal(low("entity_name")))))
+    sides = {f"_{s}{k}": folded(f(F.lower(c))) for s, c in (("n", "name"), ("e", "entity_name")) for k, f in enumerate((lambda x: x, municipal))}
+    scored = pairs.withColumns(sides).withColumn("score", F.greatest(*(_folded_similarity(F.col(f"_n{k}"), F.col(f"_e{k}")) for k in (0, 1))))
     best = scored.groupBy("name").agg(F.max_by(F.struct("entity_id", "entity_name", "score"), F.struct(F.col("score"), -F.length("entity_name"), F.reverse("entity_name"), F.xxhash64("entity_id"))).alias("b"))
     band = F.when(F.col("b.score") >= 0.9, "high").when(F.col("b.score") >= 0.7, "medium").when(F.col("b.score") >= 0.5, "low").otherwise("unmatched")
     kept = band != "unmatched"
