@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import FLAGS
 from ..functions.text import normal_form
+from .components import checkpointed
 
 
 def has_contact(c: Column) -> Column:
@@ -71,19 +72,27 @@ def municipal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, FLAGS + r"\bstad\b", "kommun"), r"\s+", " "))
 
 
-def _matched(df: DataFrame, confidence: str, score: float, method: str) -> DataFrame:
-    """One match per name: of several entities the least id."""
-    best = df.groupBy("name").agg(F.min_by(F.struct("entity_id", "entity_name"), "entity_id").alias("m"))
-    return best.select("name", "m.entity_id", F.col("m.entity_name").alias("matched_name"), F.lit(confidence).alias("confidence"), F.lit(score).alias("score"), F.lit(method).alias("method"))
+def _candidates(df: DataFrame, step: int, score: float, method: str) -> DataFrame:
+    """Pairs (name, entity_id, entity_name) of one matching step as candidates; of several steps the least decides."""
+    return df.select("name", "entity_id", "entity_name", F.lit(step).alias("step"), F.lit(score).alias("score"), F.lit(method).alias("method"))
 
 
-def match_exact(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """E3. Equal without case, or then without blanks and hyphens. names: name; entities: entity_id, entity_name."""
+def _decide(candidates: DataFrame) -> DataFrame:
+    """One match per name: the first step's, of several entities the least id."""
+    best = candidates.groupBy("name").agg(F.min_by(F.struct("entity_id", "entity_name", "score", "method"), F.struct("step", "entity_id")).alias("m"))
+    return best.select("name", "m.entity_id", F.col("m.entity_name").alias("matched_name"), F.lit("high").alias("confidence"), "m.score", "m.method")
+
+
+def exact_candidates(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """E3. Equal without case (step 1), equal without blanks and hyphens (2). names: name; entities: entity_id, entity_name."""
     plain, tight = lambda c: F.lower(c), lambda c: F.lower(F.regexp_replace(c, r"[\s-]", ""))
-    same = names.withColumn("k", plain(F.col("name"))).join(entities.withColumn("k", plain(F.col("entity_name"))), "k")
-    near = names.withColumn("k", tight(F.col("name"))).join(entities.withColumn("k", tight(F.col("entity_name"))), "k")
-    first = _matched(same, "high", 1.0, "exact")
-    return first.unionByName(_matched(near, "high", 1.0, "exact").join(first, "name", "left_anti"))
+    meet = lambda key: names.withColumn("k", key(F.col("name"))).join(entities.withColumn("k", key(F.col("entity_name"))), "k")
+    return _candidates(meet(plain), 1, 1.0, "exact").unionByName(_candidates(meet(tight), 2, 1.0, "exact"))
+
+
+def match_exact(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """E3. The exact matches."""
+    return _decide(exact_candidates(names, entities))
 
 
 def aliases(spark) -> DataFrame:
@@ -91,45 +100,50 @@ def aliases(spark) -> DataFrame:
     return spark.createDataFrame([(k.upper(), v.lower()) for k, v in rules.ABBREVIATIONS.items()], "alias string, target string")
 
 
-def match_abbreviation(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """E4. (matches, short names without one). A name of up to 5 characters matches by what it stands for, or an entity
-    with it in brackets; the rest go to review (low, 0). A longer one matches by its first word's expansion or
-    brackets, or by any alias of 3 characters or more that both hold.
+def abbreviation_candidates(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """E4. A name of up to 5 characters matches by what it stands for (step 3) or an entity with it in brackets (4); a
+    longer one by its first word's expansion or brackets (5), or by any alias of 3 characters or more that both hold (6).
 
     The table of aliases is fixed, so each entity is first reduced to the aliases it fits; names then meet entities
     on an alias or a bracketed word, never all with all.
     """
     table = F.broadcast(aliases(names.sparkSession))
     low, up = F.lower("entity_name"), F.upper("entity_name")
-    fits = entities.join(table, F.contains(low, F.col("target")) | F.contains(F.col("target"), low)).select("alias", "entity_id", "entity_name", F.contains(low, F.col("target")).alias("full"))
+    full = F.contains(low, F.col("target"))
+    fits = entities.join(table, full | F.contains(F.col("target"), low)).select("alias", "entity_id", "entity_name", full.alias("full"))
     brackets = entities.select(F.explode(F.regexp_extract_all(up, F.lit(r"\(([^)]+)\)"), F.lit(1))).alias("alias"), "entity_id", "entity_name")
     holds = entities.join(table.where(F.length("alias") >= 3), F.contains(up, F.col("alias"))).select("alias", "entity_id", "entity_name")
     short = names.where(F.length("name") <= 5).withColumn("alias", F.upper("name"))
     long = names.where(F.length("name") > 5)
-    first = long.withColumn("alias", F.upper(F.element_at(F.split("name", r"[\s-]"), 1)))
-    known = first.join(table.select("alias"), "alias", "left_semi")
+    known = long.withColumn("alias", F.upper(F.element_at(F.split("name", r"[\s-]"), 1))).join(table.select("alias"), "alias", "left_semi")
     inside = long.join(table.where(F.length("alias") >= 3).select("alias"), F.contains(F.upper("name"), F.col("alias"))).select("name", "alias")
-    steps = [
-        short.join(fits, "alias"), short.join(brackets, "alias"), known.join(fits.where("full").select("alias", "entity_id", "entity_name"), "alias").unionByName(known.join(brackets, "alias")),
-        inside.join(holds, "alias"),
-    ]
-    found = reduce(lambda done, step: done.unionByName(_matched(step.select("name", "entity_id", "entity_name"), "high", 1.0, "abbreviation").join(done.select("name"), "name", "left_anti")), steps[1:], _matched(steps[0].select("name", "entity_id", "entity_name"), "high", 1.0, "abbreviation"))
-    nothing = short.join(found.select("name"), "name", "left_anti").select("name", F.lit(None).cast(entities.schema["entity_id"].dataType).alias("entity_id"), F.lit(None).cast("string").alias("matched_name"), F.lit("low").alias("confidence"), F.lit(0.0).alias("score"), F.lit("abbreviation").alias("method"))
-    return found, nothing
+    either = fits.where("full").select("alias", "entity_id", "entity_name").unionByName(brackets)
+    steps = (short.join(fits, "alias"), short.join(brackets, "alias"), known.join(either, "alias"), inside.join(holds, "alias"))
+    return reduce(DataFrame.unionByName, (_candidates(df, 3 + i, 1.0, "abbreviation") for i, df in enumerate(steps)))
+
+
+def match_abbreviation(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """E4. The matches by abbreviation."""
+    return _decide(abbreviation_candidates(names, entities))
 
 
 def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def match_stem(names: DataFrame, entities: DataFrame, least: int = 6) -> DataFrame:
+def stem_candidates(names: DataFrame, entities: DataFrame, least: int = 6) -> DataFrame:
     """E5. An entity's name without its ending holds the name without Svensk(a) or Sveriges, of `least` characters or
-    more. Names meet entities on the name's first six characters as a gram of the stem, so only holders can meet."""
+    more (step 7). Names meet entities on the name's first six characters as a gram of the stem, so only holders can meet."""
     stem = reduce(lambda c, e: F.trim(F.regexp_replace(c, e + "$", "")), rules.ORG_ENDINGS, F.lower("entity_name"))
     part = F.regexp_replace(F.regexp_replace(F.lower("name"), r"^svenska?\s+", ""), r"^sveriges\s+", "")
     left = names.withColumn("part", part).where(F.length("part") >= least).withColumn("gram", F.substring("part", 1, least))
     right = entities.withColumn("stem", stem).withColumn("gram", F.explode(_grams(F.col("stem"), least)))
-    return _matched(left.join(right, "gram").where(F.contains("stem", "part")), "high", 0.95, "stem")
+    return _candidates(left.join(right, "gram").where(F.contains("stem", "part")), 7, 0.95, "stem")
+
+
+def match_stem(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """E5. The matches by stem."""
+    return _decide(stem_candidates(names, entities))
 
 
 def match_fuzzy(names: DataFrame, entities: DataFrame) -> DataFrame:
@@ -152,18 +166,24 @@ def match_fuzzy(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
     """E8. Each distinct non-empty name through exact, abbreviation, stem and fuzzy matching; the first step that
-    matches decides. Columns: name, entity_id, matched_name, confidence, score, method."""
-    names = names.where(F.trim("name") != "").select("name").distinct()
-    rest = lambda df, done: df.join(done.select("name"), "name", "left_anti")
-    exact = match_exact(names, entities)
-    left = rest(names, exact)
-    abbreviated, review = match_abbreviation(left, entities)
-    left = rest(rest(left, abbreviated), review)
-    stems = match_stem(left, entities)
-    left = rest(left, stems)
-    fuzzy = match_fuzzy(left, entities)
-    none = rest(left, fuzzy).select("name", F.lit(None).cast(entities.schema["entity_id"].dataType).alias("entity_id"), F.lit(None).cast("string").alias("matched_name"), F.lit("unmatched").alias("confidence"), F.lit(None).cast("double").alias("score"), F.lit("none").alias("method"))
-    return reduce(DataFrame.unionByName, (exact, abbreviated, review, stems, fuzzy, none))
+    matches decides. A name of up to 5 characters that no step before the stem matches goes to review (low, 0).
+    Columns: name, entity_id, matched_name, confidence, score, method.
+
+    Steps give candidates side by side and one aggregate decides; what is decided is checkpointed, so the fuzzy match,
+    which is the dear one, meets the other names only and nothing is computed twice.
+    """
+    names = checkpointed(names.where(F.trim("name") != "").select("name").distinct())
+    entities = checkpointed(entities.select("entity_id", "entity_name").where("entity_name <> ''"))
+    long = names.where(F.length("name") > 5)
+    quick = reduce(DataFrame.unionByName, (exact_candidates(names, entities), abbreviation_candidates(names, entities), stem_candidates(long, entities)))
+    decided = checkpointed(_decide(quick))
+    left = names.join(decided.select("name"), "name", "left_anti")
+    nobody, unknown = F.lit(None).cast(entities.schema["entity_id"].dataType).alias("entity_id"), F.lit(None).cast("string").alias("matched_name")
+    review = left.where(F.length("name") <= 5).select("name", nobody, unknown, F.lit("low").alias("confidence"), F.lit(0.0).alias("score"), F.lit("abbreviation").alias("method"))
+    rest = checkpointed(left.where(F.length("name") > 5))
+    fuzzy = rest.join(match_fuzzy(rest, entities), "name", "left")
+    fuzzy = fuzzy.select("name", "entity_id", "matched_name", F.coalesce("confidence", F.lit("unmatched")).alias("confidence"), "score", F.coalesce("method", F.lit("none")).alias("method"))
+    return decided.unionByName(review).unionByName(fuzzy)
 
 
 def _rank(c: Column) -> Column:

@@ -163,7 +163,7 @@ def actor_responses(responses: DataFrame, cases: DataFrame, actor=None) -> DataF
     own = responses if actor is None else responses.where(F.col("actor_id") == actor)
     stance = F.coalesce((F.col("stance") != "no_position") & (F.col("stance") != ""), F.lit(False))
     attached = F.coalesce(F.lower("filename").contains("bilaga"), F.lit(False))
-    order = Window.partitionBy("actor_id", "case_id").orderBy(stance.desc(), attached.asc(), F.coalesce("filename", F.lit("")))
+    order = Window.partitionBy("actor_id", "case_id").orderBy(stance.desc(), attached.asc(), F.coalesce("filename", F.lit("")), "stance")
     ranked = own.withColumn("_n", F.row_number().over(order))
     out = ranked.groupBy("actor_id", "case_id").agg(
         F.max(F.when(F.col("_n") == 1, F.col("filename"))).alias("primary_file"), F.max(F.when(F.col("_n") == 1, F.col("stance"))).alias("primary_stance"),
