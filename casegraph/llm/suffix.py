@@ -13,17 +13,22 @@ _rng = np.random.default_rng(31)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(0, 2**63)) * 2 + 1
 #: Bytes of the grams whose smallest hash names a window.
-GRAM = 32
+GRAM = 24
 
 
 def _gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of every gram of a text, by doubling: gram is a power of two."""
-    h = _BYTE[text]
-    size = 1
-    while size < gram:
-        h = h[:-size] * np.uint64(pow(_BASE, size, 2**64)) + h[size:]
-        size *= 2
-    return mix(h)
+    """A hash of every gram of a text: hashes of powers of two by doubling, joined to the gram's length."""
+    power, size, out, done = _BYTE[text], 1, None, 0
+    while gram:
+        if gram & 1:
+            n = len(text) - done - size + 1
+            out = power[done : done + n] if out is None else out[:n] * np.uint64(pow(_BASE, size, 2**64)) + power[done : done + n]
+            done += size
+        gram >>= 1
+        if gram:
+            power = power[:-size] * np.uint64(pow(_BASE, size, 2**64)) + power[size:]
+            size *= 2
+    return mix(out)
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -188,7 +193,7 @@ def _table(columns: dict):
     return pa.table({n.split()[0]: pa.array(columns[n.split()[0]], kinds.get(n.split()[0], pa.int64())) for n in _SNIPPETS.split(", ")})
 
 
-def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 8 << 20, salt_rows: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 << 20, salt_rows: int = 20_000) -> DataFrame:
     """docs with, for each row, its UTF-8 text without the bytes that a string of `length` bytes covers which also
     starts earlier: in a row of a smaller doc_id, or in the same text at a smaller place.
 
@@ -196,8 +201,8 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 8 <<
     runs). Strings are judged on the input. Null text is empty. A null doc_id counts as smaller than all; rows with
     equal doc_id stand in the order of their texts. Any other columns, of any name, come back in row.
 
-    1. Each window of `length` bytes is named by the 32-byte gram in it whose hash is least, so equal windows have equal
-       names; neighbouring windows share them, about one name for 35 bytes. Names that stand once in the corpus have
+    1. Each window of `length` bytes is named by the 24-byte gram in it whose hash is least, so equal windows have equal
+       names; neighbouring windows share them, about one name for 39 bytes. Names that stand once in the corpus have
        no repeat. 2. For the others the texts, dealt by document, give snippets that hold all windows of a name. 3. The
        snippets of a name meet: in each task group a suffix array of their windows gives previous and next smaller
        positions among suffixes that share `length` bytes, so the longest previous factor tells the later ones. A name with
@@ -215,9 +220,10 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 8 <<
 
         for batch in slices(batches, "text"):
             data, offsets = binary_column(batch.column("text"))
-            found = [window_runs(data[a:b], length)[0] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [np.unique(window_runs(data[a:b], length)[0], return_counts=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(batch.column("doc").to_numpy(), [len(f) for f in found]))], ["key", "doc"])
+                docs = np.repeat(batch.column("doc").to_numpy(), [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(docs), pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))], ["key", "doc", "times"])
 
     def snippets(_, table, wanted):
         out: dict[str, list] = {n.split()[0]: [] for n in _SNIPPETS.split(", ")}
@@ -225,23 +231,27 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 8 <<
         asked, keys, salts = (wanted.column(c).to_numpy()[order] for c in ("doc", "key", "salts"))
         if len(asked) and len(table):
             data, offsets = binary_column(table.column("text"))
-            for i, (d, n) in enumerate(zip(table.column("doc").to_pylist(), _numbered(table).tolist(), strict=True)):
-                a, b = np.searchsorted(asked, [d, d + 1])
+            docs, nths = table.column("doc").to_numpy(), _numbered(table)
+            seen: set[bytes] = set()
+            for i in np.lexsort((nths, docs)).tolist():  # in order, so the first of equal snippets is the earliest
+                a, b = np.searchsorted(asked, [docs[i], docs[i] + 1])
                 if a == b:
                     continue
                 text = data[offsets[i] : offsets[i + 1]]
                 own, first, windows = window_runs(text, length)
                 by = np.argsort(keys[a:b], kind="stable")
                 at = by[np.minimum(np.searchsorted(keys[a:b][by], own), b - a - 1)]
-                hit = keys[a:b][at] == own
-                raw, count = text.tobytes(), int(hit.sum())
+                hit = np.flatnonzero(keys[a:b][at] == own)
+                raw, count = text.tobytes(), len(hit)
+                texts = [raw[f : f + w + length - 1] for f, w in zip(first[hit].tolist(), windows[hit].tolist(), strict=True)]
+                again = [t in seen or seen.add(t) for t in texts]  # an equal one of this group is earlier: a span at once
                 out["key"] += own[hit].tolist()
-                out["doc"] += [d] * count
-                out["nth"] += [n] * count
+                out["doc"] += [int(docs[i])] * count
+                out["nth"] += [int(nths[i])] * count
                 out["first"] += first[hit].tolist()
                 out["salts"] += salts[a:b][at][hit].tolist()
-                out["bytes"] += [0] * count
-                out["text"] += [raw[f : f + w + length - 1] for f, w in zip(first[hit].tolist(), windows[hit].tolist(), strict=True)]
+                out["bytes"] += [len(t) if r else 0 for t, r in zip(texts, again, strict=True)]
+                out["text"] += [None if r else t for t, r in zip(texts, again, strict=True)]
         return _table(out)
 
     def compare(_, table):
@@ -281,8 +291,8 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 8 <<
             kept.append(text.tobytes())
         return pa.table([table.column("row"), pa.array(kept, pa.binary()), *(pa.array(f) for f in facts)], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    keyed = texts.select("doc", "text").mapInArrow(names, "key long, doc long")
-    alike = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    keyed = texts.select("doc", "text").mapInArrow(names, "key long, doc long, times int")
+    alike = keyed.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1")
     wanted = alike.select("key", "doc", F.ceil(F.col("n") / F.lit(salt_rows)).cast("int").alias("salts"), g)
     texts = texts.withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(groups)))
     cut = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(snippets, _SNIPPETS)
