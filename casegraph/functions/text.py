@@ -63,7 +63,7 @@ def decode_entities(c: Column) -> Column:
 
 def session_code(year: Column) -> Column:
     """T7. The two-character code of a parliament session: a letter and a base-36 digit, H8 for 2020."""
-    index = year.cast("int") - 2020 + 7 * 36 + 8
+    index = year.try_cast("int") - 2020 + 7 * 36 + 8
     letter = F.char(F.lit(65) + F.floor(index / 36).cast("int"))
     return F.when((index >= 0) & (index < 26 * 36), F.concat(letter, F.upper(F.conv((index % 36).cast("string"), 10, 36))))
 
