@@ -64,6 +64,18 @@ def binary_column(array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def release_memory() -> None:
+    """Gives a Python worker's free memory back to the system: it outlives its task, and other stages need the memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finisher of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

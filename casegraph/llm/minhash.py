@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, total_bytes, written
+from .common import components, mix, release_memory, total_bytes, written
 from .shingles import shingle_sets
 from .words import row_ranges, slices
 
@@ -45,7 +45,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def sign(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             sets, offsets = shingle_sets(batch.column("text"), words)
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
@@ -121,7 +121,7 @@ def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int) -> D
         sets: list = [None] * len(rows)
         data = table.column("text").combine_chunks()
         sizes = np.array([len(x) if x else 0 for x in data.to_pylist()])
-        for a, b in row_ranges(sizes, 4 << 20):
+        for a, b in row_ranges(sizes, 1 << 20):
             found, offsets = shingle_sets(data.slice(a, b - a), words)
             for i in range(a, b):
                 sets[i] = found[offsets[i - a] : offsets[i - a + 1]]
@@ -134,6 +134,7 @@ def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             for i, j in link_sets([sets[i] for i in own], [rows[i]["label"] for i in own], percent, asked):
                 out[0].append(rows[own[i]]["rep"])
                 out[1].append(rows[own[j]]["rep"])
+        release_memory()
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     return written(held.groupBy("g").applyInArrow(confirm, "a long, b long"), "links")

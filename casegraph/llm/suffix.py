@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, mix, total_bytes
+from .common import binary_column, mix, release_memory, total_bytes
 from .words import slices
 
 _rng = np.random.default_rng(31)
@@ -193,11 +193,12 @@ def _table(columns: dict):
     return pa.table({n.split()[0]: pa.array(columns[n.split()[0]], kinds.get(n.split()[0], pa.int64())) for n in _SNIPPETS.split(", ")})
 
 
-def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 << 20, salt_rows: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 << 20, salt_rows: int = 20_000, as_text: bool = False) -> DataFrame:
     """docs with, for each row, its UTF-8 text without the bytes that a string of `length` bytes covers which also
     starts earlier: in a row of a smaller doc_id, or in the same text at a smaller place.
 
-    Returns row (a struct of all columns of docs but text), kept (binary), n_bytes, n_removed, n_spans (maximal removed
+    Returns row (a struct of all columns of docs but text), kept (binary; with as_text a string without the bytes of
+    characters that were cut in two), n_bytes, n_removed, n_spans (maximal removed
     runs). Strings are judged on the input. Null text is empty. A null doc_id counts as smaller than all; rows with
     equal doc_id stand in the order of their texts. Any other columns, of any name, come back in row.
 
@@ -267,6 +268,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
         columns = {c: table.column(c).to_numpy()[of] for c in ("key", "doc", "nth")}
         columns |= {"first": table.column("first").to_numpy()[of] + np.array([s[1] for s in spans], np.int64), "salts": np.ones(len(of), np.int32), "bytes": np.array([s[2] for s in spans], np.int64), "text": [None] * len(of)}
         cast = _table(columns).schema
+        release_memory()
         return pa.concat_tables([_table(columns), table.take(pa.array(survivors)).select(cast.names).cast(cast), done.select(cast.names).cast(cast)])
 
     def finish(_, table, spans):
@@ -288,8 +290,9 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
                 gone = np.cumsum(marks[:-1]) > 0
                 facts[1, i], facts[2, i] = gone.sum(), (np.diff(gone.astype(np.int8), prepend=0) == 1).sum()
                 text = text[~gone]
-            kept.append(text.tobytes())
-        return pa.table([table.column("row"), pa.array(kept, pa.binary()), *(pa.array(f) for f in facts)], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+            kept.append(text.tobytes().decode("utf-8", "ignore") if as_text else text.tobytes())
+        release_memory()
+        return pa.table([table.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(f) for f in facts)], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     keyed = texts.select("doc", "text").mapInArrow(names, "key long, doc long, times int")
     alike = keyed.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1")
@@ -302,7 +305,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     second = first.withColumn("part", F.pmod(meet, F.lit(groups * 2))).groupBy("part").applyInArrow(compare, _SNIPPETS)
     spans = second.where("bytes > 0").select("doc", "nth", "first", "bytes", g)
     row = docs.select(F.struct(*(docs[c] for c in extra)).alias("row")).schema["row"].dataType.simpleString()
-    return texts.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(finish, f"row {row}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return texts.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(finish, f"row {row}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_report(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -313,16 +316,6 @@ def repeat_report(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with their texts cut; n_chars, if there, follows. Bytes of a character that was cut in two are left out."""
-
-    def as_text(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-    out = without_repeats(docs, length)
-    row = out.schema["row"].dataType.simpleString()
-    out = out.select("row", "kept").mapInArrow(as_text, f"row {row}, text string")
-    sizes = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.select(*(F.col("text") if c == "text" else sizes.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    out = without_repeats(docs, length, as_text=True)
+    sizes = {"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*((F.col("kept") if c == "text" else sizes.get(c, F.col("row").getField(c))).alias(c) for c in docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import SPACES, binary_column
+from .common import SPACES, binary_column, release_memory
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
@@ -26,12 +26,13 @@ def row_ranges(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def slices(batches, col: str, limit: int = 4 << 20):
+def slices(batches, col: str, limit: int = 2 << 20):
     """Record batches cut so that each holds at most limit bytes of text in col."""
     for batch in batches:
         _, offsets = binary_column(batch.column(col))
         for a, b in row_ranges(np.diff(offsets), limit):
             yield batch.slice(a, b - a)
+    release_memory()
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
