@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; where that is unset (tests) in a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="casegraph-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casegraph-"))
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

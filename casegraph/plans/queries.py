@@ -6,6 +6,7 @@ invited where the line's return flag is N or A; the flag is the stance. Other bi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,13 @@ from ..functions import text as X
 from ..operators import entities as E
 from ..operators import metrics as M
 from ..operators import network as N
+from ..operators import pages as H
 from ..operators import references as G
 from ..operators import search as Q
 from ..operators import stance as P
+from ..operators.components import shared_dir
 from ..sources import tables as S
+from ..streaming import streams as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -512,3 +516,124 @@ def q04_search_actors(spark, d):
   SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) rank FROM s WHERE similarity >= 0.1) WHERE rank <= 10""")
 def q05_similar_documents(spark, d):
     return Q.similar_documents(S.load(spark, d, "embeddings"), [3, 7], threshold=0.1, key="vec_id")
+
+
+# --- pages ---
+@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=')) FROM pages) GROUP BY 1")
+def t00_page_tokens(spark, d):
+    """Anchors of each page, counted over the table of tags."""
+    return H.page_tokens(S.load(spark, d, "pages")).where("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^https?://') THEN h ELSE 'https://www.regeringen.se' || CASE WHEN h LIKE '/%' THEN '' ELSE '/' END || h END AS url
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) WHERE h <> '' AND h NOT LIKE '#%'""")
+def t05_extract_links(spark, d):
+    """By href alone: these pages have no related-links sections."""
+    return H.extract_links(H.page_tokens(S.load(spark, d, "pages")), within=None).select("page_id", "url")
+
+
+@query("SELECT doc_id, CAST(CASE WHEN instr(text, ' the ') > 0 THEN floor((instr(text, ' the ') - 1) / 500) + 1 END AS INTEGER) AS page FROM documents")
+def t10_estimate_page(spark, d):
+    return S.load(spark, d, "documents").select("doc_id", X.estimate_page(F.col("text"), F.lit(" the "), 500).alias("page"))
+
+
+@query("SELECT page_id, upper(regexp_replace(trim(url), '\\s+', ' ', 'g')) AS number FROM (SELECT page_id, regexp_replace(url, '\\.\\s*', '. ', 'g') AS url FROM pages)")
+def t08_normal_number(spark, d):
+    return S.load(spark, d, "pages").select("page_id", X.normal_number(F.col("url")).alias("number"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '\\.pdf$') THEN 'pdf' ELSE 'other' END AS kind FROM pages")
+def t11_file_kind(spark, d):
+    return S.load(spark, d, "pages").select("page_id", X.file_kind(F.col("url")).alias("kind"))
+
+
+@query()
+def t19_numbered_list(spark, d):
+    rows = H.parse_numbered_list(S.load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))[1]
+    return rows.select("id", "total_lines", "numbered_lines", "organizations", "status")
+
+
+# --- names and titles ---
+@query("SELECT p_name || ' ' AS name, min(p_partkey) AS entity_id FROM part GROUP BY p_name")
+def e03_match_exact(spark, d):
+    """Names with a blank behind: equal without blanks and hyphens."""
+    part = S.load(spark, d, "part")
+    entities = part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
+    return E.match_exact(part.select(F.concat("p_name", F.lit(" ")).alias("name")).distinct(), entities).select("name", "entity_id")
+
+
+@query()
+def e07_match_fuzzy(spark, d):
+    part = S.load(spark, d, "part")
+    entities = part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
+    return E.match_fuzzy(part.select(F.concat("p_name", F.lit("x")).alias("name")).distinct(), entities)
+
+
+@query("""WITH e AS (SELECT lower(p_name) k, min(p_partkey) m FROM part GROUP BY 1) SELECT p_partkey AS entity_id, m AS canonical_id FROM part JOIN e ON lower(p_name) = k WHERE p_partkey <> m""")
+def e12_merge_duplicates(spark, d):
+    part = S.load(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("entity_name"), F.lit(0).alias("created_at"))
+    return E.merge_duplicates(part)[1]
+
+
+@query()
+def g03_match_titles(spark, d):
+    """References by part names with another ending, against parts as documents."""
+    part = S.load(spark, d, "part")
+    refs = part.select(F.col("p_partkey").alias("ref_id"), F.col("p_partkey").alias("source_id"), F.concat("p_name", F.lit(" enligt förslaget")).alias("target_number"))
+    docs = part.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("doc_id"))
+    return G.match_titles(refs, docs)
+
+
+# --- adoption and clusters: parts are documents, orders of full lines link them, brands are processes ---
+def part_edges(spark, d):
+    lines = S.load(spark, d, "lineitem").where("l_quantity >= 49").groupBy("l_orderkey").agg(F.min("l_partkey").alias("source_id"), F.max("l_partkey").alias("target_id"))
+    return lines.where("source_id <> target_id").select("source_id", "target_id")
+
+
+_EDGES = "e AS (SELECT min(l_partkey) s, max(l_partkey) t FROM lineitem WHERE l_quantity >= 49 GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey))"
+
+
+@query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT s AS doc_id, t AS other FROM e UNION SELECT DISTINCT t, s FROM e), m AS (SELECT p_partkey doc_id, p_brand process_id FROM part WHERE p_partkey % 2 = 0)
+  SELECT b.doc_id, min(process_id) AS process_id FROM b JOIN m ON m.doc_id = b.other WHERE b.doc_id % 2 <> 0 GROUP BY 1 HAVING count(DISTINCT process_id) = 1""")
+def g07_adopt_orphans(spark, d):
+    members = S.load(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("process_id"))
+    return G.adopt_orphans(part_edges(spark, d), members)[0]
+
+
+@query()
+def g09_clusters_to_processes(spark, d):
+    docs = S.load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("N "), F.col("p_partkey")).alias("doc_number"), F.lit("sou").alias("doc_type"), F.col("p_name").alias("title"), F.col("p_brand").alias("ministry"))
+    return G.clusters_to_processes(G.components(part_edges(spark, d), "source_id", "target_id"), docs)[0]
+
+
+# --- streams: what is there now, to the end ---
+def events_stream(spark, d):
+    schema = S.load(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def streamed(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream has written when it has read all that is there: in complete mode the last batch's rows."""
+    spark, base = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    save = "overwrite" if mode == "complete" else "append"
+    writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(save).parquet(f"{base}/rows"))
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/rows")
+
+
+@query("SELECT DISTINCT user_id AS case_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM events")
+def x02_stream_dedup(spark, d):
+    rows = events_stream(spark, d).withColumnRenamed("user_id", "case_id").withColumn("event_date", F.to_date("ts"))
+    return dated(streamed(R.dedup_events(rows, delay="3650 days"), "append").select("case_id", "event_type", "event_date"), "event_date")
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def x03_stream_task_counts(spark, d):
+    return dated(streamed(R.task_counts(events_stream(spark, d)), "complete").select("window_start", "event_type", "n"), "window_start")
+
+
+@query("""SELECT user_id AS case_id, CAST(date_diff('day', a, b) AS INTEGER) AS days FROM (
+  SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) a, min(CASE WHEN event_type = 'purchase' THEN ts END) b FROM events GROUP BY 1)""")
+def x04_stream_velocity(spark, d):
+    rows = events_stream(spark, d).withColumnRenamed("user_id", "case_id")
+    return streamed(R.stream_velocity(rows, "signup", "purchase"), "complete").select("case_id", "days")
