@@ -14,10 +14,10 @@ _BASE = int(_rng.integers(0, 2**63)) * 2 + 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         inverse = pow(_BASE, -1, 2**64)
         for name, base in (("up", _BASE), ("down", inverse)):
             step = np.full(n, base, np.uint64)
@@ -38,7 +38,7 @@ def shingle_sets(texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     lo, n = int(offsets[0]), int(offsets[-1] - offsets[0])
-    up, down = _powers(n)
+    up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[lower_ascii(data[lo : lo + n])] * up[:n], out=sums[1:])
     word = mix((sums[ends - lo] - sums[starts - lo]) * down[starts - lo] + (ends - starts).astype(np.uint64))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_column, mix, release_memory, total_bytes
+from .shingles import powers
 from .words import slices
 
 _rng = np.random.default_rng(31)
@@ -62,6 +63,14 @@ def window_runs(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(keys), firsts, np.diff(np.append(firsts, n))
 
 
+def snippet_prints(text: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the texts text[first : first + size], from sums over the whole text."""
+    up, down = powers(len(text))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTE[text] * up[: len(text)], out=sums[1:])
+    return mix((sums[firsts + sizes] - sums[firsts]) * down[firsts] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, equal): the suffixes at starts in the order of their first `length` bytes, and for each in that order
     whether it has those bytes in common with the one before. Bytes are compared eight at a time, from the first on;
@@ -203,12 +212,14 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     equal doc_id stand in the order of their texts. Any other columns, of any name, come back in row.
 
     1. Each window of `length` bytes is named by the 24-byte gram in it whose hash is least, so equal windows have equal
-       names; neighbouring windows share them, about one name for 39 bytes. Names that stand once in the corpus have
-       no repeat. 2. For the others the texts, dealt by document, give snippets that hold all windows of a name. 3. The
-       snippets of a name meet: in each task group a suffix array of their windows gives previous and next smaller
-       positions among suffixes that share `length` bytes, so the longest previous factor tells the later ones. A name with
-       over salt_rows snippets is dealt over several groups; what still has a first window there meets in a second
-       round. 4. Spans return to the documents. The texts are exchanged once, as both joins use one partitioning.
+       names; neighbouring windows share them, about one name for 34 bytes, and make a snippet that holds them all.
+    2. Snippets meet by name as a name, a 64-bit print and a place. Of snippets with one name and print all but the
+       earliest repeat as a whole. A name with a single print has no other repeat. 3. For the others the first of each
+       print comes with its bytes, from the texts dealt by document. In each task group a suffix array of their windows
+       gives previous and next smaller positions among suffixes that share `length` bytes, so the longest previous factor
+       tells the later ones. A name with over salt_rows prints is dealt over several groups; what still has a first
+       window there meets in a second round. 4. Spans return to the documents. The texts are exchanged once, as both
+       joins use one partitioning. Two snippets are taken for equal wrongly with a chance of about 2^-64.
     """
     extra = [c for c in docs.columns if c != "text"]
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
@@ -221,38 +232,56 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
 
         for batch in slices(batches, "text"):
             data, offsets = binary_column(batch.column("text"))
-            found = [np.unique(window_runs(data[a:b], length)[0], return_counts=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            if found:
-                docs = np.repeat(batch.column("doc").to_numpy(), [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(docs), pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))], ["key", "doc", "times"])
+            found: list[list[np.ndarray]] = [[], [], [], [], []]
+            for d, a, b in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                text = data[a:b]
+                keys, first, windows = window_runs(text, length)
+                size = windows + length - 1
+                for column, values in zip(found, (keys, snippet_prints(text, first, size), np.full(len(keys), d), first, size), strict=True):
+                    column.append(values)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["key", "print", "doc", "first", "bytes"])
+
+    def of_row(doc_rows: slice, nth: int, several: bool, text: np.ndarray, own) -> np.ndarray:
+        """Which of a document's rows of `own` are this text's: all, unless several texts share the doc."""
+        at = np.arange(doc_rows.start, doc_rows.stop)
+        if not several:
+            return at
+        first, size = own["first"][at], own["bytes"][at]
+        fits = (own["nth"][at] == nth) if "nth" in own else np.zeros(len(at), dtype=bool)
+        unsure = np.flatnonzero((own["nth"][at] < 0 if "nth" in own else True) & (first + size <= len(text)))
+        if len(unsure):
+            fits[unsure] |= snippet_prints(text, first[unsure], size[unsure]) == own["print"][at][unsure]
+        at = at[fits]
+        return at[np.unique(np.stack([first[fits], size[fits]]), axis=1, return_index=True)[1]] if len(at) else at  # equal texts name a place twice
+
+    def by_doc(table, names) -> dict:
+        columns = {n: table.column(n).to_numpy() for n in names}
+        order = np.argsort(columns["doc"], kind="stable")
+        return {n: c[order] for n, c in columns.items()}
 
     def snippets(_, table, wanted):
         out: dict[str, list] = {n.split()[0]: [] for n in _SNIPPETS.split(", ")}
-        order = np.argsort(wanted.column("doc").to_numpy(), kind="stable")
-        asked, keys, salts = (wanted.column(c).to_numpy()[order] for c in ("doc", "key", "salts"))
-        if len(asked) and len(table):
+        if len(wanted) and len(table):
+            own = by_doc(wanted, ("doc", "key", "print", "first", "bytes", "salts"))
             data, offsets = binary_column(table.column("text"))
             docs, nths = table.column("doc").to_numpy(), _numbered(table)
-            seen: set[bytes] = set()
-            for i in np.lexsort((nths, docs)).tolist():  # in order, so the first of equal snippets is the earliest
-                a, b = np.searchsorted(asked, [docs[i], docs[i] + 1])
+            several = set(docs[nths > 0].tolist())
+            for i, (d, n) in enumerate(zip(docs.tolist(), nths.tolist(), strict=True)):
+                a, b = np.searchsorted(own["doc"], [d, d + 1]).tolist()
                 if a == b:
                     continue
                 text = data[offsets[i] : offsets[i + 1]]
-                own, first, windows = window_runs(text, length)
-                by = np.argsort(keys[a:b], kind="stable")
-                at = by[np.minimum(np.searchsorted(keys[a:b][by], own), b - a - 1)]
-                hit = np.flatnonzero(keys[a:b][at] == own)
-                raw, count = text.tobytes(), len(hit)
-                texts = [raw[f : f + w + length - 1] for f, w in zip(first[hit].tolist(), windows[hit].tolist(), strict=True)]
-                again = [t in seen or seen.add(t) for t in texts]  # an equal one of this group is earlier: a span at once
-                out["key"] += own[hit].tolist()
-                out["doc"] += [int(docs[i])] * count
-                out["nth"] += [int(nths[i])] * count
-                out["first"] += first[hit].tolist()
-                out["salts"] += salts[a:b][at][hit].tolist()
-                out["bytes"] += [len(t) if r else 0 for t, r in zip(texts, again, strict=True)]
-                out["text"] += [None if r else t for t, r in zip(texts, again, strict=True)]
+                at = of_row(slice(a, b), n, d in several, text, own)
+                raw, count = text.tobytes(), len(at)
+                out["key"] += own["key"][at].tolist()
+                out["doc"] += [d] * count
+                out["nth"] += [n] * count
+                out["first"] += own["first"][at].tolist()
+                out["salts"] += own["salts"][at].tolist()
+                out["bytes"] += [0] * count
+                out["text"] += [raw[f : f + k] for f, k in zip(own["first"][at].tolist(), own["bytes"][at].tolist(), strict=True)]
+        release_memory()
         return _table(out)
 
     def compare(_, table):
@@ -274,19 +303,20 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     def finish(_, table, spans):
         import pyarrow as pa
 
-        order = np.lexsort((spans.column("first").to_numpy(), spans.column("nth").to_numpy(), spans.column("doc").to_numpy()))
-        by_doc, by_nth, first, size = (spans.column(c).to_numpy()[order] for c in ("doc", "nth", "first", "bytes"))
+        own = by_doc(spans, ("doc", "nth", "print", "first", "bytes"))
         data, offsets = binary_column(table.column("text"))
         kept, facts = [], np.zeros((3, len(table)), np.int64)
-        for i, (d, n) in enumerate(zip(table.column("doc").to_pylist(), _numbered(table).tolist(), strict=True)):
+        docs, nths = table.column("doc").to_numpy(), _numbered(table)
+        several = set(docs[nths > 0].tolist())
+        for i, (d, n) in enumerate(zip(docs.tolist(), nths.tolist(), strict=True)):
             text = data[offsets[i] : offsets[i + 1]]
             facts[0, i] = len(text)
-            a, b = np.searchsorted(by_doc, [d, d + 1])
-            own = slice(a, b) if a == b or not by_nth[a:b].any() and n == 0 else np.arange(a, b)[by_nth[a:b] == n]
+            a, b = np.searchsorted(own["doc"], [d, d + 1]).tolist()
             if a < b:
+                at = of_row(slice(a, b), n, d in several, text, own)
                 marks = np.zeros(len(text) + 1, np.int64)
-                np.add.at(marks, first[own], 1)
-                np.subtract.at(marks, first[own] + size[own], 1)
+                np.add.at(marks, own["first"][at], 1)
+                np.subtract.at(marks, own["first"][at] + own["bytes"][at], 1)
                 gone = np.cumsum(marks[:-1]) > 0
                 facts[1, i], facts[2, i] = gone.sum(), (np.diff(gone.astype(np.int8), prepend=0) == 1).sum()
                 text = text[~gone]
@@ -294,16 +324,19 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
         release_memory()
         return pa.table([table.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(f) for f in facts)], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    keyed = texts.select("doc", "text").mapInArrow(names, "key long, doc long, times int")
-    alike = keyed.withColumn("n", F.sum("times").over(Window.partitionBy("key"))).where("n > 1")
-    wanted = alike.select("key", "doc", F.ceil(F.col("n") / F.lit(salt_rows)).cast("int").alias("salts"), g)
+    # one exchange by name: the ranks and the counts use its order
+    named = texts.select("doc", "text").mapInArrow(names, "key long, print long, doc long, first long, bytes long").repartition(F.col("key"))
+    ranked = named.withColumn("again", F.rank().over(Window.partitionBy("key", "print").orderBy("doc", "first")) > 1)
+    prints = F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("key"))
+    wanted = ranked.withColumn("n", prints).where("not again and n > 1").select("key", "print", "doc", "first", "bytes", F.ceil(F.col("n") / F.lit(salt_rows)).cast("int").alias("salts"), g)
+    whole = ranked.where("again").select("doc", F.lit(-1).cast("long").alias("nth"), "print", "first", "bytes", g)
     texts = texts.withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(groups)))
     cut = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(snippets, _SNIPPETS)
     salt = F.pmod(F.xxhash64("doc", "first"), F.greatest("salts", F.lit(1)))
     first = cut.withColumn("part", F.pmod(F.xxhash64("key", salt), F.lit(groups * 2))).groupBy("part").applyInArrow(compare, _SNIPPETS)
     meet = F.when(F.col("bytes") > 0, F.xxhash64("doc", "first")).otherwise(F.xxhash64("key"))
     second = first.withColumn("part", F.pmod(meet, F.lit(groups * 2))).groupBy("part").applyInArrow(compare, _SNIPPETS)
-    spans = second.where("bytes > 0").select("doc", "nth", "first", "bytes", g)
+    spans = second.where("bytes > 0").select("doc", "nth", F.lit(0).cast("long").alias("print"), "first", "bytes", g).unionByName(whole)
     row = docs.select(F.struct(*(docs[c] for c in extra)).alias("row")).schema["row"].dataType.simpleString()
     return texts.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(finish, f"row {row}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
