@@ -9,9 +9,10 @@ from ..functions.numbers import rounded, zero
 
 
 def presence(invites: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per (case_id, actor_id) with flags invited and responded: duplicates go before any pairing."""
+    """One row per (case_id, actor_id) with flags invited and responded: duplicates go before any pairing. Rows are dealt
+    by case alone, which serves this sum and the joins by case that follow."""
     some = lambda df, i, r: df.where("actor_id is not null and case_id is not null").select("case_id", "actor_id", F.lit(i).alias("i"), F.lit(r).alias("r"))
-    return some(invites, True, False).unionByName(some(responses, False, True)).groupBy("case_id", "actor_id").agg(F.bool_or("i").alias("invited"), F.bool_or("r").alias("responded"))
+    return some(invites, True, False).unionByName(some(responses, False, True)).repartition("case_id").groupBy("case_id", "actor_id").agg(F.bool_or("i").alias("invited"), F.bool_or("r").alias("responded"))
 
 
 def cooccurrence(invites: DataFrame, responses: DataFrame, cases: DataFrame, keep_cases: int = 100) -> DataFrame:
