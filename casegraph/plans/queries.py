@@ -448,12 +448,11 @@ def g06_orphans(spark, d):
     return G.orphans(S.load(spark, d, "part").select(F.col("p_partkey").alias("doc_id")), used)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey a, l_partkey + 1000000000 b FROM lineitem WHERE l_quantity >= 50), u AS (SELECT a x, b y FROM e UNION SELECT b, a FROM e),
-  r(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS node, min(y) AS component FROM r GROUP BY 1""")
+@query()
 def g08_components(spark, d):
-    """Lines of full quantity: few enough that SQL's recursion ends."""
-    full = S.load(spark, d, "lineitem").where("l_quantity >= 50")
-    return G.components(full.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b")))
+    """All edges between orders and parts. SQL's recursion would make all pairs of a component: the tests hold this
+    query against a union-find."""
+    return G.components(edges(spark, d), "source_id", "target_id")
 
 
 @query("""WITH e AS (SELECT DISTINCT l_orderkey s, l_suppkey t FROM lineitem WHERE l_orderkey <> l_suppkey),
@@ -473,11 +472,11 @@ WORDS = {"support": (" and ", " the "), "oppose": (" of ", " a "), "conditional"
 
 
 @query("""WITH c AS (SELECT doc_id AS id, len(regexp_extract_all(text, '(?i) and ')) + len(regexp_extract_all(text, '(?i) the ')) s, len(regexp_extract_all(text, '(?i) of ')) + len(regexp_extract_all(text, '(?i) a ')) o,
-  len(regexp_extract_all(text, '(?i) to ')) c, len(regexp_extract_all(text, '(?i) on ')) n, length(text) >= 100 AS long FROM documents WHERE lang = 'en')
+  len(regexp_extract_all(text, '(?i) to ')) c, len(regexp_extract_all(text, '(?i) on ')) n, length(text) >= 100 AS long FROM documents)
   SELECT id, CAST(CASE WHEN long THEN s ELSE 0 END AS BIGINT) AS support_count, CAST(CASE WHEN long THEN o ELSE 0 END AS BIGINT) AS oppose_count, CAST(CASE WHEN long THEN c ELSE 0 END AS BIGINT) AS conditional_count, CAST(CASE WHEN long THEN n ELSE 0 END AS BIGINT) AS no_opinion_count,
   CASE WHEN NOT long THEN 'neutral' WHEN c > 0 AND c >= s AND c >= o THEN 'conditional' WHEN s > 0 AND s > 2 * o THEN 'support' WHEN o > 0 AND o > 2 * s THEN 'oppose' WHEN s > 0 AND o > 0 THEN 'mixed' ELSE 'neutral' END AS stance FROM c""")
 def p03_stance(spark, d):
-    docs = S.load(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
+    docs = S.load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return P.stance(docs, positive=WORDS, negated=(), flags="(?i)").select("id", "support_count", "oppose_count", "conditional_count", "no_opinion_count", "stance")
 
 
@@ -584,13 +583,21 @@ def g03_match_titles(spark, d):
     return G.match_titles(refs, docs)
 
 
-# --- adoption and clusters: parts are documents, orders of full lines link them, brands are processes ---
+# --- adoption and clusters: parts are documents, brands are processes; an order links its first and last part, and parts
+# of one brand, type and size are linked to the first of them ---
 def part_edges(spark, d):
-    lines = S.load(spark, d, "lineitem").where("l_quantity >= 49").groupBy("l_orderkey").agg(F.min("l_partkey").alias("source_id"), F.max("l_partkey").alias("target_id"))
+    lines = S.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("source_id"), F.max("l_partkey").alias("target_id"))
     return lines.where("source_id <> target_id").select("source_id", "target_id")
 
 
-_EDGES = "e AS (SELECT min(l_partkey) s, max(l_partkey) t FROM lineitem WHERE l_quantity >= 49 GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey))"
+def alike_edges(spark, d):
+    kind = ["p_brand", "p_type", "p_size"]
+    part = S.load(spark, d, "part")
+    first = part.groupBy(*kind).agg(F.min("p_partkey").alias("source_id"))
+    return part.join(first, kind).select("source_id", F.col("p_partkey").alias("target_id"))
+
+
+_EDGES = "e AS (SELECT min(l_partkey) s, max(l_partkey) t FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey))"
 
 
 @query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT s AS doc_id, t AS other FROM e UNION SELECT DISTINCT t, s FROM e), m AS (SELECT p_partkey doc_id, p_brand process_id FROM part WHERE p_partkey % 2 = 0)
@@ -600,10 +607,12 @@ def g07_adopt_orphans(spark, d):
     return G.adopt_orphans(part_edges(spark, d), members)[0]
 
 
-@query()
+@query("""WITH g AS (SELECT p_brand, count(*) AS size, min(p_partkey) m FROM part GROUP BY p_brand, p_type, p_size HAVING count(*) BETWEEN 2 AND 20)
+  SELECT m AS component, p_name AS title, g.p_brand AS ministry, 'published' AS stage, CAST(size AS BIGINT) AS size FROM g JOIN part ON p_partkey = m""")
 def g09_clusters_to_processes(spark, d):
     docs = S.load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("N "), F.col("p_partkey")).alias("doc_number"), F.lit("sou").alias("doc_type"), F.col("p_name").alias("title"), F.col("p_brand").alias("ministry"))
-    return G.clusters_to_processes(G.components(part_edges(spark, d), "source_id", "target_id"), docs)[0]
+    made = G.clusters_to_processes(G.components(alike_edges(spark, d), "source_id", "target_id"), docs)[0]
+    return made.select("component", "title", "ministry", "stage", "size")
 
 
 # --- streams: what is there now, to the end ---

@@ -41,3 +41,21 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_components_equal_union_find(spark, duck):
+    edges = duck.execute("SELECT l_orderkey, l_partkey + 1000000000 FROM lineitem").fetchall()
+    part = {}
+
+    def find(x):
+        part.setdefault(x, x)
+        while part[x] != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        part[y] = x
+    got = {r["node"]: r["component"] for r in entry.queries()["g08_components"](spark, DATA).collect()}
+    assert got == {x: find(x) for x in part}
