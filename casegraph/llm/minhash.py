@@ -110,7 +110,7 @@ def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     Units are whole: several small ones share a task group of about 8 MB of text, and no unit is larger than that."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     held = members.join(texts, "rep")
-    groups = max(8, total_bytes(docs, "text") // (16 << 20))
+    groups = max(64, total_bytes(docs, "text") // (4 << 20))
     held = held.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)))
 
     def confirm(key, table):
