@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 2_000) -> DataFrame:
     """What a mix takes of every document: doc_id, source, key, size, source_size, target, taken, epochs, rest.
 
     Each document gets a hash-random key of (seed, doc_id, text); within a source the documents stand in key order, and
