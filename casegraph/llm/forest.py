@@ -95,7 +95,7 @@ class Forest:
         return self._norm
 
 
-def hash_prefix_forest(vectors: DataFrame, is_query, k: int = 20, trees: int = 64, share: float = 0.5, least: int = 2_000, shard_rows: int = 16_384, query_rows: int = 2_048, seed: int = 11) -> DataFrame:
+def hash_prefix_forest(vectors: DataFrame, is_query, k: int = 20, trees: int = 64, share: float = 0.7, least: int = 2_000, shard_rows: int = 16_384, query_rows: int = 2_048, seed: int = 11) -> DataFrame:
     """The k nearest found for each query among all other rows of vectors (vec_id, embedding): largest inner product.
 
     Rows are dealt by a hash of vec_id into shards of about shard_rows; in each, every tree is a sorted array of
