@@ -214,7 +214,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     1. Each window of `length` bytes is named by the 24-byte gram in it whose hash is least, so equal windows have equal
        names; neighbouring windows share them, about one name for 34 bytes, and make a snippet that holds them all.
     2. Snippets meet by name as a name, a 64-bit print and a place. Of snippets with one name and print all but the
-       earliest repeat as a whole. A name with a single print has no other repeat. 3. For the others the first of each
+       earliest repeat as a whole, in each batch of texts before they are exchanged and then among all. A name with a single print has no other repeat. 3. For the others the first of each
        print comes with its bytes, from the texts dealt by document. In each task group a suffix array of their windows
        gives previous and next smaller positions among suffixes that share `length` bytes, so the longest previous factor
        tells the later ones. A name with over salt_rows prints is dealt over several groups; what still has a first
@@ -227,6 +227,18 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     groups = max(8, -(-total_bytes(texts, "text") // group_bytes))
     g = F.pmod(F.xxhash64("doc"), F.lit(groups)).alias("g")
 
+    def first_of_each(keys, prints, docs, first, size):
+        """The columns and whether a row has an earlier one of its name and print here. Such a row repeats for certain:
+        it takes a name of its own, so a passage that very many texts have sends one row from each batch to its task."""
+        order = np.lexsort((first, docs, prints, keys))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (keys[order][1:] != keys[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        known = np.empty(len(order), dtype=bool)
+        known[order] = (docs[order] != docs[head]) | (first[order] != first[head])
+        own = mix(docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)).view(np.int64)
+        return np.where(known, own, keys), prints, docs, first, size, known
+
     def names(batches):
         import pyarrow as pa
 
@@ -240,7 +252,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
                 for column, values in zip(found, (keys, snippet_prints(text, first, size), np.full(len(keys), d), first, size), strict=True):
                     column.append(values)
             if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["key", "print", "doc", "first", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in first_of_each(*map(np.concatenate, found))], ["key", "print", "doc", "first", "bytes", "known"])
 
     def of_row(doc_rows: slice, nth: int, several: bool, text: np.ndarray, own) -> np.ndarray:
         """Which of a document's rows of `own` are this text's: all, unless several texts share the doc."""
@@ -325,8 +337,8 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
         return pa.table([table.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(f) for f in facts)], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     # one exchange by name: the ranks and the counts use its order
-    named = texts.select("doc", "text").mapInArrow(names, "key long, print long, doc long, first long, bytes long").repartition(F.col("key"))
-    ranked = named.withColumn("again", F.rank().over(Window.partitionBy("key", "print").orderBy("doc", "first")) > 1)
+    named = texts.select("doc", "text").mapInArrow(names, "key long, print long, doc long, first long, bytes long, known boolean").repartition(F.col("key"))
+    ranked = named.withColumn("again", F.col("known") | (F.rank().over(Window.partitionBy("key", "print").orderBy("doc", "first")) > 1))
     prints = F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("key"))
     wanted = ranked.withColumn("n", prints).where("not again and n > 1").select("key", "print", "doc", "first", "bytes", F.ceil(F.col("n") / F.lit(salt_rows)).cast("int").alias("salts"), g)
     whole = ranked.where("again").select("doc", F.lit(-1).cast("long").alias("nth"), "print", "first", "bytes", g)
