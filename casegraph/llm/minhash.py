@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, mix, release_memory, total_bytes, written
@@ -66,7 +66,8 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int, asked: list[bo
 
     Documents with equal labels count as joined. Intersections are exact: a document's shingles look up the others that
     have them. Any two documents that are not joined in the end have been compared, as at least one of them is outside
-    the largest part, and each document outside it is compared with all (or each `asked` one, if given).
+    the largest part, and each document outside it is compared with all. If `asked` is given, each asked document is
+    compared with each that is not asked, and no others are.
     """
     n = len(sets)
     terms, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, n)
@@ -75,12 +76,15 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int, asked: list[bo
     by_term = owner[order]
     fresh = np.ones(len(terms), dtype=bool)
     fresh[1:] = terms[order][1:] != terms[order][:-1]
-    starts = np.append(np.flatnonzero(fresh), len(terms))
     number = np.empty(len(terms), np.int64)
     number[order] = np.cumsum(fresh) - 1
+    left = np.ones(n, dtype=bool) if asked is None else np.array(asked)
+    found = np.ones(len(terms), dtype=bool) if asked is None else ~left[by_term]  # what a look-up finds
+    starts = np.concatenate([[0], np.cumsum(np.bincount(number[order][found], minlength=int(fresh.sum())))])
+    by_term = by_term[found]
     at = np.concatenate([[0], np.cumsum(sizes)])
     part = np.unique(np.array(labels), return_inverse=True)[1].astype(np.int64)
-    links, left = [], np.ones(n, dtype=bool) if asked is None else np.array(asked)
+    links = []
     while left.any():
         if asked is None:
             outside = left & (part != np.argmax(np.bincount(part)))
@@ -92,7 +96,8 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int, asked: list[bo
         left[i] = False
         own = number[at[i] : at[i + 1]]
         lengths = starts[own + 1] - starts[own]
-        own, lengths = own[lengths > 1], lengths[lengths > 1]
+        several = lengths > (1 if asked is None else 0)
+        own, lengths = own[several], lengths[several]
         if not len(own):
             continue
         shift = np.cumsum(lengths) - lengths
@@ -104,20 +109,49 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int, asked: list[bo
     return links
 
 
-def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of members (rep, unit, label, asked, second), confirmed on full sets within each unit.
+def _unit(own, against) -> Column:
+    """A unit of a cluster: the block `own` alone, if `against` is the same, else each of its documents against another block."""
+    return F.struct("cluster", own.cast("long").alias("own"), against.cast("long").alias("against"))
 
-    Units are whole: several small ones share a task group of about 8 MB of text, and no unit is larger than that."""
+
+def _block_pairs(large: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
+    """Members (rep, unit, label, asked) of the second round of large (rep, cluster, n_shingles, label, asked).
+
+    The asked classes of a cluster and the others are dealt by hash into blocks of about unit_docs classes or unit_shingles
+    shingles at most. Each block of asked classes meets itself, each later one and each block of the others, so a unit is
+    two blocks and two classes meet once, unless neither is asked."""
+    blocks = lambda of: F.ceil(F.greatest(F.sum(of.cast("long")) / unit_docs, F.sum(F.when(of, F.col("n_shingles")).otherwise(0)) / unit_shingles))
+    counts = large.groupBy("cluster").agg(blocks(F.col("asked")).alias("asked_blocks"), blocks(~F.col("asked")).alias("other_blocks")).where("asked_blocks > 0")
+    dealt = large.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.when(F.col("asked"), F.col("asked_blocks")).otherwise(F.col("other_blocks"))))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+    meets = lambda own, against, asked: F.struct(_unit(own, against).alias("unit"), asked.alias("asked"))
+    block = F.col("block")
+    as_asked = F.concat(
+        each("other_blocks", lambda j: meets(block, -1 - j, F.lit(True))),
+        each("asked_blocks", lambda j: meets(F.least(block, j), F.greatest(block, j), block <= j)),
+    )
+    as_other = each("asked_blocks", lambda j: meets(j, -1 - block, F.lit(False)))
+    return dealt.select("rep", "label", F.explode(F.when(F.col("asked"), as_asked).otherwise(as_other)).alias("m")).select("rep", "m.unit", "label", "m.asked")
+
+
+def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int, first: bool) -> DataFrame:
+    """Links (a, b) of members (rep, unit, label, asked), confirmed on full sets within each unit.
+
+    Units are whole. Those of the first round, members (rep, cluster, own), share task groups of about 8 MB of text; else
+    each is a group of its own."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     held = members.join(texts, "rep")
-    groups = max(64, total_bytes(docs, "text") // (4 << 20))
-    held = held.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)))
+    g = F.xxhash64("unit")
+    if first:  # the rest of the columns after the join, as it may broadcast the members
+        held = held.select("rep", "text", _unit(F.col("own"), F.col("own")).alias("unit"), F.col("rep").alias("label"), F.lit(True).alias("asked"))
+        g = F.pmod(g, F.lit(max(64, total_bytes(docs, "text") // (4 << 20))))
+    held = held.withColumn("g", g)
 
     def confirm(key, table):
         import pyarrow as pa
 
         out: list[list] = [[], []]
-        rows = table.select(["rep", "unit", "label", "asked", "second"]).to_pylist()
+        rows = table.select(["rep", "unit", "label", "asked"]).to_pylist()
         sets: list = [None] * len(rows)
         data = table.column("text").combine_chunks()
         sizes = np.array([len(x) if x else 0 for x in data.to_pylist()])
@@ -127,10 +161,10 @@ def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 sets[i] = found[offsets[i - a] : offsets[i - a + 1]]
         units: dict = {}
         for i, r in enumerate(rows):
-            units.setdefault((r["unit"]["cluster"], r["unit"]["own"]), []).append(i)
-        for own in units.values():
+            units.setdefault((r["unit"]["cluster"], r["unit"]["own"], r["unit"]["against"]), []).append(i)
+        for (_, block, against), own in units.items():
             own.sort(key=lambda i: rows[i]["rep"])
-            asked = [rows[i]["asked"] for i in own] if rows[own[0]]["second"] else None
+            asked = [rows[i]["asked"] for i in own] if block != against else None
             for i, j in link_sets([sets[i] for i in own], [rows[i]["label"] for i in own], percent, asked):
                 out[0].append(rows[own[i]]["rep"])
                 out[1].append(rows[own[j]]["rep"])
@@ -153,8 +187,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
        clusters: whatever the size of a bucket, a class makes one row for each band. 3. A cluster's texts meet once and
        links are confirmed on full sets; only links that join parts are kept. A cluster of over unit_docs classes or
        unit_shingles shingles is dealt over several units by hash; after a first round inside them, the classes outside
-       the cluster's largest part visit all of its units, so every pair that may still link is compared. 4. Components
-       of the links. Two documents at the threshold share no bucket with a chance of (1 - 0.75^rows)^bands, 1.3e-6.
+       the cluster's largest part are dealt into blocks anew, and these meet each other and blocks of the rest two by
+       two, so every pair that may still link is compared and no unit holds more than two blocks. 4. Components of the
+       links. Two documents at the threshold share no bucket with a chance of (1 - 0.75^rows)^bands, 1.3e-6.
     """
     signs = written(signed(docs, words, bands, rows), "signed")
     full = signs.where("n_shingles > 0 and doc_id is not null")
@@ -168,18 +203,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     units = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / unit_docs, F.sum("n_shingles") / unit_shingles)).alias("units"))
     members = clusters.join(units, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("units")))
     members = written(members, "members")
-    first = members.select("rep", F.struct("cluster", "own").alias("unit"), F.col("rep").alias("label"), F.lit(True).alias("asked"), F.lit(False).alias("second"))
-    links = _confirm(first, docs, words, percent)
+    links = _confirm(members.select("rep", "cluster", "own"), docs, words, percent, first=True)
     large = members.where("units > 1")
     if large.limit(1).count():
         labels = components(links)
-        large = written(large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "cluster", "units", "own", F.coalesce("component", "rep").alias("label")), "large")
+        sizes = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
+        large = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(sizes, "rep")
+        large = written(large.select("rep", "cluster", "n_shingles", F.coalesce("component", "rep").alias("label")), "large")
         counts = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
         largest = counts.groupBy("cluster").agg(F.max_by("label", "n").alias("largest"))
-        large = large.join(largest, "cluster").withColumn("asked", F.col("label") != F.col("largest"))
-        visits = F.when(F.col("asked"), F.sequence(F.lit(0).cast("long"), F.col("units").cast("long") - 1)).otherwise(F.array(F.col("own").cast("long")))
-        second = large.withColumn("visit", F.explode(visits)).select("rep", F.struct("cluster", F.col("visit").alias("own")).alias("unit"), "label", "asked", F.lit(True).alias("second"))
-        links = links.unionByName(_confirm(second, docs, words, percent))
+        large = written(large.join(largest, "cluster").select("rep", "cluster", "n_shingles", "label", (F.col("label") != F.col("largest")).alias("asked")), "asked")
+        links = links.unionByName(_confirm(_block_pairs(large, unit_docs, unit_shingles), docs, words, percent, first=False))
     found = components(links)
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = written(named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("class_component")), "named")

@@ -252,3 +252,20 @@ def test_pages_keep_their_rows(spark):
     assert len(out) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in out)
     text = {r["page_id"]: r["text"] for r in out}
     assert text[30] == "A\nB" and text[20] == text[21] == "" and sum(text[i] == f"Words {i}" for i in range(9)) >= 6
+
+
+def test_units_of_a_large_cluster_are_bounded(spark, monkeypatch):
+    def text(i):  # shares 80 of 100 words with the others: buckets in common, but no link
+        return " ".join([*VOCABULARY[:80], *(f"own{i}x{k}" for k in range(20))])
+
+    rows = [(i, text(i)) for i in range(150)] + [(150 + i, text(i) + " end") for i in range(0, 150, 10)]
+    sizes, confirm = [], minhash._confirm
+
+    def noted(members, *args, **kwargs):
+        sizes.append(members.groupBy(*(c for c in members.columns if c in ("unit", "cluster", "own"))).count().agg(F.max("count")).first()[0])
+        return confirm(members, *args, **kwargs)
+
+    monkeypatch.setattr(minhash, "_confirm", noted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), unit_docs=15, rows=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 150 if i >= 150 else i for i, _ in rows}
+    assert len(sizes) == 2 and sizes[1] <= 4 * 15  # two blocks, with room for the hash
