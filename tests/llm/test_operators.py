@@ -269,3 +269,13 @@ def test_units_of_a_large_cluster_are_bounded(spark, monkeypatch):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), unit_docs=15, rows=2).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 150 if i >= 150 else i for i, _ in rows}
     assert len(sizes) == 2 and sizes[1] <= 4 * 15  # two blocks, with room for the hash
+
+
+def test_page_texts_do_not_depend_on_partitions(spark):
+    page = "<body><div>Site</div><p>Words {}</p><div>End</div>"
+    rows = [(i, f"http://a.se/{i}", page.format(i)) for i in range(9)] + [(10 + i, f"http://b.se/{i}", page.format(10 + i)) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part_rows in (1, 2, 3, 4, 100):
+        out = extract.extract_text(pages, part_rows=part_rows).collect()
+        assert sorted((r["page_id"], r["text"]) for r in out) == [(i, f"Words {i}") for i, _, _ in rows]
+    assert extract.extract_text(pages.where("false")).count() == 0
