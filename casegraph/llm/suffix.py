@@ -141,12 +141,12 @@ def longest_previous_factors(text: bytes) -> list[int]:
     return [max([common(i, j) for j in (before[i], after[i]) if j >= 0], default=0) for i in range(n)]
 
 
-def _spans(table, length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _spans(table, length: int) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[int, int, int]]]:
     """(survivors, spans) of the snippets of a table (key, doc, nth, first, text).
 
     A span (row, skip, bytes) covers windows of a snippet that have an earlier equal window among the snippets; skip is
-    counted from the snippet's start. Survivors are the rows that still have a window without one: they stand for all
-    when parts of a key meet in a further round. Snippets with equal text are one, the earliest: every window of the
+    counted from the snippet's start. Survivors (rows, skips) are the windows without one: they stand for all when parts
+    of a key meet in a further round. Only those of rows with several salts are told. Snippets with equal text are one, the earliest: every window of the
     others repeats. The rest go through the suffix array."""
     docs, nths, firsts, keys = (table.column(c).to_numpy() for c in ("doc", "nth", "first", "key"))
     data, offsets = binary_column(table.column("text"))
@@ -168,7 +168,17 @@ def _spans(table, length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     order, equal = suffix_order(data, np.repeat(offsets[compared], windows) + inner, length)
     again = has_previous_factor(order, equal, np.repeat(rank[compared], windows) * (1 << 32) + inner)
     spans = [(int(i), 0, int(sizes[i])) for i in np.flatnonzero(~head)]
-    survivors = head.copy()
+    # windows that have an earlier one, of the chosen snippets of names with several salts
+    open_rows = chosen[table.column("salts").to_numpy()[chosen] > 1]
+    counts = sizes[open_rows] - length + 1
+    rows_of = np.repeat(open_rows, counts)
+    skips = np.arange(len(rows_of), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
+    if len(again) and len(rows_of):
+        begins = np.full(len(sizes), -1, np.int64)
+        begins[compared] = shift
+        at = begins[rows_of]
+        fresh = (at < 0) | ~again[np.where(at < 0, 0, at + skips)]
+        rows_of, skips = rows_of[fresh], skips[fresh]
     if len(again):
         border = np.zeros(len(again) + 1, dtype=bool)
         border[shift] = border[-1] = True
@@ -176,8 +186,28 @@ def _spans(table, length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         stops = np.flatnonzero(again & (border[1:] | ~np.append(again[1:], False))) + 1
         of = np.searchsorted(shift, starts, side="right") - 1
         spans += list(zip(compared[of].tolist(), (starts - shift[of]).tolist(), (stops - starts + length - 1).tolist(), strict=True))
-        survivors[compared[np.add.reduceat(again.astype(np.int64), shift) == windows]] = False
-    return np.flatnonzero(survivors), spans
+    return (rows_of, skips), spans
+
+
+def window_rows(table, rows: np.ndarray, skips: np.ndarray, length: int):
+    """The windows that start at skips in the snippets of rows, as snippets of one window: the name is a hash of all their
+    bytes, so that those of a frequent name scatter and equal ones still meet."""
+    import pyarrow as pa
+
+    data, offsets = binary_column(table.column("text"))
+    columns = {c: table.column(c).to_numpy() for c in ("doc", "nth", "first")}
+    out = []
+    for a in range(0, len(rows), 1 << 15):
+        row, skip = rows[a : a + (1 << 15)], skips[a : a + (1 << 15)]
+        text = np.lib.stride_tricks.sliding_window_view(data, length)[offsets[row] + skip]
+        key = np.zeros(len(row), np.uint64)
+        for k in range(length):
+            key = key * np.uint64(_BASE) + _BYTE[text[:, k]]
+        bounds = np.arange(len(row) + 1, dtype=np.int32) * np.int32(length)
+        texts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(text.tobytes())])
+        n = np.zeros(len(row), np.int64)
+        out.append(pa.table({"key": mix(key).view(np.int64), "doc": columns["doc"][row], "nth": columns["nth"][row], "first": columns["first"][row] + skip, "salts": (n + 1).astype(np.int32), "bytes": n, "text": texts}))
+    return out
 
 
 def _numbered(table) -> np.ndarray:
@@ -217,8 +247,9 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
        earliest repeat as a whole, in each batch of texts before they are exchanged and then among all. A name with a single print has no other repeat. 3. For the others the first of each
        print comes with its bytes, from the texts dealt by document. In each task group a suffix array of their windows
        gives previous and next smaller positions among suffixes that share `length` bytes, so the longest previous factor
-       tells the later ones. A name with over salt_rows prints is dealt over several groups; what still has a first
-       window there meets in a second round. 4. Spans return to the documents. The texts are exchanged once, as both
+       tells the later ones. A name with over salt_rows prints is dealt over several groups; the windows that are the first of
+       their kind there meet in a second round, by a hash of all their bytes: a frequent line in many contexts scatters,
+       and equal windows number one for each group. 4. Spans return to the documents. The texts are exchanged once, as both
        joins use one partitioning. Two snippets are taken for equal wrongly with a chance of about 2^-64.
     """
     extra = [c for c in docs.columns if c != "text"]
@@ -297,20 +328,19 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
         return _table(out)
 
     def compare(_, table):
-        """Snippets (bytes 0) to spans (bytes over 0, without text) and, of keys with several salts, survivors."""
+        """Snippets (bytes 0) to spans (bytes over 0, without text) and, of keys with several salts, the surviving windows."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         done = table.filter(pc.greater(table.column("bytes"), 0))
         table = table.filter(pc.equal(table.column("bytes"), 0))
         survivors, spans = _spans(table, length)
-        survivors = survivors[table.column("salts").to_numpy()[survivors] > 1]
         of = np.array([s[0] for s in spans], np.int64)
         columns = {c: table.column(c).to_numpy()[of] for c in ("key", "doc", "nth")}
         columns |= {"first": table.column("first").to_numpy()[of] + np.array([s[1] for s in spans], np.int64), "salts": np.ones(len(of), np.int32), "bytes": np.array([s[2] for s in spans], np.int64), "text": [None] * len(of)}
         cast = _table(columns).schema
         release_memory()
-        return pa.concat_tables([_table(columns), table.take(pa.array(survivors)).select(cast.names).cast(cast), done.select(cast.names).cast(cast)])
+        return pa.concat_tables([_table(columns), *(w.select(cast.names).cast(cast) for w in window_rows(table, *survivors, length)), done.select(cast.names).cast(cast)])
 
     def finish(_, table, spans):
         import pyarrow as pa

@@ -279,3 +279,18 @@ def test_page_texts_do_not_depend_on_partitions(spark):
         out = extract.extract_text(pages, part_rows=part_rows).collect()
         assert sorted((r["page_id"], r["text"]) for r in out) == [(i, f"Words {i}") for i, _, _ in rows]
     assert extract.extract_text(pages.where("false")).count() == 0
+
+
+def test_a_frequent_name_scatters_in_the_second_round():
+    pa = pytest.importorskip("pyarrow")
+    r = np.random.default_rng(4)
+    line, own = bytes(r.integers(97, 123, 60, dtype=np.uint8)), lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8))
+    texts = [own(37) + line + own(37) for _ in range(200)]
+    texts[7] = texts[5][:110] + own(24)  # its first eleven windows are those of 5
+    n = len(texts)
+    table = pa.table({"key": [1] * n, "doc": list(range(n)), "nth": [0] * n, "first": [9] * n, "salts": pa.array([3] * n, pa.int32()), "bytes": [0] * n, "text": pa.array(texts, pa.binary())})
+    survivors, spans = suffix._spans(table, 100)
+    assert spans == [(7, 0, 110)]
+    second = pa.concat_tables(suffix.window_rows(table, *survivors, 100)).to_pylist()
+    assert len(second) == 35 * n - 11 and len({w["key"] for w in second}) == len(second)
+    assert all(w["text"] == texts[w["doc"]][w["first"] - 9 :][:100] and w["salts"] == 1 for w in second)
