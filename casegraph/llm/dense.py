@@ -48,6 +48,14 @@ def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_of_each(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the highest score of each id."""
+    order = np.lexsort((-scores, ids))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = ids[order][1:] != ids[order][:-1]
+    return order[first]
+
+
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     if len(scores) > 4 * k:

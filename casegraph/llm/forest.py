@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .dense import dimension, each, finite, inner_products, matrix, top
+from .dense import best_of_each, dimension, each, finite, inner_products, matrix, top
 
 _INDEX = "shard long, tree int, hashes binary, places binary, ids binary, vectors binary"
 BITS = 32
@@ -45,6 +45,8 @@ class Forest:
         data = rows.pop(-1)
         self.ids = np.frombuffer(data["ids"], "<i8")
         self.vectors = np.frombuffer(data["vectors"], "<f8").reshape(len(self.ids), dim)
+        distinct, self.number = np.unique(self.ids, return_inverse=True)
+        self.distinct = len(distinct)
         self.single = self.vectors.astype(np.float32)
         self.hashes = [np.frombuffer(rows[t]["hashes"], "<u4") for t in range(len(rows))]
         self.places = [np.frombuffer(rows[t]["places"], "<i4") for t in range(len(rows))]
@@ -76,15 +78,23 @@ class Forest:
                 return
 
     def nearest(self, query_id: int, query: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k highest inner products among the places, in double precision."""
+        """(ids, scores) of the k highest inner products of different ids among the places, in double precision."""
+        repeated = self.distinct < len(self.ids)
         places = places[self.ids[places] != query_id]
         if len(places) > 8 * k:  # single precision sorts out what can't be among the k
             rough = self.single[places] @ query.astype(np.float32)
             error = 1e-5 * float(np.linalg.norm(query)) * self.norm
             if np.isfinite(rough).all() and np.isfinite(error):
-                kth = np.partition(rough, len(rough) - k)[len(rough) - k]
+                most = rough
+                if repeated:  # the kth of different ids
+                    most = np.full(self.distinct, -np.inf, np.float32)
+                    np.maximum.at(most, self.number[places], rough)
+                kth = np.partition(most, len(most) - k)[len(most) - k] if len(most) >= k else -np.inf
                 places = places[rough >= kth - 2 * error]
         scores = inner_products(self.vectors[places], query)
+        if repeated:
+            once = best_of_each(scores, self.ids[places])
+            places, scores = places[once], scores[once]
         best = top(scores, self.ids[places], k)
         return self.ids[places][best], scores[best]
 
@@ -123,6 +133,9 @@ def hash_prefix_forest(vectors: DataFrame, is_query, k: int = 20, trees: int = 6
         import pyarrow as pa
 
         x, ids = matrix(table.column("vector"), dim), table.column("vec_id").to_numpy()
+        if len(np.unique(ids)) < len(ids):  # equal rows are one, or they would fill the matches that an ascent counts
+            kept = np.sort(np.unique(np.column_stack([ids.view(np.float64), x]).view(f"V{8 * (dim + 1)}").ravel(), return_index=True)[1])
+            x, ids = x[kept], ids[kept]
         strings = hash_strings(x, _planes(dim, trees, seed), norm)
         rows = [(-1, None, None, ids.astype("<i8").tobytes(), x.astype("<f8").tobytes())]
         for t in range(trees):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .dense import dimension, each, finite, matrix, top
+from .dense import best_of_each, dimension, each, finite, matrix, top
 
 _INDEX = "shard long, block int, ids array<long>, weights binary, most binary, least binary"
 _FOUND = "query_id long, vec_id long, score long"
@@ -74,6 +74,8 @@ class Shard:
         self.weights = [np.frombuffer(r["weights"], "<i4").reshape(-1, dim).astype(np.float64) for r in rows]
         self.most = np.array([np.frombuffer(r["most"], "<i4") for r in rows], np.float64).reshape(len(rows), dim)
         self.least = np.array([np.frombuffer(r["least"], "<i4") for r in rows], np.float64).reshape(len(rows), dim)
+        ids = np.concatenate([np.zeros(0, np.int64), *self.ids])
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.largest = max([0.0, *(np.abs(w).max(initial=0) for w in self.weights)])
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ class Shard:
         return np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
 
     def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: int | None):
-        """The k best (scores, ids), or as many as can reach floor. Blocks go by falling bound until it is below the kth."""
+        """The k best (scores, ids) of different ids, or as many as can reach floor. Blocks go by falling bound until it is below the kth."""
         exact = self.largest * np.abs(query).max(initial=0) * max(len(query), 1) < 2.0**52  # then doubles hold every sum
         scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         kth = floor
@@ -95,6 +97,9 @@ class Shard:
                 keep &= s >= kth
             if keep.any():
                 scores, ids = np.concatenate([scores, s[keep]]), np.concatenate([ids, self.ids[b][keep]])
+                if self.repeated:
+                    once = best_of_each(scores, ids)
+                    scores, ids = scores[once], ids[once]
                 best = top(scores, ids, k)
                 scores, ids = scores[best], ids[best]
                 if len(scores) == k:

@@ -294,3 +294,22 @@ def test_a_frequent_name_scatters_in_the_second_round():
     second = pa.concat_tables(suffix.window_rows(table, *survivors, 100)).to_pylist()
     assert len(second) == 35 * n - 11 and len({w["key"] for w in second}) == len(second)
     assert all(w["text"] == texts[w["doc"]][w["first"] - 9 :][:100] and w["salts"] == 1 for w in second)
+
+
+def test_repeated_ids_take_one_rank(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.standard_normal(16)]) for i in range(400)]
+    near = [1.5 * x for x in rows[0][1]]
+    rows += [(1000, near)] * 60 + [(1001, [x * (1 + i / 1000) for x in near]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best, whole = {}, {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -math.inf), dense.inner_products(np.array([v]), np.array(rows[0][1]))[0])
+        whole[i] = max(whole.get(i, -(1 << 60)), int(np.floor(256 * np.array(v)).astype(np.int64) @ np.floor(256 * np.array(rows[0][1])).astype(np.int64)))
+    asked = F.col("vec_id") == 0
+    for shard in (16_384, 90):
+        got = sorted(tuple(x) for x in topk.exact_top_k(vectors, asked, shard_rows=shard, block_rows=16).collect())
+        assert got == [(0, n + 1, i, s) for n, (s, i) in enumerate(sorted(((s, i) for i, s in whole.items()), key=lambda p: (-p[0], p[1]))[:5])]
+    for shard in (16_384, 90):  # all matches in all trees: nothing is left out
+        got = sorted(tuple(x) for x in forest.hash_prefix_forest(vectors, asked, share=64.0, shard_rows=shard).collect())
+        assert got == [(0, n + 1, i, s) for n, (s, i) in enumerate(sorted(((s, i) for i, s in best.items()), key=lambda p: (-p[0], p[1]))[:20])]
