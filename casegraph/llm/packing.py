@@ -29,14 +29,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
         import pyarrow as pa
 
         codec = WordTokenizer.at(tokenizer)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids, offsets = codec.encode(batch.column("text"))
             out: dict[str, list] = {k.split()[0]: [] for k in schema.split(", ")}
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(own), length)):
                     part = own[start : start + length]
-                    for name, value in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32)), strict=False):
+                    for name, value in zip(out, (doc, k, start, len(part), zlib.crc32(part), part), strict=False):
                         out[name].append(value)
             kinds = {"piece": pa.int32(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))

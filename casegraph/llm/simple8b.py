@@ -20,6 +20,14 @@ SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 BLOCK = 512
 
 
+def _width(bits: int) -> int:
+    """The width of the narrowest selector that holds so many bits, 64 for none."""
+    return min((w for _, w in SELECTORS if w >= bits), default=64)
+
+
+_WIDTHS = np.array([_width(b) for b in range(18)], np.uint8)[np.frexp(np.arange(1 << 17))[1]]
+
+
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, word offsets of the blocks and the end) of unsigned 64-bit values; all blocks advance together."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
@@ -29,26 +37,26 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     padded = np.zeros(blocks * block + 256, np.uint64)
     padded[:n] = values
-    bits = np.zeros(len(padded), np.uint8)
-    steps = sorted({w for _, w in SELECTORS})
-    for below, width in zip(steps, steps[1:]):
-        bits[padded >> np.uint64(below) > 0] = width
-    bits[padded >> np.uint64(60) > 0] = 64
+    bits = _WIDTHS[np.minimum(padded, np.uint64(len(_WIDTHS) - 1))]
+    large = np.flatnonzero(padded >= len(_WIDTHS))
+    bits[large] = [_width(int(x).bit_length()) for x in padded[large].tolist()]
     # the selector for each place: the first that holds as many values as stand there
     choice = np.full(len(padded), 15, np.uint8)
-    span, powers = 1, {1: bits}  # powers[s]: the most bits among the s values from each place on
-    while span * 2 <= 240:
-        wider = powers[span].copy()
-        wider[:-span] = np.maximum(powers[span][:-span], powers[span][span:])
-        span *= 2
-        powers[span] = wider
+    reach = {1: bits}  # reach[c]: the most bits among the c values from each place on, the places themselves at the end
+    for c in range(2, 8):
+        reach[c] = reach[c - 1].copy()
+        np.maximum(reach[c][: 1 - c], bits[c - 1 :], out=reach[c][: 1 - c])
+    for k in range(len(SELECTORS) - 1, -1, -1):
+        count, width = SELECTORS[k]
+        if count in reach:
+            np.putmask(choice, reach[count] <= width, k)
+    # selectors of more values are for narrow ones, which are rare: only where seven of them stand
+    narrow = np.flatnonzero(reach[7] <= max(w for c, w in SELECTORS if c > 7))
     for k in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[k]
-        p = 1 << (count.bit_length() - 1)
-        reach = powers[p].copy()
-        if count > p:
-            reach[: -(count - p)] = np.maximum(reach[: -(count - p)], powers[p][count - p :])
-        choice[reach <= width] = k
+        if count > 7 and len(narrow):
+            wide = np.append(np.flatnonzero(bits > width), len(bits) + 240)
+            choice[narrow[wide[np.searchsorted(wide, narrow)] - narrow >= count]] = k
     counts = np.array([c for c, _ in SELECTORS] + [1], np.int64)
     at = np.arange(blocks, dtype=np.int64) * block
     ends = np.minimum(at + block, n)
@@ -131,7 +139,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
     """Writes the ids of every document (doc_id, text), end_id behind each, in ascending doc_id order.
 
     The documents are range-partitioned by (doc_id, text) into shards of about shard_bytes of text; each is a file of
-    rows FILE_SCHEMA, a row for about 2 MB of text (a longer document is a row of its own). Null text has end_id
+    rows FILE_SCHEMA, a row for about 8 MB of text (a longer document is a row of its own). Null text has end_id
     alone; a null doc_id stands first; rows with equal doc_id each keep their place. Other columns aren't read.
     """
     import pyarrow as pa
@@ -144,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         from pyspark import TaskContext
 
         codec, shard, chunk = WordTokenizer.at(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids, offsets = codec.encode(batch.column("text"))
             lengths = np.diff(offsets) + 1
             values = np.insert(ids, offsets[1:], np.uint32(end_id))

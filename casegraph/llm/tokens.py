@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from .common import binary_column
@@ -9,7 +11,7 @@ from .words import is_space, lower_ascii, split_words
 
 _CODECS: dict[str, "WordTokenizer"] = {}
 _MARK = np.zeros(256, dtype=bool)
-_MARK[list(b",.;:!?")] = True
+_MARK[list(b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~")] = True  # not those of "<|" and of the separator
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = _LETTER[65:91] = True
 
@@ -17,19 +19,28 @@ _LETTER[97:123] = _LETTER[65:91] = True
 class WordTokenizer:
     """Ids of texts under a lower-casing tokenizer whose tokens never cross white space.
 
-    The text's ids are then the ids of its words in order, so each distinct word is encoded once and kept; a mark
-    behind an ASCII letter at a word's end is a word of its own, and A-Z are lower-cased before the look-up (not in
+    The text's ids are then the ids of its words in order, so each distinct word is encoded once and kept; marks
+    behind an ASCII letter at a word's end are a word of their own, and A-Z are lower-cased before the look-up (not in
     buffers with "<|", where special tokens may stand). At most max_words words are kept at a time. The tokenizer
-    file must exist at the same path on every executor.
+    file must exist at the same path on every executor. Spark's tasks share the cores, so it runs in one thread.
     """
 
+    #: Stands between words that are encoded as one text; words that hold it are encoded each for itself.
+    BAR = "|"
+
     def __init__(self, path: str, max_words: int = 300_000):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)  # for words of a-z, which the whole tokenizer leaves as they are
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.max_words = max_words
-        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
-        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.bar = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+        self.joins = len(self.bar) == 1
         self._forget()
 
     def _forget(self) -> None:
@@ -52,21 +63,29 @@ class WordTokenizer:
             _CODECS[path] = cls(path)
         return _CODECS[path]
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each word). Words of letters alone are encoded as one text: each ends with an end-of-word token."""
-        if all(map(str.isalpha, words)):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    def _ids(self, words: list[str], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word). Words of a-z (kind 0) are encoded as one text: each ends with an end-of-word token.
+        Others without a bar (1) too, with a bar between them, whose id no other word has; the rest (2) one by one."""
+        encode = lambda tokenizer, texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if kind == 0:
+            ids = np.array(encode(self.plain, [" ".join(words)])[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(words):
+            if len(ends) == len(words) and ends[-1] == len(ids):
                 return ids, np.diff(ends, prepend=0)
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if kind < 2 and self.joins:
+            ids = np.array(encode(self.tokenizer, [f" {self.BAR} ".join(words)])[0].ids, np.uint32)
+            bars = np.flatnonzero(ids == self.bar[0])
+            if len(bars) == len(words) - 1:
+                return np.delete(ids, bars), np.diff(bars, prepend=-1, append=len(ids)) - 1
+        each = [e.ids for e in encode(self.tokenizer, words)]
         return np.array([i for x in each for i in x], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = {w: w.decode("utf-8", "replace") for w in words}
-        words = [w for w, t in texts.items() if t.isalpha()] + [w for w, t in texts.items() if not t.isalpha()]
-        found = [self._ids([texts[w] for w in words[at : at + 64]]) for at in range(0, len(words), 64)]
-        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
+        kinds: tuple[list[bytes], ...] = ([], [], [])
+        for w in words:
+            kinds[0 if w.isalpha() and w.islower() else 2 if b"|" in w else 1].append(w)
+        found = [self._ids([w.decode("utf-8", "replace") for w in of[at : at + 256]], k) for k, of in enumerate(kinds) for at in range(0, len(of), 256)]
+        self.row.update(zip((w for of in kinds for w in of), range(len(self.row), len(self.row) + len(words)), strict=True))
         self.table = np.concatenate([self.table, *(x[0] for x in found)])
         self.counts = np.concatenate([self.counts, *(x[1] for x in found)])
         self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
@@ -84,9 +103,19 @@ class WordTokenizer:
         if b"<|" not in letters.tobytes():
             letters = lower_ascii(letters)
         stops = np.cumsum(ends - starts)
-        marked = (ends - starts > 1) & _MARK[data[ends - 1]] & _LETTER[data[ends - 2]]
+        # where marks follow an ASCII letter up to the word's end
+        n = len(kept)
+        marks = np.zeros(n + 1, dtype=bool)
+        marks[:n] = _MARK[kept]
+        ones = np.flatnonzero(~marks)
+        last = ends - 1 - int(offsets[0])
+        tail = np.flatnonzero(marks[last])
+        before_marks = ones[np.searchsorted(ones, last[tail]) - 1]
+        good = (before_marks >= starts[tail] - int(offsets[0])) & _LETTER[kept[before_marks]]
+        marked = np.zeros(len(starts), dtype=bool)
+        marked[tail[good]] = True
         cut = np.zeros(len(letters) + 1, dtype=bool)
-        cut[0] = cut[stops] = cut[stops[marked] - 1] = True
+        cut[0] = cut[stops] = cut[stops[tail[good]] - (last[tail[good]] - before_marks[good])] = True
         bounds = np.flatnonzero(cut)
         extra = np.concatenate([[0], np.cumsum(marked)])
         words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
