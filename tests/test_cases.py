@@ -60,8 +60,13 @@ def test_orphans_become_processes(spark):
 
 def test_long_chains_have_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
-    got = {r["node"]: r["component"] for r in G.components(edges).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[501] == 500
+    for small in (0, 30, 200_000):
+        got = {r["node"]: r["component"] for r in G.components(edges, small=small).collect()}
+        assert all(got[i] == 0 for i in range(201)) and got[501] == 500 and len(got) == 203
+    assert G.components(edges.where("false"), small=0).count() == 0
+    names = spark.createDataFrame([("b", "c"), ("d", "c"), ("x", "x"), (None, "b")], "a string, b string")
+    for small in (0, 200_000):
+        assert {tuple(r) for r in G.components(names, small=small).collect()} == {("b", "b"), ("c", "b"), ("d", "b")}
 
 
 def test_stage_needs_document_and_event(spark):
