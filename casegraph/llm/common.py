@@ -1,50 +1,21 @@
-"""Helpers that the training-data operators share: written tables, text buffers, components."""
+"""Helpers that the training-data operators share: written tables, text buffers, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, new_path, shared_dir, written
+
+__all__ = ["SPACES", "WORD", "binary_column", "components", "mix", "new_path", "release_memory", "shared_dir", "total_bytes", "written"]
+
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a regular expression for one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="casegraph-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(configured)
-    return configured
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark removes it once nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def total_bytes(df: DataFrame, col: str) -> int:
     """Bytes of a text column."""
     return df.agg(F.sum(F.octet_length(col)).alias("b")).first()["b"] or 0
@@ -81,29 +52,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, component) per node, component the smallest node id.
-
-    Each round hooks every node to the smallest label among its neighbours, then jumps once along the labels, so that
-    long chains shorten by doubling. Labels stay a table that is checkpointed each round; the driver sees a count only.
-    """
-    both = edges.select("a", "b").where("a <> b")
-    both = checkpointed(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("hooked"))
-        hooked = checkpointed(hooked)
-        # the label's own label, and what the nodes of a label have found, whichever is smaller
-        best = hooked.groupBy(F.col("label").alias("root")).agg(F.min("hooked").alias("best"))
-        own = hooked.select(F.col("node").alias("root"), F.col("hooked").alias("own"))
-        jump = own.join(best, "root", "left").select("root", F.least("own", F.coalesce("best", "own")).alias("to"))
-        moved = hooked.join(jump, hooked.hooked == jump.root, "left").select("node", F.least("hooked", F.coalesce("to", "hooked")).alias("label"), (F.col("label") != F.least("hooked", F.coalesce("to", "hooked"))).alias("changed"))
-        moved = checkpointed(moved)
-        changed = moved.where("changed").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components: not settled after {max_rounds} rounds")

@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     linked. A row with a null doc_id has no link, a null component_id and is kept. Other columns are not read.
 
     1. Min-max signatures give each document its band keys; documents with equal sets become one class, whose smallest
-       doc_id stands for it. 2. The classes of a band bucket are joined to the bucket's smallest, giving candidate
-       clusters: whatever the size of a bucket, a class makes one row for each band. 3. A cluster's texts meet once and
+       doc_id stands for it. 2. The classes of a band bucket are joined to the bucket's smallest, its hub, giving candidate
+       clusters: whatever the size of a bucket, a class makes one row for each band, and of these one edge to the least
+       of its hubs and one to each other hub. Repeated edges go, so a large group has about one a class. 3. A cluster's texts meet once and
        links are confirmed on full sets; only links that join parts are kept. A cluster of over unit_docs classes or
        unit_shingles shingles is dealt over several units by hash; after a first round inside them, the classes outside
        the cluster's largest part are dealt into blocks anew, and these meet each other and blocks of the rest two by
@@ -197,7 +198,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     classes = written(classes.select("set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands")), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = written(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("key", "hub"), "buckets")
-    edges = keys.join(buckets, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    # an edge from each class to the least of its hubs and one from that to each other hub that it shares a class with:
+    # the same clusters as all edges from classes to hubs, with about one edge a class
+    hubs = keys.join(buckets, "key").groupBy("rep").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
+    edges = hubs.select(F.col("least").alias("b"), F.explode(F.array_union(F.array("rep"), "hubs")).alias("a")).where("a <> b").distinct()
     clusters = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     sized = clusters.join(classes.select("rep", "n_shingles"), "rep")
     units = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / unit_docs, F.sum("n_shingles") / unit_shingles)).alias("units"))

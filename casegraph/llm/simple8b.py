@@ -39,7 +39,10 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     padded[:n] = values
     bits = _WIDTHS[np.minimum(padded, np.uint64(len(_WIDTHS) - 1))]
     large = np.flatnonzero(padded >= len(_WIDTHS))
-    bits[large] = [_width(int(x).bit_length()) for x in padded[large].tolist()]
+    size = np.frexp(padded[large].astype(np.float64))[1]
+    huge = np.flatnonzero(size > 50)  # doubles may round these up
+    size[huge] = [int(x).bit_length() for x in padded[large[huge]].tolist()]
+    bits[large] = np.array([_width(b) for b in range(65)], np.uint8)[size]
     # the selector for each place: the first that holds as many values as stand there
     choice = np.full(len(padded), 15, np.uint8)
     reach = {1: bits}  # reach[c]: the most bits among the c values from each place on, the places themselves at the end
