@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.rules import FLAGS
 from ..functions.text import normal_form
-from .components import checkpointed
+from ..sources.scratch import checkpointed, written
 
 
 def has_contact(c: Column) -> Column:
@@ -50,14 +50,14 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
-def _folded_similarity(x: Column, y: Column) -> Column:
-    """similarity of names that are folded."""
+def _folded_similarity(x: Column, y: Column, ga: Column | None = None, gb: Column | None = None) -> Column:
+    """similarity of names that are folded, given their bigrams where they are known."""
+    ga, gb = bigrams(x) if ga is None else ga, bigrams(y) if gb is None else gb
     short, long = F.when(F.length(x) > F.length(y), y).otherwise(x), F.when(F.length(x) > F.length(y), x).otherwise(y)
-    ratio = F.length(short) / F.length(long)
+    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
     whole = F.regexp_like(long, F.concat(F.lit(FLAGS + r"\b"), F.regexp_replace(short, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\b")))
-    ga, gb = bigrams(x), bigrams(y)
     dice = F.when((F.size(ga) > 0) & (F.size(gb) > 0), F.size(F.array_intersect(ga, gb)) * 2 / (F.size(ga) + F.size(gb))).otherwise(0.0)
-    return F.when(x == y, 1.0).when(F.contains(long, short) & ((ratio >= 0.5) | whole), F.lit(0.8) + F.lit(0.2) * ratio).otherwise(dice).cast("double")
+    return F.when(x == y, 1.0).when((F.contains(x, y) | F.contains(y, x)) & ((ratio >= 0.5) | whole), F.lit(0.8) + F.lit(0.2) * ratio).otherwise(dice).cast("double")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -146,22 +146,67 @@ def match_stem(names: DataFrame, entities: DataFrame) -> DataFrame:
     return _decide(stem_candidates(names, entities))
 
 
+def _forms(c: Column) -> list[Column]:
+    """A name's forms for comparison: folded, and folded as a municipality's."""
+    return [folded(F.lower(c)), folded(municipal(F.lower(c)))]
+
+
+def _with_grams(names: DataFrame, key: str, forms) -> DataFrame:
+    """Distinct names (key) with their forms f0, f1, ... and the forms' bigrams g0, g1, ..."""
+    made = forms(F.col(key))
+    rows = names.withColumns({f"f{k}": f for k, f in enumerate(made)})
+    return written(rows.withColumns({f"g{k}": bigrams(F.col(f"f{k}")) for k in range(len(made))}), "names")
+
+
+def _rare_grams(names: DataFrame, key: str, n_forms: int, counts: DataFrame) -> DataFrame:
+    """(key, all, early, first) of names with bigrams: in order of rarity for each form, and of all forms together all of
+    them, the rarest two thirds (one more, rounded up), and the rarest one of each."""
+    grams = names.select(key, F.posexplode(F.array(*(f"g{k}" for k in range(n_forms)))).alias("form", "grams")).select(key, "form", F.explode("grams").alias("gram"))
+    ranked = grams.join(counts, "gram").groupBy(key, "form").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("g"))
+    early = F.slice("g", F.lit(1), F.size("g") - F.ceil(F.size("g") / 3).cast("int") + 1)
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return written(ranked.groupBy(key).agg(every("g").alias("all"), every(early).alias("early"), every(F.slice("g", 1, 1)).alias("first")), "grams")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, forms=lambda c: [folded(c)]) -> DataFrame:
+    """E6. Pairs (a, b, score) of left (a) and right (b), tables of distinct names, whose similarity in one of their forms
+    is .5 or more; all such pairs are found.
+
+    Names meet on rare bigrams, never all with all. At .5 or more by bigrams two names share at least a third of either
+    side's, so they share one of the rarest two thirds of both (prefix filter); a name that is part of another shares its rarest
+    bigram with it. Rarity counts both tables, so a common bigram is no name's meeting place unless it has no rarer ones.
+    Forms and bigrams are made once a name, not once a pair.
+    """
+    sides = {"a": _with_grams(left, "a", forms), "b": _with_grams(right, "b", forms)}
+    n = len(forms(F.lit("")))
+    grams = lambda c: sides[c].select(F.explode(F.array_distinct(F.flatten(F.array(*(f"g{k}" for k in range(n)))))).alias("gram"))
+    counts = written(grams("a").unionByName(grams("b")).groupBy("gram").agg(F.count("*").alias("n")), "counts")
+    rare = {c: _rare_grams(df, c, n, counts) for c, df in sides.items()}
+    of = lambda c, kind: rare[c].select(c, F.explode(kind).alias("gram"))
+    met = reduce(DataFrame.unionByName, (of("a", x).join(of("b", y), "gram").select("a", "b") for x, y in (("early", "early"), ("first", "all"), ("all", "first")))).distinct()
+    named = lambda c: sides[c].select(c, *(F.col(f"{x}{k}").alias(f"_{c}{x}{k}") for x in "fg" for k in range(n)))
+    both = met.join(named("a"), "a").join(named("b"), "b")
+    score = lambda k: _folded_similarity(*(F.col(f"_{c}{x}{k}") for x in "fg" for c in "ab"))
+    best = score(0)
+    for k in range(1, n):  # another form counts where it differs
+        same = (F.col(f"_af{k}") == F.col("_af0")) & (F.col(f"_bf{k}") == F.col("_bf0"))
+        best = F.when(same, best).otherwise(F.greatest(best, score(k)))
+    return both.select("a", "b", best.alias("score")).where("score >= 0.5")
+
+
 def match_fuzzy(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """E7. The best similarity of each name, as it is or in municipal form, with bands: .9 high, .7 medium, .5 low.
+    """E7. The best similarity of each name, as it is or in municipal form, with bands: .9 high, .7 medium, .5 low. Names
+    that reach .5 with no entity are unmatched, with score 0.
 
-    Names meet entities on shared bigrams of both forms; scores of 0 have none and are not found. Pairs are counted by
-    (name, entity) with sums on the map side before similarity is computed once a pair.
+    Distinct names of both sides meet as in similar_pairs; of entities with one name the least id counts.
     """
-    forms = lambda c: F.array_distinct(F.concat(bigrams(folded(c)), bigrams(folded(municipal(F.lower(c))))))
-    left = names.distinct().withColumn("gram", F.explode(forms(F.col("name"))))
-    right = entities.select("entity_id", "entity_name", F.explode(forms(F.col("entity_name"))).alias("gram"))
-    pairs = left.join(right, "gram").groupBy("name", "entity_id", "entity_name").agg(F.count("*").alias("shared"))
-    sides = {f"_{s}{k}": folded(f(F.lower(c))) for s, c in (("n", "name"), ("e", "entity_name")) for k, f in enumerate((lambda x: x, municipal))}
-    scored = pairs.withColumns(sides).withColumn("score", F.greatest(*(_folded_similarity(F.col(f"_n{k}"), F.col(f"_e{k}")) for k in (0, 1))))
-    best = scored.groupBy("name").agg(F.max_by(F.struct("entity_id", "entity_name", "score"), F.struct(F.col("score"), -F.length("entity_name"), F.reverse("entity_name"), F.xxhash64("entity_id"))).alias("b"))
-    band = F.when(F.col("b.score") >= 0.9, "high").when(F.col("b.score") >= 0.7, "medium").when(F.col("b.score") >= 0.5, "low").otherwise("unmatched")
-    kept = band != "unmatched"
-    return best.select("name", F.when(kept, F.col("b.entity_id")).alias("entity_id"), F.when(kept, F.col("b.entity_name")).alias("matched_name"), band.alias("confidence"), F.col("b.score").alias("score"), F.lit("fuzzy").alias("method"))
+    names, named = names.select("name").distinct(), entities.groupBy("entity_name").agg(F.min("entity_id").alias("entity_id"))
+    pairs = similar_pairs(names.select(F.col("name").alias("a")), named.select(F.col("entity_name").alias("b")), _forms)
+    best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct(F.col("score"), -F.length("b"), F.reverse("b"))).alias("m"))
+    best = best.select(F.col("a").alias("name"), F.col("m.b").alias("entity_name"), F.col("m.score").alias("score")).join(named, "entity_name")
+    out = names.join(best, "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    band = F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.7, "medium").when(F.col("score") >= 0.5, "low").otherwise("unmatched")
+    return out.select("name", "entity_id", F.col("entity_name").alias("matched_name"), band.alias("confidence"), "score", F.lit("fuzzy").alias("method"))
 
 
 def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
@@ -181,8 +226,8 @@ def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
     nobody, unknown = F.lit(None).cast(entities.schema["entity_id"].dataType).alias("entity_id"), F.lit(None).cast("string").alias("matched_name")
     review = left.where(F.length("name") <= 5).select("name", nobody, unknown, F.lit("low").alias("confidence"), F.lit(0.0).alias("score"), F.lit("abbreviation").alias("method"))
     rest = checkpointed(left.where(F.length("name") > 5))
-    fuzzy = rest.join(match_fuzzy(rest, entities), "name", "left")
-    fuzzy = fuzzy.select("name", "entity_id", "matched_name", F.coalesce("confidence", F.lit("unmatched")).alias("confidence"), "score", F.coalesce("method", F.lit("none")).alias("method"))
+    fuzzy = match_fuzzy(rest, entities)
+    fuzzy = fuzzy.select("name", "entity_id", "matched_name", "confidence", "score", F.when(F.col("confidence") == "unmatched", "none").otherwise(F.col("method")).alias("method"))
     return decided.unionByName(review).unionByName(fuzzy)
 
 
@@ -252,13 +297,27 @@ def review_counts(rows: DataFrame) -> DataFrame:
     return rows.where("entity_id is null").groupBy(F.coalesce("match_confidence", F.lit("none")).alias("confidence")).agg(F.count("*").alias("n"))
 
 
+def _new_ids(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """names (k, entity_name) with entity_id: the hash of the name, SHA-1 as text or 64 bits as a number. A number that an
+    entity has already gives way to a hash with a mark; of new names that share one the least keeps it."""
+    kind = entities.schema["entity_id"].dataType.simpleString()
+    if kind == "string":
+        return names.select(F.sha1("k").alias("entity_id"), "entity_name")
+    if kind != "bigint":
+        raise TypeError(f"entity_id must be string or bigint for new entities, not {kind}")
+    taken = entities.select(F.col("entity_id").alias("_id")).distinct()
+    hashed = names.withColumn("_first", F.xxhash64("k")).join(taken, F.col("_first") == F.col("_id"), "left")
+    hashed = hashed.select(F.when(F.col("_id").isNull(), F.col("_first")).otherwise(F.xxhash64(F.concat("k", F.lit("|")))).alias("entity_id"), "entity_name")
+    return hashed.groupBy("entity_id").agg(F.min("entity_name").alias("entity_name"))
+
+
 def apply_decisions(rows: DataFrame, entities: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """E14. (rows, entities) after decisions (id, action approve/reject/create, entity_id, new_name): approved rows get
-    the entity, created ones a new one by name (hash of the name as id where ids are text), rejected ones none."""
+    the entity, created ones a new one by name, with a hash of the name as id (text or bigint), rejected ones none."""
     new = decisions.where("action = 'create'").select(F.trim("new_name").alias("entity_name")).where("entity_name <> ''").distinct()
     new = new.withColumn("k", F.lower("entity_name")).groupBy("k").agg(F.min("entity_name").alias("entity_name"))
     old = entities.select(F.lower("entity_name").alias("k")).distinct()
-    new = new.join(old, "k", "left_anti").select(F.sha1("k").cast(entities.schema["entity_id"].dataType).alias("entity_id"), "entity_name")
+    new = _new_ids(new.join(old, "k", "left_anti"), entities)
     every = entities.select("entity_id", "entity_name").unionByName(new)
     by_name = every.groupBy(F.lower("entity_name").alias("_k")).agg(F.min("entity_id").alias("_created"))
     d = decisions.select(F.col("id"), "action", F.col("entity_id").alias("_approved"), F.lower(F.trim("new_name")).alias("_k")).join(by_name, "_k", "left").drop("_k")

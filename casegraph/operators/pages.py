@@ -24,7 +24,8 @@ def page_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """T0. One row for each start tag: page, place, tag, class, href, text (up to the tag's own end tag's or the next start
     tag's text), the nearest heading before it, and the class of the innermost section, list or division with a class that it stands in (DEEP levels).
 
-    Text and context come from one pass of windows over a page's tags in order; depth is a running sum of section tags.
+    Text and context come from windows over a page's tags in order, whose sums run forward only, and one aggregate over
+    each run of tags behind an inline one, so a page costs as much as it has tags; depth is a running sum of section tags.
     """
     parts = pages.select(key, F.posexplode(F.split(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " "), "(?=<)")).alias("place", "part"))
     rows = parts.withColumn("tag", F.lower(F.regexp_extract("part", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))).where("tag <> ''")
@@ -42,9 +43,12 @@ def page_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     inline = F.col("tag").isin("a", "h1", "h2", "h3", "h4", "strong", "b", "li", "button", "p", "title")
     head = F.col("tag").isin("h1", "h2", "h3", "h4", "strong", "b")
     rows = rows.withColumn("_n", F.sum(inline.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy(key, "_n").orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    text = F.trim(F.regexp_replace(F.array_join(F.collect_list("own").over(within), ""), r"\s+", " "))
-    rows = rows.withColumn("text", F.when(inline, text).otherwise(F.trim(F.regexp_replace("own", r"\s+", " "))))
+    # each run is collected once and its first row gets the text
+    items = F.sort_array(F.collect_list(F.struct("place", "tag", "class", "href", "own", "depth", "section")))
+    runs = rows.groupBy(key, "_n").agg(items.alias("items")).withColumn("whole", F.array_join(F.transform("items", lambda x: x["own"]), ""))
+    rows = runs.select(key, "whole", F.explode("items").alias("r")).select(key, "r.*", "whole")
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    rows = rows.withColumn("text", F.when(inline, squeezed("whole")).otherwise(squeezed("own"))).drop("whole")
     rows = rows.withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     return rows.where(~F.startswith("tag", F.lit("/"))).select(key, "place", "tag", "class", "href", "text", "heading", "section", "depth")
 
@@ -132,10 +136,13 @@ def discover_listings(tokens: DataFrame, documents: DataFrame, key: str = "page_
     return matched, orphan
 
 
-def repeated_pages(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """T14. Listing pages whose links are the same as the page's before: where paging has run over the end."""
+def repeated_pages(tokens: DataFrame, listing: DataFrame, key: str = "page_id") -> DataFrame:
+    """T14. Listing pages (listing: page, listing, number) whose links are the same as those of the page with the number
+    before in their listing: where paging has run over the end. Pages meet by listing and number."""
     signature = tokens.where("tag = 'a'").groupBy(key).agg(F.sha1(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "href"))), lambda x: x["href"]), "|")).alias("signature"))
-    return signature.withColumn("repeated", F.coalesce(F.lag("signature").over(Window.orderBy(key)) == F.col("signature"), F.lit(False)))
+    signed = listing.select(key, "listing", "number").join(signature, key)
+    before = signed.select("listing", (F.col("number") + 1).alias("number"), F.col("signature").alias("_before")).groupBy("listing", "number").agg(F.max("_before").alias("_before"))
+    return signed.join(before, ["listing", "number"], "left").select(key, "listing", "number", "signature", F.coalesce(F.col("_before") == F.col("signature"), F.lit(False)).alias("repeated"))
 
 
 def find_consultation_link(documents: DataFrame, refs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -218,8 +225,8 @@ def key_sections(docs: DataFrame, key: str = "doc_id", text: str = "raw_content"
     mark = r"(?m)^(?:Författningsförslag|Förslag till riksdagsbeslut|Summary|1\s+[A-ZÅÄÖ])"
     pieces = base.where(long).select(key, F.length("_t").alias("_all"), F.posexplode(F.split("_t", r"(?mi)^(?=(?:\d+\s+)?Sammanfattning\s*$)")).alias("nth", "piece"))
     pieces = pieces.withColumn("_start", F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pieces = pieces.withColumn("_body", F.trim(F.get(F.split(F.regexp_extract("piece", r"(?s)^[^\n]*\n(.*)$", 1), mark, 2), F.lit(0))))
-    best = pieces.where((F.col("nth") > 0) & (F.length("_body") > 500) & (F.col("_start") <= F.col("_all") * 0.8)).groupBy(key).agg(F.max_by(F.substring("_body", 1, 60_000), F.struct(F.length("_body"), -F.col("nth"))).alias("_summary"))
+    pieces = pieces.withColumn("_body", F.regexp_replace(F.get(F.split(F.regexp_extract("piece", r"(?s)^[^\n]*\n(.*)$", 1), mark, 2), F.lit(0)), r"^\s+|\s+$", ""))
+    best = pieces.where(F.col("piece").rlike(r"(?i)^(\d+\s+)?Sammanfattning\s*\n") & (F.length("_body") > 500) & (F.col("_start") <= F.col("_all") * 0.8)).groupBy(key).agg(F.max_by(F.substring("_body", 1, 60_000), F.struct(F.length("_body"), -F.col("nth"))).alias("_summary"))
     start = F.substring("_t", 1, 20_000)
     contents = F.regexp_extract(start, r"(?ms)^(?:Innehåll|Innehållsförteckning)\s*$(.*?)(?=^(?:Sammanfattning|Författningsförslag|1\s+[A-ZÅÄÖ])|\z)", 1)
     entries = F.filter(F.split(contents, "\n"), lambda x: F.trim(x).rlike(r"^\d+(\.\d+)*\s+|^[A-ZÅÄÖ]"))

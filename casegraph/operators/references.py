@@ -12,7 +12,11 @@ from ..functions.text import decode_entities, document_number, link_kind, normal
 from .components import components
 
 # Words that a title is not searched by, headings that are no titles, and the least length of a title.
-STOP_WORDS = "och för att med som till den det ett en av på har kan ska vid från eller inte nya om mot alla genom mellan utan vissa samt tilläggsdirektiv utredningen kommittédirektiv nationell remiss promemorian uppdrag".split()
+STOP_WORDS = (
+    "och", "för", "att", "med", "som", "till", "den", "det", "ett", "en", "av", "på",
+    "har", "kan", "ska", "vid", "från", "eller", "inte", "nya", "om", "mot", "alla", "genom",
+    "mellan", "utan", "vissa", "samt", "tilläggsdirektiv", "utredningen", "kommittédirektiv", "nationell", "remiss", "promemorian", "uppdrag",
+)
 HEADINGS = ("om lagstiftningen i sverige", "om lagstiftning i eu", "kommittédirektiv", "kommittedirektiv")
 
 # Kinds of relationships by the two documents' types, with score and class.
@@ -86,7 +90,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def search_words(title: Column) -> Column:
     """The words of over four letters that aren't stop words, longest first, ties as they stand."""
-    words = F.transform(F.filter(F.split(title, r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(STOP_WORDS)), lambda w, i: F.struct((-F.length(w)).alias("l"), i.alias("i"), w.alias("w")))
+    words = F.transform(F.filter(F.split(title, r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(*STOP_WORDS)), lambda w, i: F.struct((-F.length(w)).alias("l"), i.alias("i"), w.alias("w")))
     return F.transform(F.array_sort(words), lambda x: x["w"])
 
 
@@ -95,8 +99,8 @@ def match_titles(refs: DataFrame, documents: DataFrame, threshold: float = 0.35)
     target_id, similarity, reason (matched, below_threshold, no_candidates, no_search_words).
 
     Distinct titles are matched once. Documents whose titles hold both of the two longest words are candidates, or else
-    those that hold the longest. Titles meet documents on whole words (as starts of words, so an ending may follow):
-    an equi-join on the first five letters, then a containment test; never all with all.
+    those that hold the longest. Titles meet documents on five letters in a row of the longest word, those that fewest documents
+    have, then comes a containment test: never all with all, and not on the common start of many long words.
     """
     title = refs.withColumn("title", normal_title(F.col("target_number")))
     is_title = ~F.col("target_number").rlike(r"\d{4}[:/]\d+") & (F.length("target_number") > 10) & ~F.col("title").isin(*HEADINGS)
@@ -104,10 +108,14 @@ def match_titles(refs: DataFrame, documents: DataFrame, threshold: float = 0.35)
     asked = titles.select("title").distinct().withColumn("_w", search_words(F.col("title")))
     asked = asked.withColumn("w1", F.get("_w", F.lit(0))).withColumn("w2", F.get("_w", F.lit(1)))
     docs = documents.where("title is not null").select(F.col("doc_id"), normal_title(F.col("title")).alias("doc_title"), F.lower("title").alias("_low"))
-    starts = docs.withColumn("_five", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low") - 4)), lambda i: F.substring("_low", i, F.lit(5))))))
-    pairs = asked.where("w1 is not null").withColumn("_five", F.substring("w1", 1, 5)).join(starts, "_five").where(F.contains("_low", "w1"))
+    fives = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 4)), lambda i: F.substring(c, i, F.lit(5))))
+    starts = docs.withColumn("_five", F.explode(fives("_low")))
+    counts = starts.groupBy("_five").agg(F.count("*").alias("_n"))
+    words = asked.select("w1").distinct().where("w1 is not null")
+    rarest = words.withColumn("_five", F.explode(fives("w1"))).join(counts, "_five").groupBy("w1").agg(F.min_by("_five", F.struct("_n", "_five")).alias("_five"))
+    pairs = asked.join(rarest, "w1").join(starts, "_five").where(F.contains("_low", "w1"))
     pairs = pairs.withColumn("_both", F.coalesce(F.contains("_low", "w2"), F.lit(False))).withColumn("similarity", trigram_similarity(F.col("title"), F.col("doc_title")))
-    best = lambda c: F.max_by(F.struct("doc_id", "similarity"), F.when(c, F.struct(F.col("similarity"), -F.xxhash64("doc_id"))))
+    best = lambda c: F.min_by(F.struct("doc_id", "similarity"), F.when(c, F.struct(-F.col("similarity"), F.col("doc_id"))))
     found = pairs.groupBy("title").agg(best(F.col("_both")).alias("two"), best(F.lit(True)).alias("one")).select("title", F.coalesce("two", "one").alias("b"))
     judged = asked.join(found, "title", "left").select("title", "w1", F.col("b.doc_id").alias("_d"), F.col("b.similarity").alias("similarity"))
     good = F.col("similarity") >= threshold

@@ -67,9 +67,12 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similar_documents(vectors: DataFrame, ids: list, k: int = 10, threshold: float = 0.0, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def similar_documents(vectors: DataFrame, ids: list, k: int = 10, threshold: float = 0.0, key: str = "doc_id", vector: str = "embedding", most: int = 1_000) -> DataFrame:
     """Q5. For each of the given documents the k others of greatest cosine, from threshold on; ties to the smaller id.
-    Only the asked documents' vectors are broadcast, as many as ids were given; each task keeps k a query before the exchange."""
+    Only the asked documents' vectors are broadcast, at most `most` of them (more ids raise an error); each task keeps k a
+    query before the exchange."""
+    if len(ids) > most:
+        raise ValueError(f"more than {most} documents asked at once")
     unit = vectors.select(key, vector, F.sqrt(_dot(F.col(vector), F.col(vector))).alias("_n")).where("_n > 0")
     asked = unit.where(F.col(key).isin(ids)).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), F.col("_n").alias("_qn"))
     pairs = unit.join(F.broadcast(asked), F.col(key) != F.col("query_id"))

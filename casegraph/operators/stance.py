@@ -27,11 +27,15 @@ def sections(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     return out.where(F.trim(F.regexp_replace("content", r"\s", "")) != "").withColumn("weight", F.when(F.col("kind") == "body", 1.0).otherwise(2.0))
 
 
-def rule_table(approved: DataFrame | None = None) -> dict[str, tuple[str, ...]]:
-    """P8. The stance rules, with approved keywords (keyword, category; a bounded rule table) as further ones."""
+def rule_table(approved: DataFrame | None = None, most: int = 1_000) -> dict[str, tuple[str, ...]]:
+    """P8. The stance rules, with approved keywords (keyword, category) as further ones: at most `most`, more raise an
+    error, as each is a pattern that all texts are searched for."""
     found = dict(rules.STANCE)
     if approved is not None:
-        for row in approved.select("category", "keyword").distinct().orderBy("category", "keyword").toLocalIterator():
+        rows = approved.select("category", "keyword").distinct().orderBy("category", "keyword").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} approved keywords")
+        for row in rows:
             found[row["category"]] = (*found.get(row["category"], ()), r"\b" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in row["keyword"]) + r"\b")
     return found
 
@@ -80,11 +84,11 @@ def stance(texts: DataFrame, key: str = "id", text: str = "text", least: int = 1
 
 def analyze_batch(answers: DataFrame, **signals) -> DataFrame:
     """P4. Answers (id, text, extraction_status, analysis_status) that await analysis, with stance and status: ok, or
-    skipped where the text is missing or too short."""
+    skipped where the text is missing or too short. What an analysis before has found is replaced."""
     waiting = answers.where((F.col("extraction_status") == "ok") & (F.col("analysis_status").isNull() | F.col("analysis_status").isin("not_started", "pending")))
     found = stance(waiting, **signals)
     status = F.when(F.length(F.coalesce("text", F.lit(""))) < 100, "skipped").otherwise("ok")
-    return waiting.drop("analysis_status").join(found, "id").withColumn("analysis_status", status)
+    return waiting.drop("analysis_status", *(c for c in found.columns if c != "id")).join(found, "id").withColumn("analysis_status", status)
 
 
 def batch_summary(analyzed: DataFrame) -> DataFrame:

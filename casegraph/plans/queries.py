@@ -6,10 +6,9 @@ invited where the line's return flag is N or A; the flag is the stance. Other bi
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -20,8 +19,8 @@ from ..operators import pages as H
 from ..operators import references as G
 from ..operators import search as Q
 from ..operators import stance as P
-from ..operators.components import shared_dir
 from ..sources import tables as S
+from ..sources.scratch import new_path
 from ..streaming import streams as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,21 +342,23 @@ def orders(spark, d, condition):
     return S.load(spark, d, "orders").where(condition).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 2 <> 0")
 def s05_insert_absent(spark, d):
-    return S.insert_absent(orders(spark, d, "o_orderkey % 3 = 0"), orders(spark, d, "o_orderkey % 2 = 0"), ["o_orderkey"])
+    """All orders are new, those with even keys are there."""
+    return S.insert_absent(orders(spark, d, "true"), orders(spark, d, "o_orderkey % 2 = 0"), ["o_orderkey"])
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def s06_upsert_update(spark, d):
+    """Every third order is new, the others and half of these are there."""
     new = orders(spark, d, "o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return S.upsert(new, orders(spark, d, "o_orderkey % 2 = 0"), ["o_orderkey"])
+    return S.upsert(new, orders(spark, d, "o_orderkey % 3 <> 0 or o_orderkey % 2 = 0"), ["o_orderkey"])
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0 THEN o_totalprice ELSE o_totalprice + 1 END AS o_totalprice FROM orders")
 def s06_upsert_ignore(spark, d):
     new = orders(spark, d, "o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return S.upsert(new, orders(spark, d, "o_orderkey % 2 = 0"), ["o_orderkey"], "ignore")
+    return S.upsert(new, orders(spark, d, "o_orderkey % 3 <> 0 or o_orderkey % 2 = 0"), ["o_orderkey"], "ignore")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'error' AND value > 10 ORDER BY ts, event_id LIMIT 50")
@@ -404,12 +405,13 @@ def t02_truncate(spark, d):
     return S.load(spark, d, "documents").select("doc_id", X.truncate(F.col("text"), 80).alias("short"))
 
 
-@query()
-def t01_sanitize(spark, d):
-    return S.load(spark, d, "documents").select("doc_id", F.sha1(X.sanitize(F.col("text"))).alias("clean"))
+_PLAIN = r"regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+_PLAIN = rf"trim(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), '\n[ \t\n\v\f\r]*\n[ \t\n\v\f\r]*\n+', chr(10) || chr(10), 'g'), ' ')"
 
 
-@query()
+@query(f"SELECT page_id, {_PLAIN} AS text FROM pages")
 def t03_html_to_text(spark, d):
     return S.load(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
@@ -419,16 +421,22 @@ def names(spark, d):
     return S.load(spark, d, "part").select(F.concat("p_name", F.lit(" AB")).alias("name"), "p_name").distinct()
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, lower(trim(regexp_replace(regexp_replace(p_name, '-', ' ', 'g'), '\\s+', ' ', 'g'))) f FROM p),
-  b AS (SELECT DISTINCT p_name, f, substr(f, CAST(i AS BIGINT), 2) gram FROM g, (SELECT unnest(range(1, 200)) i) WHERE i < length(f)), n AS (SELECT p_name, count(*) n FROM b GROUP BY 1),
-  s AS (SELECT x.p_name a, y.p_name b, count(*) c FROM b x JOIN b y ON x.gram = y.gram GROUP BY 1, 2)
-  SELECT s.a, s.b, CASE WHEN s.a = s.b THEN 1.0 WHEN contains(s.a, s.b) OR contains(s.b, s.a) THEN 0.8 + 0.2 * least(length(s.a), length(s.b)) / greatest(length(s.a), length(s.b)) ELSE 2.0 * c / (na.n + nb.n) END AS score FROM s JOIN n na ON na.p_name = s.a JOIN n nb ON nb.p_name = s.b""")
+_NAMES = """p AS (SELECT DISTINCT p_name FROM part), {sides},
+  s AS (SELECT x.n a, y.n b, count(*) c FROM ga x JOIN gb y ON x.gram = y.gram GROUP BY 1, 2), na AS (SELECT n, count(*) k FROM ga GROUP BY 1), nb AS (SELECT n, count(*) k FROM gb GROUP BY 1),
+  z AS (SELECT a, b, CASE WHEN lower(a) = lower(b) THEN 1.0::DOUBLE WHEN (contains(lower(a), lower(b)) OR contains(lower(b), lower(a))) AND least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.5
+    THEN 0.8::DOUBLE + 0.2::DOUBLE * (least(length(a), length(b)) / greatest(length(a), length(b))) ELSE c * 2 / (na.k + nb.k) END AS score FROM s JOIN na ON na.n = a JOIN nb ON nb.n = b)"""
+
+
+def _grams_sql(side: str, name: str) -> str:
+    folded = "lower(trim(regexp_replace(regexp_replace(n, '-', ' ', 'g'), '\\s+', ' ', 'g')))"
+    return f"g{side} AS (SELECT DISTINCT n, substr({folded}, CAST(i AS BIGINT), 2) AS gram FROM (SELECT {name} AS n FROM p), (SELECT unnest(range(1, 200)) i) WHERE i < length({folded}))"
+
+
+@query("WITH " + _NAMES.format(sides=_grams_sql("a", "p_name") + ", " + _grams_sql("b", "p_name")) + " SELECT a, b, score FROM z WHERE score >= 0.5")
 def e06_string_similarity(spark, d):
-    """All pairs that share a bigram, met on bigrams as in the fuzzy match."""
+    """All pairs of part names with a similarity of .5 or more."""
     p = S.load(spark, d, "part").select("p_name").distinct()
-    grams = lambda c: p.select(F.col("p_name").alias(c), F.explode(E.bigrams(E.folded(F.col("p_name")))).alias("gram"))
-    met = grams("a").join(grams("b"), "gram").select("a", "b").distinct()
-    return met.withColumn("score", E.similarity(F.col("a"), F.col("b")))
+    return E.similar_pairs(p.select(F.col("p_name").alias("a")), p.select(F.col("p_name").alias("b")))
 
 
 @query()
@@ -455,6 +463,14 @@ def g08_components(spark, d):
     return G.components(edges(spark, d), "source_id", "target_id")
 
 
+@query("SELECT node, component FROM (SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1")
+def g08_chains(spark, d):
+    """Each order is linked to its customer's next one: a chain for each customer."""
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    chain = S.load(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"), after.alias("target_id")).where("target_id is not null")
+    return G.components(chain, "source_id", "target_id", small=0)
+
+
 @query("""WITH e AS (SELECT DISTINCT l_orderkey s, l_suppkey t FROM lineitem WHERE l_orderkey <> l_suppkey),
   k AS (SELECT s, t, a.o_orderstatus x, b.o_orderstatus y FROM e JOIN orders a ON a.o_orderkey = s JOIN orders b ON b.o_orderkey = t)
   SELECT DISTINCT CASE WHEN NOT hit AND s > t THEN t ELSE s END AS source_id, CASE WHEN NOT hit AND s > t THEN s ELSE t END AS target_id, CASE WHEN hit THEN 'sou_to_proposition' ELSE 'references' END AS relationship_type FROM
@@ -561,7 +577,9 @@ def e03_match_exact(spark, d):
     return E.match_exact(part.select(F.concat("p_name", F.lit(" ")).alias("name")).distinct(), entities).select("name", "entity_id")
 
 
-@query()
+@query("WITH " + _NAMES.format(sides=_grams_sql("a", "p_name || 'x'") + ", " + _grams_sql("b", "p_name")) + """, m AS (SELECT a, arg_max(b, (score, -length(b), reverse(b))) AS b, max(score) AS score FROM z WHERE score >= 0.5 GROUP BY 1)
+  SELECT p_name || 'x' AS name, k AS entity_id, b AS matched_name, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' WHEN score >= 0.5 THEN 'low' ELSE 'unmatched' END AS confidence, coalesce(score, 0) AS score, 'fuzzy' AS method
+  FROM p LEFT JOIN m ON a = p_name || 'x' LEFT JOIN (SELECT p_name AS e, min(p_partkey) AS k FROM part GROUP BY 1) ON e = b""")
 def e07_match_fuzzy(spark, d):
     part = S.load(spark, d, "part")
     entities = part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
@@ -574,13 +592,21 @@ def e12_merge_duplicates(spark, d):
     return E.merge_duplicates(part)[1]
 
 
-@query()
+def _trigrams_sql(c: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({c}) + 2), lambda i: substr('  ' || {c} || ' ', CAST(i AS BIGINT), 3)))"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS ref_id, lower(p_name) || ' enligt förslaget' AS title FROM part WHERE length(p_name) > 0), t AS (SELECT DISTINCT title FROM r), w AS (SELECT title, unnest(string_split(title, ' ')) AS w, generate_subscripts(string_split(title, ' '), 1) AS i FROM t),
+  k AS (SELECT title, list(w ORDER BY length(w) DESC, i) AS ws FROM w WHERE length(w) > 4 AND w NOT IN ({", ".join(repr(x) for x in G.STOP_WORDS)}) GROUP BY 1), d AS (SELECT lower(p_name) AS low, min(p_partkey) AS doc_id FROM part GROUP BY p_name),
+  p AS (SELECT k.title, doc_id, low, coalesce(contains(low, ws[2]), false) AS both_, len(list_intersect({_trigrams_sql('k.title')}, {_trigrams_sql('low')})) AS c, len({_trigrams_sql('k.title')}) + len({_trigrams_sql('low')}) AS n FROM k JOIN d ON contains(low, ws[1])),
+  s AS (SELECT *, c / (n - c) AS similarity FROM p), b AS (SELECT title, coalesce(arg_min({{'d': doc_id, 's': similarity}}, (-similarity, doc_id)) FILTER (both_), arg_min({{'d': doc_id, 's': similarity}}, (-similarity, doc_id))) AS x FROM s GROUP BY 1)
+  SELECT ref_id, CASE WHEN x.s >= 0.35 THEN x.d END AS target_id, x.s AS similarity, CASE WHEN k.title IS NULL THEN 'no_search_words' WHEN x IS NULL THEN 'no_candidates' WHEN x.s >= 0.35 THEN 'matched' ELSE 'below_threshold' END AS reason FROM r LEFT JOIN k USING (title) LEFT JOIN b USING (title)""")
 def g03_match_titles(spark, d):
     """References by part names with another ending, against parts as documents."""
     part = S.load(spark, d, "part")
     refs = part.select(F.col("p_partkey").alias("ref_id"), F.col("p_partkey").alias("source_id"), F.concat("p_name", F.lit(" enligt förslaget")).alias("target_number"))
     docs = part.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("doc_id"))
-    return G.match_titles(refs, docs)
+    return G.match_titles(refs, docs).select("ref_id", "target_id", "similarity", "reason")
 
 
 # --- adoption and clusters: parts are documents, brands are processes; an order links its first and last part, and parts
@@ -623,7 +649,7 @@ def events_stream(spark, d):
 
 def streamed(df: DataFrame, mode: str) -> DataFrame:
     """What a stream has written when it has read all that is there: in complete mode the last batch's rows."""
-    spark, base = df.sparkSession, f"{shared_dir(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark, base = df.sparkSession, new_path(df.sparkSession, "stream")
     save = "overwrite" if mode == "complete" else "append"
     writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(save).parquet(f"{base}/rows"))
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

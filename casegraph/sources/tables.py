@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sanitize
+from .scratch import replace
 
 # Aliases of document types; others count as reports.
 DOC_TYPES = {"prop": "proposition", "proposition": "proposition", "dir": "directive", "directive": "directive", "bet": "committee_report", "committee_report": "committee_report", "lag": "law", "law": "law"}
@@ -45,8 +47,11 @@ def upsert(new: DataFrame, existing: DataFrame, keys: list[str], on_conflict: st
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
-    """S7. Replaces the table at path."""
-    df.write.mode("overwrite").parquet(path)
+    """S7. Replaces the table at path, which df may read: df is written beside it, then the folders change places and the
+    old one goes. If writing fails the table is as it was."""
+    new = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    replace(df.sparkSession, new, path)
 
 
 def pending(df: DataFrame, conditions: list[Column], order: list[str], limit: int | None = None) -> DataFrame:
