@@ -77,17 +77,26 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself, with the columns of docs: each document epochs times, and once more with its first `rest` words.
 
-    A document of which nothing is taken is not in the mix. Of rows that are equal in doc_id, source and text, each
-    gives what the one of them gives that gives least.
+    A document of which nothing is taken is not in the mix. Rows that are equal in doc_id, source and text are numbered,
+    and of what the mix takes of them the first ones give whole texts, the next one the words at the cut: so the mix holds the
+    words that mix_sources counts, repeated rows too. Columns of docs may have any names. Empty docs give an empty mix.
     """
-    key = F.xxhash64(F.lit(parameters.get("seed", 17)), F.col("doc_id"), F.col("text"))
-    plan = mix_sources(docs, **parameters).groupBy(F.col("key").alias("_key"), F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.min("epochs").alias("_epochs"), F.min("rest").alias("_rest")).where("_epochs * _size + _rest > 0")
-    both = docs.withColumn("_k", key).join(plan, (F.col("_k") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")))
+    seed = parameters.get("seed", 17)
+    counts = mix_sources(docs, **parameters).where("size > 0").groupBy("key", "doc_id", "source").agg(
+        F.first("size").alias("size"), F.first("epochs").alias("epochs"), F.count_if(F.col("rest") == F.col("size")).alias("whole"), F.coalesce(F.max(F.when(F.col("rest") < F.col("size"), F.col("rest"))), F.lit(0)).alias("part")
+    )
+    plan = counts.where("epochs > 0 or whole > 0 or part > 0").withColumnsRenamed({"key": "of", "doc_id": "of_doc", "source": "of_source"})
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("key"), F.xxhash64(*(docs[c] for c in hashed)).alias("turn"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "row.doc_id", "row.source").orderBy("turn")))
+    both = rows.join(plan, (F.col("key") == F.col("of")) & F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & F.col("row.source").eqNullSafe(F.col("of_source")))
     # white space before the first word makes a part of its own
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    first = F.concat_ws("", F.slice(F.split("text", _BEFORE_WORD), F.lit(1), (F.col("_rest") + lead).cast("int")))
-    times = F.concat(F.array_repeat(F.lit(True), F.col("_epochs").cast("int")), F.when(F.col("_rest") > 0, F.array(F.col("_rest") == F.col("_size"))).otherwise(F.array().cast("array<boolean>")))
-    out = both.withColumn("_whole", F.explode(times)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.rtrim(first)))
+    text, rest = F.col("row.text"), F.when(F.col("nth") <= F.col("whole"), F.col("size")).when(F.col("nth") == F.col("whole") + 1, F.col("part")).otherwise(0)
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    first = F.concat_ws("", F.slice(F.split(text, _BEFORE_WORD), F.lit(1), (rest + lead).cast("int")))
+    times = F.concat(F.array_repeat(F.lit(True), F.col("epochs").cast("int")), F.when(rest > 0, F.array(rest == F.col("size"))).otherwise(F.array().cast("array<boolean>")))
+    out = both.select("row", F.explode(times).alias("all"), F.rtrim(first).alias("first")).select("row", F.when(F.col("all"), text).otherwise(F.col("first")).alias("taken"))
+    new = {"text": F.col("taken")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("taken").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
