@@ -103,19 +103,33 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, equal
 
 
-def has_previous_factor(order: np.ndarray, equal: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Which suffixes have a longest previous factor of the full length.
+def smaller_neighbours(order: np.ndarray, equal: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, next): for each place in suffix order the nearest place before and behind it with a smaller position,
+    among the suffixes that share all bytes with it; -1 where there is none.
 
-    That is so if, among the suffixes next to it in suffix order that share all bytes, the previous or the next smaller
-    position exists.
+    All places jump at once: one whose neighbour is not smaller goes on to that neighbour's own, so what it skips is larger.
     """
-    if not len(order):
-        return np.zeros(0, dtype=bool)
-    heads = np.flatnonzero(~equal)
+    n = len(order)
     place = position[order]
-    smallest = np.minimum.reduceat(place, heads)
+    found = []
+    for step, joined in ((-1, equal), (1, np.append(equal[1:], False))):
+        near = np.where(joined, np.arange(n) + step, -1)
+        left = np.flatnonzero(near >= 0)
+        while len(left):
+            left = left[place[near[left]] >= place[left]]
+            near[left] = near[near[left]]
+            left = left[near[left] >= 0]
+        found.append(near)
+    return found[0], found[1]
+
+
+def has_previous_factor(order: np.ndarray, equal: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Which suffixes have a longest previous factor of the full length: the factor is the longer of those at the previous
+    and at the next smaller position in suffix order, so one of them must share all bytes."""
     out = np.zeros(len(order), dtype=bool)
-    out[order] = place > np.repeat(smallest, np.diff(np.append(heads, len(order))))
+    if len(order):
+        before, after = smaller_neighbours(order, equal, position)
+        out[order] = (before >= 0) | (after >= 0)
     return out
 
 
@@ -232,7 +246,7 @@ def _table(columns: dict):
     return pa.table({n.split()[0]: pa.array(columns[n.split()[0]], kinds.get(n.split()[0], pa.int64())) for n in _SNIPPETS.split(", ")})
 
 
-def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 << 20, salt_rows: int = 20_000, as_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 << 20, salt_rows: int = 20_000, frequent: int = 20_000, as_text: bool = False) -> DataFrame:
     """docs with, for each row, its UTF-8 text without the bytes that a string of `length` bytes covers which also
     starts earlier: in a row of a smaller doc_id, or in the same text at a smaller place.
 
@@ -244,7 +258,8 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     1. Each window of `length` bytes is named by the 24-byte gram in it whose hash is least, so equal windows have equal
        names; neighbouring windows share them, about one name for 34 bytes, and make a snippet that holds them all.
     2. Snippets meet by name as a name, a 64-bit print and a place. Of snippets with one name and print all but the
-       earliest repeat as a whole, in each batch of texts before they are exchanged and then among all. A name with a single print has no other repeat. 3. For the others the first of each
+       earliest repeat as a whole, within each task (which remembers `frequent` of those that it has met twice) before
+       they are exchanged and then among all. A name with a single print has no other repeat. 3. For the others the first of each
        print comes with its bytes, from the texts dealt by document. In each task group a suffix array of their windows
        gives previous and next smaller positions among suffixes that share `length` bytes, so the longest previous factor
        tells the later ones. A name with over salt_rows prints is dealt over several groups; the windows that are the first of
@@ -258,21 +273,31 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     groups = max(8, -(-total_bytes(texts, "text") // group_bytes))
     g = F.pmod(F.xxhash64("doc"), F.lit(groups)).alias("g")
 
-    def first_of_each(keys, prints, docs, first, size):
+    def first_of_each(met, keys, prints, docs, first, size):
         """The columns and whether a row has an earlier one of its name and print here. Such a row repeats for certain:
-        it takes a name of its own, so a passage that very many texts have sends one row from each batch to its task."""
+        it takes a name of its own. What a batch has twice is noted in met for the task's later batches, so a passage
+        that very many texts have sends about one row from each task to its name's."""
         order = np.lexsort((first, docs, prints, keys))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]) | (prints[order][1:] != prints[order][:-1])
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         known = np.empty(len(order), dtype=bool)
         known[order] = (docs[order] != docs[head]) | (first[order] != first[head])
+        heads = order[new]
+        if met:
+            for i in heads[np.isin(prints[heads], np.fromiter((p for _, p in met), np.int64, len(met)))].tolist():
+                known[i] = met.get((keys[i], prints[i]), (docs[i], first[i])) < (docs[i], first[i])
+        several = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+        for i in heads[several & ~known[heads]].tolist():
+            if len(met) < frequent:
+                met[int(keys[i]), int(prints[i])] = (int(docs[i]), int(first[i]))
         own = mix(docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)).view(np.int64)
         return np.where(known, own, keys), prints, docs, first, size, known
 
     def names(batches):
         import pyarrow as pa
 
+        met: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in slices(batches, "text"):
             data, offsets = binary_column(batch.column("text"))
             found: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -283,7 +308,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
                 for column, values in zip(found, (keys, snippet_prints(text, first, size), np.full(len(keys), d), first, size), strict=True):
                     column.append(values)
             if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in first_of_each(*map(np.concatenate, found))], ["key", "print", "doc", "first", "bytes", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in first_of_each(met, *map(np.concatenate, found))], ["key", "print", "doc", "first", "bytes", "known"])
 
     def of_row(doc_rows: slice, nth: int, several: bool, text: np.ndarray, own) -> np.ndarray:
         """Which of a document's rows of `own` are this text's: all, unless several texts share the doc."""
