@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
         import pyarrow as pa
 
         codec = WordTokenizer.at(tokenizer)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             ids, offsets = codec.encode(batch.column("text"))
             out: dict[str, list] = {k.split()[0]: [] for k in schema.split(", ")}
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
