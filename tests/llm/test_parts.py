@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from casegraph.llm.minhash import link_sets, min_max_bands
 from casegraph.llm.shingles import shingle_sets
-from casegraph.llm.suffix import has_previous_factor, longest_previous_factors, suffix_order, window_runs
+from casegraph.llm.suffix import has_previous_factor, longest_previous_factors, smaller_neighbours, suffix_order, window_runs
 from casegraph.llm.warc import merge_runs, parse_records
 
 TEXT = st.text(alphabet="abAB \n\té", max_size=60)
@@ -46,6 +46,19 @@ def test_previous_factors(text):
     assert [raw[starts[i] : starts[i] + length] for i in order] == sorted(raw[i : i + length] for i in starts)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.booleans()), max_size=40))
+def test_smaller_neighbours(rows):
+    position = np.array([p * 64 + i for i, (p, _) in enumerate(rows)], np.int64)
+    equal = np.array([e and i > 0 for i, (_, e) in enumerate(rows)], bool)
+    before, after = smaller_neighbours(np.arange(len(rows)), equal, position)
+    run = np.cumsum(~equal)
+    for i in range(len(rows)):
+        own = [j for j in range(len(rows)) if run[j] == run[i] and position[j] < position[i]]
+        assert before[i] == max((j for j in own if j < i), default=-1)
+        assert after[i] == min((j for j in own if j > i), default=-1)
+
+
 def test_equal_windows_have_equal_names():
     rng = np.random.default_rng(0)
     passage = rng.integers(97, 101, 400, dtype=np.uint8)
