@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components, new_path, shared_dir, written
+from ..operators.components import components
+from ..sources.scratch import new_path, shared_dir, written
 
 __all__ = ["SPACES", "WORD", "binary_column", "components", "mix", "new_path", "release_memory", "shared_dir", "total_bytes", "written"]
 
