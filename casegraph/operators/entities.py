@@ -175,7 +175,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, forms=lambda c: [folded(c)]
     Names meet on rare bigrams, never all with all. At .5 or more by bigrams two names share at least a third of either
     side's, so they share one of the rarest two thirds of both (prefix filter); a name that is part of another shares its rarest
     bigram with it. Rarity counts both tables, so a common bigram is no name's meeting place unless it has no rarer ones.
-    Forms and bigrams are made once a name, not once a pair.
+    Forms and bigrams are made once a name, not once a pair. A name of one character has no bigram and is in no pair.
     """
     sides = {"a": _with_grams(left, "a", forms), "b": _with_grams(right, "b", forms)}
     n = len(forms(F.lit("")))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as X
 from ..operators import entities as E
 from ..operators import metrics as M
@@ -439,8 +440,22 @@ def e06_string_similarity(spark, d):
     return E.similar_pairs(p.select(F.col("p_name").alias("a")), p.select(F.col("p_name").alias("b")))
 
 
-@query()
+_ALIASES = ", ".join("('" + a.upper() + "', '" + t.lower() + "')" for a, t in rules.ABBREVIATIONS.items())
+_STEM = "lower(e)"
+for _ending in rules.ORG_ENDINGS:
+    _STEM = f"trim(regexp_replace({_STEM}, '{_ending}$', ''))"
+
+
+@query("WITH " + _NAMES.format(sides=_grams_sql("a", "p_name || ' AB'") + ", " + _grams_sql("b", "p_name")) + f""", ents AS (SELECT p_name AS e, min(p_partkey) AS k FROM part GROUP BY 1), nm AS (SELECT p_name || ' AB' AS n FROM p), al AS (SELECT * FROM (VALUES {_ALIASES}) AS t(a, t)),
+  st AS (SELECT e, k, {_STEM} AS stem FROM ents), pt AS (SELECT n, regexp_replace(regexp_replace(lower(n), '^svenska?\\s+', ''), '^sveriges\\s+', '') AS part FROM nm),
+  c AS (SELECT n, k, e, 1 AS step, 1.0 AS s, 'exact' AS m FROM nm JOIN ents ON lower(n) = lower(e) UNION ALL SELECT n, k, e, 2, 1.0, 'exact' FROM nm JOIN ents ON regexp_replace(lower(n), '[ -]', '', 'g') = regexp_replace(lower(e), '[ -]', '', 'g')
+    UNION ALL SELECT n, k, e, 5, 1.0, 'abbreviation' FROM nm JOIN al ON a = upper(regexp_extract(n, '^[^ -]*')) JOIN ents ON contains(lower(e), t) UNION ALL SELECT n, k, e, 6, 1.0, 'abbreviation' FROM nm JOIN al ON length(a) >= 3 AND contains(upper(n), a) JOIN ents ON contains(upper(e), a)
+    UNION ALL SELECT n, k, e, 7, 0.95, 'stem' FROM pt JOIN st ON length(part) >= 6 AND contains(stem, part)),
+  d AS (SELECT n, arg_min(k, (step, k)) AS k, arg_min(e, (step, k)) AS e, CAST(arg_min(s, (step, k)) AS DOUBLE) AS s, arg_min(m, (step, k)) AS m FROM c GROUP BY 1), f AS (SELECT a, arg_max(b, (score, -length(b), reverse(b))) AS b, max(score) AS score FROM z WHERE score >= 0.5 GROUP BY 1)
+  SELECT nm.n AS name, coalesce(d.k, fe.k) AS entity_id, coalesce(d.e, f.b) AS matched_name, CASE WHEN d.n IS NOT NULL OR f.score >= 0.9 THEN 'high' WHEN f.score >= 0.7 THEN 'medium' WHEN f.score >= 0.5 THEN 'low' ELSE 'unmatched' END AS confidence,
+  coalesce(d.s, f.score, 0) AS score, CASE WHEN d.n IS NOT NULL THEN d.m WHEN f.a IS NULL THEN 'none' ELSE 'fuzzy' END AS method FROM nm LEFT JOIN d ON d.n = nm.n LEFT JOIN f ON f.a = nm.n LEFT JOIN ents fe ON fe.e = f.b""")
 def e08_resolve(spark, d):
+    """Part names with a company's form behind, through the whole cascade."""
     entities = S.load(spark, d, "part").groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id"))
     return E.resolve(names(spark, d).select("name"), entities)
 
@@ -562,6 +577,15 @@ def t11_file_kind(spark, d):
     return S.load(spark, d, "pages").select("page_id", X.file_kind(F.col("url")).alias("kind"))
 
 
+@query("SELECT c_custkey AS id, unnest(['Almega ' || c_custkey, 'Kommun ' || c_custkey, 'Vinnova' || c_custkey, c_name, 'Hovrätten ' || c_custkey]) AS name FROM customer")
+def t19_numbered_names(spark, d):
+    """A numbered list for each customer, in all of the forms."""
+    n = F.col("c_custkey").cast("string")
+    lines = ("1. Almega ", n, "\n2) Kommun ", n, "\n3: Vinnova", n, "\n4 – ", F.col("c_name"), "\n5\nHovrätten ", n, "\n999. Verket\n6. Sida 3\nutan nummer")
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    return H.parse_numbered_list(S.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text")))[0].select("id", "name")
+
+
 @query()
 def t19_numbered_list(spark, d):
     rows = H.parse_numbered_list(S.load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))[1]

@@ -1,13 +1,17 @@
 """Stances, references, processes, participation and streams on small fixtures."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from casegraph.operators import entities as E
 from casegraph.operators import metrics as M
 from casegraph.operators import network as N
 from casegraph.operators import process as C
 from casegraph.operators import references as G
+from casegraph.operators import search as Q
 from casegraph.operators import stance as P
 from casegraph.sources import tables as S
 from casegraph.streaming import streams as R
@@ -129,9 +133,58 @@ def test_streams_agree_with_batches(spark, tmp_path):
     counts = run(R.task_counts(stream), "counts", "complete")
     batch = events.groupBy(F.window("ts", "1 hour"), "event_type").count()
     assert counts.count() == batch.count() and counts.agg(F.sum("n")).first()[0] == events.count()
+    # in append mode a window is told once, when the watermark has passed it, and its state goes
+    appended = run(R.task_counts(stream, delay="1 hour"), "appended", "append")
+    closed = {(r["window_start"], r["event_type"]): r["n"] for r in appended.collect()}
+    whole = {(r["window"]["start"], r["event_type"]): r["count"] for r in batch.collect()}
+    assert closed and appended.count() == len(closed) and all(whole[k] == n for k, n in closed.items())
     renamed = stream.withColumnRenamed("user_id", "case_id")
     spans = run(R.stream_velocity(renamed, "signup", "purchase"), "spans", "complete").where("days > 0")
     direct = M.velocity(events.select(F.col("user_id").alias("case_id"), "event_type", F.to_date("ts").alias("event_date")), "signup", "purchase")
     assert spans.select("case_id", "days").exceptAll(direct.select("case_id", "days")).count() == 0 and spans.count() == direct.count()
     once = run(R.dedup_events(renamed.withColumn("event_date", F.to_date("ts"))), "once", "append")
     assert once.count() == events.select("user_id", "event_type", F.to_date("ts")).distinct().count()
+
+
+def test_a_table_is_replaced_by_a_query_over_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    S.full_refresh(spark.read.parquet(path).where("id < 3"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(Exception, match="no number"):
+        S.full_refresh(spark.range(3).select(F.raise_error(F.lit("no number")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_limits_raise(spark):
+    words = spark.createDataFrame([(f"ord{i}", "support") for i in range(4)], "keyword string, category string")
+    assert len(P.rule_table(words, most=4)["support"]) == len(P.rule_table()["support"]) + 4
+    with pytest.raises(ValueError, match="more than 3"):
+        P.rule_table(words, most=3)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "doc_id int, embedding array<double>")
+    assert Q.similar_documents(vectors, [1], most=1).count() == 1
+    with pytest.raises(ValueError, match="more than 1"):
+        Q.similar_documents(vectors, [1, 2], most=1)
+
+
+def test_new_entities_with_numbers_as_ids(spark):
+    entities = spark.createDataFrame([(1, "Ann")], "entity_id long, entity_name string")
+    clash = spark.range(1).select(F.xxhash64(F.lit("bo")).alias("entity_id"), F.lit("Cy").alias("entity_name"))
+    rows = spark.createDataFrame([(i, None, "low") for i in range(5)], "id int, entity_id long, match_confidence string")
+    decisions = spark.createDataFrame([(0, "create", None, "Bo"), (1, "create", None, " bo "), (2, "create", None, "ann"), (3, "approve", 1, None), (4, "reject", None, None)], "id int, action string, entity_id long, new_name string")
+    out, every = E.apply_decisions(rows, entities.unionByName(clash), decisions)
+    got = {r["id"]: (r["entity_id"], r["match_confidence"]) for r in out.collect()}
+    assert got[0] == got[1] and got[0][0] is not None and got[0][1] == "high" and got[2] == (1, "high") and got[3] == (1, "high") and got[4] == (None, "rejected")
+    ids = [r["entity_id"] for r in every.collect()]
+    assert len(ids) == len(set(ids)) == 3
+
+
+def test_similar_pairs_are_all_found(spark):
+    rng = random.Random(4)
+    made = {"".join(rng.choice("abc -") for _ in range(rng.randint(2, 14))) for _ in range(120)} | {"kommun", "kommunen i abc", "abc stad", "abc kommun"}
+    names = sorted(n for n in made if len(" ".join(n.replace("-", " ").split())) > 1)  # shorter ones have no bigrams
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    left, right = df.select(F.col("n").alias("a")), df.select(F.col("n").alias("b"))
+    plain = left.crossJoin(right).select("a", "b", E.similarity(F.col("a"), F.col("b")).alias("score")).where("score >= 0.5")
+    rows = lambda d: {(r["a"], r["b"], round(r["score"], 9)) for r in d.collect()}
+    assert rows(E.similar_pairs(left, right)) == rows(plain)
