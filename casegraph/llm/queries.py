@@ -51,46 +51,57 @@ def tokenizer() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table of sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every fiftieth vector among all others."""
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector among all others."""
     return hash_prefix_forest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op3_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set, its component and whether it stays."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what repeated passages of 100 bytes take from it."""
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the archives says; the files' own columns are left out."""
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op8_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence."""
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the token files give it back."""
     return token_files(table(spark, sf_dir, "documents"), tokenizer())
 
 

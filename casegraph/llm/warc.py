@@ -38,8 +38,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1_000, file_bytes
     is a run: its records are in the order of URL key, time and page_id. Rows that share page_id are records of their
     own (revisits refer to the id). Files hold about file_bytes of payload; other columns are not read.
 
-    Digests meet without payloads, and with sums before the exchange, so a payload that a third of all rows have stays
-    spread; payloads move once, by page_id.
+    Digests meet without payloads, and their largest page_id is found with sums before the exchange; the rows of a digest
+    that a third of all pages have then meet that one row in a join that adaptive execution splits. Payloads move once, by page_id.
     """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     page = page.withColumn("digest", F.sha1(F.encode("payload", "utf-8"))).withColumn("bytes", F.octet_length("payload"))
