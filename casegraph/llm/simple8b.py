@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
     """Writes the ids of every document (doc_id, text), end_id behind each, in ascending doc_id order.
 
     The documents are range-partitioned by (doc_id, text) into shards of about shard_bytes of text; each is a file of
-    rows FILE_SCHEMA, a row for about 6 MB of text (a longer document is a row of its own). Null text has end_id
+    rows FILE_SCHEMA, a row for about 4 MB of text (a longer document is a row of its own). Null text has end_id
     alone; a null doc_id stands first; rows with equal doc_id each keep their place. Other columns aren't read.
     """
     import pyarrow as pa
@@ -155,7 +155,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         from pyspark import TaskContext
 
         codec, shard, chunk = WordTokenizer.at(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids, offsets = codec.encode(batch.column("text"))
             lengths = np.diff(offsets) + 1
             values = np.insert(ids, offsets[1:], np.uint32(end_id))

@@ -103,19 +103,17 @@ class WordTokenizer:
         if b"<|" not in letters.tobytes():
             letters = lower_ascii(letters)
         stops = np.cumsum(ends - starts)
-        # where marks follow an ASCII letter up to the word's end
-        n = len(kept)
-        marks = np.zeros(n + 1, dtype=bool)
-        marks[:n] = _MARK[kept]
-        ones = np.flatnonzero(~marks)
-        last = ends - 1 - int(offsets[0])
-        tail = np.flatnonzero(marks[last])
-        before_marks = ones[np.searchsorted(ones, last[tail]) - 1]
-        good = (before_marks >= starts[tail] - int(offsets[0])) & _LETTER[kept[before_marks]]
+        # where up to 16 marks follow an ASCII letter up to the word's end: that letter's place
+        first, last = starts - int(offsets[0]), ends - 1 - int(offsets[0])
+        tail = np.flatnonzero(_MARK[kept[last]])
+        letter = last[tail]
+        for _ in range(16):
+            letter = letter - (_MARK[kept[letter]] & (letter > first[tail]))
+        good = _LETTER[kept[letter]]
         marked = np.zeros(len(starts), dtype=bool)
         marked[tail[good]] = True
         cut = np.zeros(len(letters) + 1, dtype=bool)
-        cut[0] = cut[stops] = cut[stops[tail[good]] - (last[tail[good]] - before_marks[good])] = True
+        cut[0] = cut[stops] = cut[stops[tail[good]] - (last[tail[good]] - letter[good])] = True
         bounds = np.flatnonzero(cut)
         extra = np.concatenate([[0], np.cumsum(marked)])
         words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
