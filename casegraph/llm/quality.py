@@ -55,6 +55,13 @@ def term_vectors(texts) -> np.ndarray:
     return out
 
 
+def _pieces(batches, rows: int = 1_000):
+    """Record batches cut so that each holds at most 2 MB of text and `rows` rows, as a row makes TERMS numbers."""
+    for batch in slices(batches, "text"):
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 class NeighbourVote:
     """Labelled vectors in a latent space, and the vote of the nearest by cosine."""
 
@@ -112,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4_096, dims: int = 64,
     def terms(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in _pieces(batches):
             x = term_vectors(batch.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "terms"])
 
@@ -136,7 +143,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     def score(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in _pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(vote.value.scores(term_vectors(batch.column("text"))), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -153,7 +160,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     def keep(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in _pieces(batches):
             yield batch.filter(pa.array(vote.value.scores(term_vectors(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
