@@ -368,23 +368,31 @@ def t25_load_events(spark, d):
     return dated(H.load_events(rows).select("doc_id", "event_type", "event_date", "confidence"), "event_date")
 
 
-# --- names: customers answer and are invited as organisations, which are known by their name ---
+# --- names: customers answer and are invited under the name of their segment's board in their nation ---
 _DRESS = ["{n}", "Bilaga {n}", "{n}.pdf", "{n} (pdf 140 kB)", "Yttrande från {n}"]
+_ORG = """cu AS (SELECT c_custkey, 'Nämnden ' || c_mktsegment || ' ' || n_name AS org FROM customer JOIN nation ON n_nationkey = c_nationkey), en AS (SELECT org, min(c_custkey) AS k FROM cu GROUP BY 1),
+  an AS (SELECT o_orderkey AS id, org, k FROM orders JOIN cu ON c_custkey = o_custkey JOIN en USING (org))"""
+
+
+def boards(spark, d) -> DataFrame:
+    nation = S.load(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return S.load(spark, d, "customer").join(nation, "c_nationkey").select("c_custkey", F.concat(F.lit("Nämnden "), "c_mktsegment", F.lit(" "), "n_name").alias("name"))
 
 
 def organisations(spark, d) -> DataFrame:
-    return S.load(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("Nämnden "), "c_name").alias("entity_name"))
+    """The boards as entities under their least customer's number; those whose number four divides are missing."""
+    return boards(spark, d).groupBy(F.col("name").alias("entity_name")).agg(F.min("c_custkey").alias("entity_id")).where("entity_id % 4 <> 0").select("entity_id", "entity_name")
 
 
 def answers(spark, d) -> DataFrame:
-    """Answers: an order's customer under a dressed-up name; those of every seventh order are linked already."""
+    """Answers: an order's board under a dressed-up name; those of every seventh order are linked already."""
     n = F.col("o_orderkey")
-    rows = S.load(spark, d, "orders").join(S.load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    name = one_of(n, [filled(x, n=F.concat(F.lit("Nämnden "), "c_name")) for x in _DRESS])
+    rows = S.load(spark, d, "orders").join(boards(spark, d).withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    name = one_of(n, [filled(x, n=F.col("name")) for x in _DRESS])
     return rows.select(n.alias("id"), name.alias("responding_organization"), F.when(n % 7 == 0, F.lit(-1)).cast("long").alias("entity_id"), F.lit(None).cast("string").alias("match_confidence"))
 
 
-@query(f"SELECT o_orderkey AS id, 'Nämnden ' || c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey")
+@query(f"WITH {_ORG} SELECT id, org AS name FROM an")
 def e01_normalize_org(spark, d):
     return answers(spark, d).select("id", E.normalize_org(F.col("responding_organization")).alias("name"))
 
@@ -418,17 +426,17 @@ def same_name(name: str) -> Column:
     return F.coalesce(F.lower("matched_name") == F.lower(E.normalize_org(F.col(name))), F.lit(False))
 
 
-_LINKED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN -1 WHEN o_custkey % 4 <> 0 THEN o_custkey END AS entity_id, o_orderkey % 7 <> 0 AND o_custkey % 4 <> 0 AS exact FROM orders"
+_LINKED = "SELECT id, CASE WHEN id % 7 = 0 THEN -1 WHEN k % 4 <> 0 THEN k END AS entity_id, id % 7 <> 0 AND k % 4 <> 0 AS exact FROM an"
 
 
-@query(f"SELECT id, entity_id FROM ({_LINKED}) WHERE exact OR id % 7 = 0")
+@query(f"WITH {_ORG} SELECT id, entity_id FROM ({_LINKED}) WHERE exact OR id % 7 = 0")
 def e09_link_responses(spark, d):
-    """Links by equal names, and those that were there; the names of every fourth customer are no entity's."""
+    """Links by equal names, and those that were there; some boards are no entity."""
     out = E.link_responses(answers(spark, d), organisations(spark, d))
     return out.where(same_name("responding_organization") | (F.col("id") % 7 == 0)).select("id", "entity_id")
 
 
-@query(f"SELECT id, entity_id, 'high' AS match_confidence FROM (SELECT o_orderkey AS id, o_custkey AS entity_id FROM orders WHERE o_custkey % 4 <> 0)")
+@query(f"WITH {_ORG} SELECT id, k AS entity_id, 'high' AS match_confidence FROM an WHERE k % 4 <> 0")
 def e10_link_invitees(spark, d):
     """All invitations anew, under another column of names."""
     rows = answers(spark, d).withColumnRenamed("responding_organization", "organization_name")
@@ -436,7 +444,7 @@ def e10_link_invitees(spark, d):
     return out.where(same_name("organization_name")).select("id", "entity_id", "match_confidence")
 
 
-@query("""SELECT lower('Nämnden ' || c_name) AS name_lower, count(*) AS occurrences FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 4 = 0 AND o_orderkey % 5 <> 1 GROUP BY 1 HAVING count(*) >= 2""")
+@query(f"WITH {_ORG} SELECT lower(org) AS name_lower, count(*) AS occurrences FROM an WHERE k % 4 = 0 AND id % 5 <> 1 GROUP BY 1 HAVING count(*) >= 2")
 def e11_bootstrap_entities(spark, d):
     """Names that no entity has; those behind "Bilaga" count as boilerplate."""
     rows = answers(spark, d).select(F.col("responding_organization").alias("name"), F.col("id").alias("seen_at"))
@@ -472,7 +480,7 @@ def e14_apply_decisions(spark, d):
     rows, n = judged(spark, d), F.col("id")
     decisions = rows.where("id % 10 in (1, 2, 4)").select("id", F.when(n % 10 == 1, "approve").when(n % 10 == 2, "reject").otherwise("create").alias("action"), n.alias("entity_id"), F.concat(F.lit("Ny "), n).alias("new_name"))
     out, entities = E.apply_decisions(rows, organisations(spark, d), decisions)
-    new = entities.where("entity_name like 'Ny %'").select(F.col("entity_id").alias("_new"), F.substring("entity_name", 4, 20).cast("long").alias("_id"))
+    new = entities.where("entity_name like 'Ny %'").select(F.col("entity_id").alias("_new"), F.substring("entity_name", 4, 20).try_cast("long").alias("_id"))
     both = out.join(new, (F.col("entity_id") == F.col("_new")) & (F.col("id") == F.col("_id")), "left")
     return both.select("id", F.when(F.col("_new").isNull(), F.col("entity_id")).alias("entity_id"), "match_confidence", F.col("_new").isNotNull().alias("created"))
 
@@ -703,7 +711,7 @@ def q07_store_embeddings(spark, d):
     return Q.store_embeddings(S.load(spark, d, "documents").select("doc_id"), vectors, 64)[1]
 
 
-@query(f"""SELECT l.id, entity_id, stance FROM ({_LINKED}) l JOIN ({_SAID}) s ON s.id = l.id WHERE exact""")
+@query(f"""WITH {_ORG} SELECT l.id, entity_id, stance FROM ({_LINKED}) l JOIN ({_SAID}) s ON s.id = l.id WHERE exact""")
 def x01_stream_responses(spark, d):
     """Answers as a stream of files, linked and judged batch by batch."""
     base = new_path(spark, "answers")
