@@ -85,11 +85,14 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     counts = mix_sources(docs, **parameters).where("size > 0").groupBy("key", "doc_id", "source").agg(
         F.first("size").alias("size"), F.first("epochs").alias("epochs"), F.count_if(F.col("rest") == F.col("size")).alias("whole"), F.coalesce(F.max(F.when(F.col("rest") < F.col("size"), F.col("rest"))), F.lit(0)).alias("part")
     )
-    plan = counts.where("epochs > 0 or whole > 0 or part > 0").withColumnsRenamed({"key": "of", "doc_id": "of_doc", "source": "of_source"})
+    # equal rows meet by two hashes: one exchange of the texts serves their numbers and the join
+    same = lambda doc, source: F.xxhash64("key", doc.isNull(), doc, source.isNull(), source)
+    plan = counts.where("epochs > 0 or whole > 0 or part > 0").select("key", same(F.col("doc_id"), F.col("source")).alias("same"), "size", "epochs", "whole", "part")
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("key"), F.xxhash64(*(docs[c] for c in hashed)).alias("turn"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "row.doc_id", "row.source").orderBy("turn")))
-    both = rows.join(plan, (F.col("key") == F.col("of")) & F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & F.col("row.source").eqNullSafe(F.col("of_source")))
+    rows = rows.withColumn("same", same(F.col("row.doc_id"), F.col("row.source"))).repartition("key", "same")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "same").orderBy("turn")))
+    both = rows.join(plan, ["key", "same"])
     # white space before the first word makes a part of its own
     text, rest = F.col("row.text"), F.when(F.col("nth") <= F.col("whole"), F.col("size")).when(F.col("nth") == F.col("whole") + 1, F.col("part")).otherwise(0)
     lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
