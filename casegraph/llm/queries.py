@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import centroid_clusters
 from .extract import extract_text
 from .forest import hash_prefix_forest
 from .minhash import near_duplicates
@@ -44,6 +45,32 @@ FROM d LEFT JOIN l USING (payload_digest)
 """
 
 
+def _op11_sql(rounds: int = 10) -> str:
+    """A step for each round: assignments by the least (distance, number), then floors of the means."""
+    squared = "list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT v.rid, CAST(arg_min(c.c, {squared} * 8 + c.c) AS INTEGER) AS c FROM v, c{r} c GROUP BY v.rid)")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c, list((s - (((s % n) + n) % n)) // n ORDER BY i) AS w FROM (
+    SELECT a.c, i, CAST(sum(v.w[i]) AS HUGEINT) AS s, count(*) AS n FROM a{r} a JOIN v USING (rid), range(1, 65) t(i) GROUP BY 1, 2
+  ) GROUP BY c UNION ALL SELECT c, CAST(w AS HUGEINT[]) FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), w) - 1 AS c, CAST(w AS HUGEINT[]) AS w FROM v ORDER BY 1 LIMIT 8
+), {", ".join(steps)}, d AS (
+  SELECT v.vec_id, c.c, {squared} AS distance, c.w FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON a.c = c.c
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM d
+"""
+
+
 #: The crc32 of the letters is summed byte by byte with a table of 256 numbers, which the first step makes by its rule.
 #: Words with one letter left out meet at the place of that letter; a word that has one letter less has the rest whole.
 OP13_SQL = """
@@ -141,14 +168,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components with its cluster after ten rounds."""
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op13_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with the more common spelling that it varies."""
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op6_warc_archive, op7_page_difference, op8_neighbour_vote, op9_best_fit_packing, op10_token_files, op13_permuterm_variants)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op6_warc_archive, op7_page_difference, op8_neighbour_vote, op9_best_fit_packing, op10_token_files, op11_shallot_clusters, op13_permuterm_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_block_top_k": OP1_SQL, "op6_warc_archive": OP6_SQL, "op13_permuterm_variants": OP13_SQL}
+    return {"op1_block_top_k": OP1_SQL, "op6_warc_archive": OP6_SQL, "op11_shallot_clusters": _op11_sql(), "op13_permuterm_variants": OP13_SQL}

@@ -56,7 +56,7 @@ def corpus():
         for j in r.integers(0, 200, 60):
             w, k = words[j], int(r.integers(0, len(words[j])))
             words[j] = [w[:k] + w[k + 1 :], w[:k] + "cdß"[k % 3] + w[k + 1 :], w[:k] + "e" + w[k:], w.upper()][int(r.integers(0, 4))]
-        rows.append((i, " ".join(words) + ", ".join(giants if i < 4 else []) + "\n ÅÉ œuvre 1a2"))
+        rows.append((i, " ".join(words) + " " + ", ".join(giants if i < 4 else []) + "\n ÅÉ œuvre 1a2"))
     return [*rows, (5, rows[5][1]), (None, rows[7][1]), (None, None), (70, None), (71, ""), (72, "  .,"), (73, "hot " * 4000 + "wordy " * 4000)]
 
 
