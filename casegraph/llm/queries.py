@@ -18,6 +18,7 @@ from .simple8b import token_files
 from .spelling import spelling_variants
 from .suffix import repeat_report
 from .topk import exact_top_k
+from .toxicity import toxicity_scores
 from .warc import archive
 
 
@@ -173,13 +174,18 @@ def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score and the window that it comes from."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with the more common spelling that it varies."""
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op6_warc_archive, op7_page_difference, op8_neighbour_vote, op9_best_fit_packing, op10_token_files, op11_shallot_clusters, op13_permuterm_variants)}
+    return {f.__name__: f for f in (op1_block_top_k, op2_hash_prefix_forest, op3_min_max_dedup, op4_previous_factors, op5_mix_sources, op6_warc_archive, op7_page_difference, op8_neighbour_vote, op9_best_fit_packing, op10_token_files, op11_shallot_clusters, op12_recurrent_toxicity, op13_permuterm_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
