@@ -10,7 +10,7 @@ from .common import components, mix, release_memory, total_bytes, written
 from .shingles import shingle_sets
 from .words import row_ranges, slices
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SIGNED = "doc_id long, print long, n_shingles long, set_a long, set_b long, bands array<long>"
 _rng = np.random.default_rng(7)
 
 
@@ -40,7 +40,7 @@ def min_max_bands(sets: np.ndarray, offsets: np.ndarray, bands: int, rows: int)
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """Per document: size of its set, a 128-bit identity of the set, and its band keys (none for an empty set)."""
+    """Per document: a hash of its text, size of its set, a 128-bit identity of the set, and its band keys (none for an empty set)."""
 
     def sign(batches):
         import pyarrow as pa
@@ -56,9 +56,9 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 found = min_max_bands(sets, np.append(offsets[full], offsets[-1]), bands, rows)
                 for i, row in zip(full.tolist(), found, strict=True):
                     keys[i] = row
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(ids[0]), pa.array(ids[1]), pa.array(keys, pa.list_(pa.int64()))], [c.split()[0] for c in _SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(sizes), pa.array(ids[0]), pa.array(ids[1]), pa.array(keys, pa.list_(pa.int64()))], [c.split()[0] for c in _SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")).mapInArrow(sign, _SIGNED)
 
 
 def link_sets(sets: list[np.ndarray], labels: list, percent: int, asked: list[bool] | None = None) -> list[tuple[int, int]]:
@@ -115,7 +115,7 @@ def _unit(own, against) -> Column:
 
 
 def _block_pairs(large: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
-    """Members (rep, unit, label, asked) of the second round of large (rep, cluster, n_shingles, label, asked).
+    """Members (rep, doc, print, unit, label, asked) of the second round of large (rep, doc, print, cluster, n_shingles, label, asked).
 
     The asked classes of a cluster and the others are dealt by hash into blocks of about unit_docs classes or unit_shingles
     shingles at most. Each block of asked classes meets itself, each later one and each block of the others, so a unit is
@@ -131,16 +131,16 @@ def _block_pairs(large: DataFrame, unit_docs: int, unit_shingles: int) -> DataFr
         each("asked_blocks", lambda j: meets(F.least(block, j), F.greatest(block, j), block <= j)),
     )
     as_other = each("asked_blocks", lambda j: meets(j, -1 - block, F.lit(False)))
-    return dealt.select("rep", "label", F.explode(F.when(F.col("asked"), as_asked).otherwise(as_other)).alias("m")).select("rep", "m.unit", "label", "m.asked")
+    return dealt.select("rep", "doc", "print", "label", F.explode(F.when(F.col("asked"), as_asked).otherwise(as_other)).alias("m")).select("rep", "doc", "print", "m.unit", "label", "m.asked")
 
 
 def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int, first: bool) -> DataFrame:
-    """Links (a, b) of members (rep, unit, label, asked), confirmed on full sets within each unit.
+    """Links (a, b) of members (rep, doc, print, unit, label, asked), confirmed on full sets within each unit.
 
-    Units are whole. Those of the first round, members (rep, cluster, own), share task groups of about 8 MB of text; else
+    doc and print say where the text of a class's first row stands. Units are whole. Those of the first round, members (rep, doc, print, cluster, own), share task groups of about 8 MB of text; else
     each is a group of its own."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    held = members.join(texts, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text")
+    held = members.join(texts, ["doc", "print"])
     g = F.xxhash64("unit")
     if first:  # the rest of the columns after the join, as it may broadcast the members
         held = held.select("rep", "text", _unit(F.col("own"), F.col("own")).alias("unit"), F.col("rep").alias("label"), F.lit(True).alias("asked"))
@@ -179,23 +179,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
 
     Documents are linked when 100 * |both| >= percent * |either| of their shingle sets. component_id is the smallest
     doc_id that links reach, kept tells whether it is the document's own. Empty or null text has an empty set and no
-    link; a text of fewer words than a shingle has its whole sequence as one shingle. Rows with equal doc_id count as
-    linked. A row with a null doc_id has no link, a null component_id and is kept. Other columns are not read.
+    link; a text of fewer words than a shingle has its whole sequence as one shingle. Texts alone link: rows that share a
+    doc_id with different texts are told apart and each is in the component of its own text. A row with a null doc_id has
+    no link, a null component_id and is kept. Other columns are not read.
 
-    1. Min-max signatures give each document its band keys; documents with equal sets become one class, whose smallest
-       doc_id stands for it. 2. The classes of a band bucket are joined to the bucket's smallest, its hub, giving candidate
+    1. Min-max signatures give each document its band keys; documents with equal sets become one class, for which the number
+       of its first row (by doc_id) stands. 2. The classes of a band bucket are joined to the bucket's smallest, its hub, giving candidate
        clusters: whatever the size of a bucket, a class makes one row for each band, and of these one edge to the least
        of its hubs and one to each other hub. Repeated edges go, so a large group has about one a class. 3. A cluster's texts meet once and
        links are confirmed on full sets; only links that join parts are kept. A cluster of over unit_docs classes or
        unit_shingles shingles is dealt over several units by hash; after a first round inside them, the classes outside
        the cluster's largest part are dealt into blocks anew, and these meet each other and blocks of the rest two by
        two, so every pair that may still link is compared and no unit holds more than two blocks. 4. Components of the
-       links. Two documents at the threshold share no bucket with a chance of (1 - 0.75^rows)^bands, 1.3e-6.
+       links, and the least doc_id of each. Two documents at the threshold share no bucket with a chance of (1 - 0.75^rows)^bands, 1.3e-6.
     """
-    signs = written(signed(docs, words, bands, rows), "signed")
+    out = labelled(docs, words, percent, bands, rows, unit_docs, unit_shingles)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def labelled(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 50, rows: int = 5, unit_docs: int = 3_000, unit_shingles: int = 2_000_000) -> DataFrame:
+    """Per row of docs: doc_id, print (a hash of the text), n_shingles, part (a number of the component, as components of
+    different texts may share their least doc_id; null without words), component_id; see near_duplicates."""
+    signs = written(signed(docs, words, bands, rows).withColumn("node", F.monotonically_increasing_id()), "signed")
     full = signs.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-    classes = written(classes.select("set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands")), "classes")
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "print", "node", "bands")).alias("first"))
+    names = {"rep": "node", "doc": "doc_id", "print": "print", "bands": "bands"}
+    classes = written(classes.select("set_a", "set_b", "n_shingles", *(F.col(f"first.{c}").alias(n) for n, c in names.items())), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = written(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("key", "hub"), "buckets")
     # an edge from each class to the least of its hubs and one from that to each other hub that it shares a class with:
@@ -203,30 +212,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     hubs = keys.join(buckets, "key").groupBy("rep").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
     edges = hubs.select(F.col("least").alias("b"), F.explode(F.array_union(F.array("rep"), "hubs")).alias("a")).where("a <> b").distinct()
     clusters = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
-    sized = clusters.join(classes.select("rep", "n_shingles"), "rep")
+    sized = clusters.join(classes.select("rep", "doc", "print", "n_shingles"), "rep")
     units = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / unit_docs, F.sum("n_shingles") / unit_shingles)).alias("units"))
-    members = clusters.join(units, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("units")))
-    members = written(members, "members")
-    links = _confirm(members.select("rep", "cluster", "own"), docs, words, percent, first=True)
+    sized = sized.join(units, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("units")))
+    members = written(sized, "members")
+    links = _confirm(members.select("rep", "doc", "print", "cluster", "own"), docs, words, percent, first=True)
     large = members.where("units > 1")
     if large.limit(1).count():
         labels = components(links)
-        sizes = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
-        large = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(sizes, "rep")
-        large = written(large.select("rep", "cluster", "n_shingles", F.coalesce("component", "rep").alias("label")), "large")
+        large = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        large = written(large.select("rep", "doc", "print", "cluster", "n_shingles", F.coalesce("component", "rep").alias("label")), "large")
         counts = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
         largest = counts.groupBy("cluster").agg(F.max_by("label", "n").alias("largest"))
-        large = written(large.join(largest, "cluster").select("rep", "cluster", "n_shingles", "label", (F.col("label") != F.col("largest")).alias("asked")), "asked")
+        large = written(large.join(largest, "cluster").select("rep", "doc", "print", "cluster", "n_shingles", "label", (F.col("label") != F.col("largest")).alias("asked")), "asked")
         links = links.unionByName(_confirm(_block_pairs(large, unit_docs, unit_shingles), docs, words, percent, first=False))
     found = components(links)
-    named = classes.select("set_a", "set_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = written(named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("class_component")), "named")
-    out = signs.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
+    named = classes.select("set_a", "set_b", "n_shingles", "rep", "doc").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    least = named.groupBy("part").agg(F.min("doc").alias("class_component"))
+    named = written(named.join(least, "part").select("set_a", "set_b", "n_shingles", "part", "class_component"), "named")
+    out = signs.select("doc_id", "print", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "print", "n_shingles", "part", component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without the near-duplicates that another document of their component stands for."""
-    gone = near_duplicates(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without the near-duplicates for which another row of their component stands: of each component the row of
+    least doc_id stays, of several texts of that doc_id the one of least hash, and of equal rows one. Rows without words and
+    rows with a null doc_id all stay. Columns of docs may have any names."""
+    rows = written(labelled(docs, **parameters).where("n_shingles > 0 and doc_id is not null").groupBy("part", "doc_id", "print").agg(F.count("*").alias("n")), "labelled")
+    stays = rows.groupBy("part").agg(F.min(F.struct("doc_id", "print")).alias("s")).select(F.col("s.doc_id").alias("doc_id"), F.col("s.print").alias("print"))
+    gone = rows.join(stays, ["doc_id", "print"], "left_anti").select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"))
+    same = lambda of: (docs["doc_id"] == of["_doc"]) & (F.xxhash64(docs["text"]) == of["_print"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    several = rows.where("n > 1").join(stays, ["doc_id", "print"]).select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"))
+    if not several.limit(1).count():
+        return kept
+    row = F.struct(*(docs[c] for c in docs.columns))
+    repeated = docs.join(several, same(several), "left_semi").groupBy(docs["doc_id"].alias("_doc"), F.xxhash64(docs["text"]).alias("_print")).agg(F.first(row).alias("row"))
+    return kept.join(several, same(several), "left_anti").unionByName(repeated.select("row.*"))

@@ -81,9 +81,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, length: int = 2048, shard_rows: int = 40_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...): sequences of at most length ids.
 
-    Full pieces are sequences of their own. The others go to shards of about shard_rows by a hash of (doc_id, piece);
-    each shard is packed alone by sum_of_squares, so that a task holds bounded rows whatever the key of a hot document
-    is, and a shard leaves a few sequences open at most. sequence_id is the shard's number times 2^32 plus the
+    Full pieces are sequences of their own. The others go to shards of about shard_rows by a hash of their place in the
+    written table of pieces, so a task holds bounded rows even if all rows share their doc_id, or are equal; each shard
+    is packed alone by sum_of_squares, and leaves a few sequences open at most. sequence_id is the shard's number times 2^32 plus the
     sequence's number there; full pieces take numbers from the upper half. Equal rows are packed each for itself.
     An empty table gives an empty result.
     """
@@ -92,7 +92,7 @@ def pack(pieces: DataFrame, length: int = 2048, shard_rows: int = 40_000) -> Dat
     rows = pieces.where(F.col("length") < length).count()
     shards = max(1, -(-rows // shard_rows))
     kept = [f.name for f in pieces.schema.fields]
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)))
+    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
     def one(pdf):

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, total_bytes
+from .common import new_path
 
 _ENTRY = "run string, seq long, urlkey string, ts string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, offset long"
 END = "\r\n\r\n"
@@ -36,18 +36,22 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1_000, file_bytes
     The payload is the html in UTF-8, empty for null. Of rows with equal payloads of at least least_bytes bytes, that
     with the largest page_id is a response; the others are revisit records, which name it and have no block. Each file
     is a run: its records are in the order of URL key, time and page_id. Rows that share page_id are records of their
-    own (revisits refer to the id). Files hold about file_bytes of payload; other columns are not read.
+    own (revisits refer to the id): each is a revisit or a response by its own payload. A null page_id is less than all
+    others and never refers to another. Files hold about file_bytes of payload, by the mean of the rows; other columns
+    are not read.
 
-    Digests meet without payloads, and their largest page_id is found with sums before the exchange; the rows of a digest
-    that a third of all pages have then meet that one row in a join that adaptive execution splits. Payloads move once, by page_id.
+    Digests meet without payloads, and their largest page_id is found with sums before the exchange. Which rows are
+    revisits is a table of page_id and digest, and a payload moves at most once, to meet it. Where a third of the rows share
+    page_id and payload adaptive execution splits the join, and each part makes runs of its own.
     """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     page = page.withColumn("digest", F.sha1(F.encode("payload", "utf-8"))).withColumn("bytes", F.octet_length("payload"))
-    thin = page.where(F.col("bytes") >= least_bytes).select("page_id", "digest")
-    last = thin.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    n = max(2, -(-total_bytes(page, "payload") // file_bytes))
-    revisits = thin.join(last, "digest").where("page_id < last").select("page_id", F.col("last").alias("refers_to")).distinct().repartition(n, "page_id")
-    page = page.repartition(n, "page_id").join(revisits, "page_id", "left").withColumn("again", F.col("refers_to").isNotNull() & (F.col("bytes") >= least_bytes))
+    own = page.where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("page_id", "digest").agg(F.lit(True).alias("large"))
+    last = own.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    revisits = own.join(last, "digest").where("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to"))
+    size = page.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    file_rows = max(1, size["n"] * file_bytes // max(size["bytes"], 1))
+    page = page.join(revisits, ["page_id", "digest"], "left").withColumn("again", F.col("refers_to").isNotNull())
     page = page.withColumn("key", url_key(F.col("url"))).withColumn("ts", capture_time(F.col("page_id")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"\r\n{key}: "), value)
@@ -59,7 +63,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1_000, file_bytes
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.when(F.col("again"), "0").otherwise(F.col("bytes").cast("string"))),
     )
     record = F.concat(head, F.lit(END), F.when(F.col("again"), "").otherwise(F.col("payload")))
-    page.sortWithinPartitions("key", "ts", "page_id").select(record.alias("value")).write.text(path, compression="gzip", lineSep=END)
+    page.sortWithinPartitions("key", "ts", "page_id").select(record.alias("value")).write.option("maxRecordsPerFile", file_rows).text(path, compression="gzip", lineSep=END)
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+): ([^\r]*)")
@@ -147,12 +151,12 @@ def merged_index(runs: DataFrame, part_rows: int = 50_000) -> DataFrame:
     """The entries of all runs in one order of URL key, time and page_id: each site's and page's capture history.
 
     The keys are range-partitioned, so each task gets the slices of all runs that lie in its range, and merges these.
-    A URL that a third of the captures have is spread by time and page_id. The result's partitions follow one another
+    A URL that a third of the captures have is spread by time and page_id, captures that are equal in these by their places in the runs. The result's partitions follow one another
     in order; `place` numbers the rows of each.
     """
     rows = runs.count()
     n = max(1, -(-rows // part_rows))
-    ranged = runs.repartitionByRange(n, "urlkey", "ts", "page_id").sortWithinPartitions("run", "seq")
+    ranged = runs.repartitionByRange(n, "urlkey", "ts", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
     names = [c.split()[0] for c in _ENTRY.split(", ")]
 
     def merge(batches):

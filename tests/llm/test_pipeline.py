@@ -51,20 +51,25 @@ def shingles(t):
 
 
 def one_of_each(rows):
-    part = {r["doc_id"]: r["doc_id"] for r in rows}
+    """Of each component the row of least doc_id; of equal rows one. Texts alone link."""
+    sets = [shingles(r["text"]) for r in rows]
+    part = list(range(len(rows)))
 
     def find(i):
         while part[i] != i:
             i = part[i]
         return i
 
-    sets = [(r["doc_id"], shingles(r["text"])) for r in rows if r["doc_id"] is not None]
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if x & y and 100 * len(x & y) >= 75 * len(x | y):
-                p, q = sorted((find(a), find(b)))
-                part[q] = p
-    return [r for r in rows if r["doc_id"] is None or find(r["doc_id"]) == r["doc_id"]]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if rows[i]["doc_id"] is not None and rows[j]["doc_id"] is not None and both and 100 * both >= 75 * len(x | sets[j]):
+                part[find(i)] = find(j)
+    first = {}
+    for i, r in enumerate(rows):
+        if r["doc_id"] is not None and sets[i]:
+            first[find(i)] = min(first.get(find(i), i), i, key=lambda k: (rows[k]["doc_id"], k))
+    return [r for i, r in enumerate(rows) if r["doc_id"] is None or not sets[i] or first[find(i)] == i]
 
 
 def without_repeats(rows, length=100):
