@@ -12,6 +12,8 @@ from .words import row_ranges, slices
 
 _SIGNED = "doc_id long, print long, n_shingles long, set_a long, set_b long, bands array<long>"
 _rng = np.random.default_rng(7)
+#: Values of the hash that tells which texts a join may need.
+SPOTS = 1 << 20
 
 
 def min_max_bands(sets: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -140,6 +142,9 @@ def _confirm(members: DataFrame, docs: DataFrame, words: int, percent: int, firs
     doc and print say where the text of a class's first row stands. Units are whole. Those of the first round, members (rep, doc, print, cluster, own), share task groups of about 8 MB of text; else
     each is a group of its own."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text")
+    # a text moves only if a member has its spot: a table of at most SPOTS numbers, whatever the size of the corpus
+    spot = F.pmod(F.xxhash64("doc", "print"), F.lit(SPOTS)).alias("spot")
+    texts = texts.select("*", spot).join(F.broadcast(members.select(spot).distinct()), "spot", "left_semi").drop("spot")
     held = members.join(texts, ["doc", "print"])
     g = F.xxhash64("unit")
     if first:  # the rest of the columns after the join, as it may broadcast the members

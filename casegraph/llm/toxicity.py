@@ -239,14 +239,19 @@ def train(texts, labels: np.ndarray, epochs: int = 14, ranked_at: tuple[int, ...
     weight = weight * np.where(labels == 1, 1 / max(1e-9, weight[labels == 1].sum()), 1 / max(1e-9, weight[labels == 0].sum()))
     weight = (weight / weight.mean()).astype(np.float32)
 
-    def odds(texts_of: np.ndarray, feature: np.ndarray, many: int) -> np.ndarray:
-        counts = [np.bincount(feature, weights=(labels[texts_of] == k) * weight[texts_of], minlength=many) for k in (0, 1)]
+    def odds(counts: np.ndarray) -> np.ndarray:
         return np.clip(np.log((counts[1] + 1.0) / (counts[0] + 1.0)), -4, 4).astype(np.float32)
 
-    word_odds = odds(words[0], words[1], len(hashes))
-    held, held_at = taken_rows(grams, at, words[1])
-    pairs = np.unique(np.repeat(words[0], np.diff(held_at)) * np.int64(GRAMS) + held)
-    gram_odds = odds(pairs // GRAMS, pairs % GRAMS, GRAMS)
+    def counted(texts_of: np.ndarray, feature: np.ndarray, many: int) -> np.ndarray:
+        return np.stack([np.bincount(feature, weights=(labels[texts_of] == k) * weight[texts_of], minlength=many) for k in (0, 1)])
+
+    word_odds, gram_counts = odds(counted(words[0], words[1], len(hashes))), np.zeros((2, GRAMS))
+    for a, b in row_ranges(np.bincount(words[0], weights=np.diff(at)[words[1]], minlength=len(labels)).astype(np.int64), 1 << 19):
+        some = slice(*np.searchsorted(words[0], [a, b]))
+        held, held_at = taken_rows(grams, at, words[1][some])
+        pairs = np.unique(np.repeat(words[0][some], np.diff(held_at)) * np.int64(GRAMS) + held)
+        gram_counts += counted(pairs // GRAMS, pairs % GRAMS, GRAMS)
+    gram_odds = odds(gram_counts)
     net.own[own[own < len(net.known)], 0] = 0.5 * word_odds[own < len(net.known)]
     net.grams[:, 0] = 0.5 * gram_odds
     strongest = np.full(len(hashes), -9.0, np.float32)
