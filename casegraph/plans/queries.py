@@ -22,6 +22,7 @@ from ..operators import search as Q
 from ..operators import stance as P
 from ..sources import tables as S
 from ..sources.scratch import new_path
+from ..sources.stored import create_table, read_table, upsert_table
 from ..streaming import streams as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -362,6 +363,19 @@ def s06_upsert_ignore(spark, d):
     return S.upsert(new, orders(spark, d, "o_orderkey % 3 <> 0 or o_orderkey % 2 = 0"), ["o_orderkey"], "ignore")
 
 
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 1 OR o_orderkey % 2 = 0")
+def s06_upsert_stored(spark, d):
+    """The same in a stored table: two batches of one source, the second of which comes twice, and an old one again."""
+    path = new_path(spark, "orders")
+    new = orders(spark, d, "o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    create_table(orders(spark, d, "o_orderkey % 3 <> 0 and o_orderkey % 2 = 0"), path, ["o_orderkey"], 16)
+    upsert_table(new, path, source="orders", batch=0)
+    for _ in range(2):
+        upsert_table(orders(spark, d, "o_orderkey % 3 <> 1"), path, "ignore", "orders", 1)
+    upsert_table(orders(spark, d, "o_orderkey % 3 = 0"), path, source="orders", batch=0)
+    return read_table(spark, path)
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'error' AND value > 10 ORDER BY ts, event_id LIMIT 50")
 def s08_pending(spark, d):
     return S.pending(S.load(spark, d, "events"), [F.col("event_type") == "error", F.col("value") > 10], ["ts", "event_id"], 50).select("event_id", "event_type")
@@ -665,34 +679,89 @@ def g09_clusters_to_processes(spark, d):
     return made.select("component", "title", "ministry", "stage", "size")
 
 
-# --- streams: what is there now, to the end ---
-def events_stream(spark, d):
-    schema = S.load(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parque*").withColumn("ts", F.col("ts").cast("timestamp"))
+# --- streams: files that come one after the other, to the end ---
+#: Days of events in one file; every eleventh event comes a file later than its time says.
+_FILE_DAYS, _LATE_FILES = 8, 1
+_FILED = f"""f AS (SELECT *, date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) // {_FILE_DAYS} + CASE WHEN event_id % 11 = 0 THEN {_LATE_FILES} ELSE 0 END AS file FROM events),
+  n AS (SELECT *, dense_rank() OVER (ORDER BY file) - 1 AS batch FROM f)"""
+
+
+def events_stream(spark, d, in_order: bool = True) -> DataFrame:
+    """Events as a stream of files, each a batch; in_order: by their time, else some come late."""
+    events = S.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = events.agg(F.min(F.to_date("ts")).alias("first"))
+    late = F.lit(0) if in_order else F.when(F.col("event_id") % 11 == 0, _LATE_FILES).otherwise(0)
+    filed = events.crossJoin(F.broadcast(first)).withColumn("file", (F.floor(F.datediff(F.to_date("ts"), "first") / _FILE_DAYS) + late).cast("int")).drop("first")
+    base = new_path(spark, "events")
+    for r in filed.select("file").distinct().orderBy("file").collect():
+        # a stream takes files in the order of their times of change
+        filed.where(F.col("file") == r["file"]).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/{r['file']:06d}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
 
 
 def streamed(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written when it has read all that is there: in complete mode the last batch's rows."""
+    """All rows that a stream has given out when it has read all that is there, with the number of their batch."""
     spark, base = df.sparkSession, new_path(df.sparkSession, "stream")
-    save = "overwrite" if mode == "complete" else "append"
-    writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(save).parquet(f"{base}/rows"))
+    writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{base}/rows"))
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/rows")
+    return spark.read.schema(df.schema.add("batch", "integer")).parquet(f"{base}/rows")
+
+
+def deduplicated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, late, counts by batch) of the events, some of which come a file late; a delay of four days."""
+    base = new_path(spark, "once")
+    rows = events_stream(spark, d, in_order=False).withColumnRenamed("user_id", "case_id").withColumn("event_date", F.to_date("ts"))
+    none = spark.createDataFrame([], rows.schema).withColumn("batch", F.lit(0).cast("long"))
+    create_table(none, f"{base}/kept", ["case_id", "event_type", "event_date"], 8)
+    create_table(none, f"{base}/late", ["event_id"], 8)
+    create_table(spark.createDataFrame([], "batch long, rows long, late long, added long, duplicates long, latest timestamp"), f"{base}/counts", ["batch"], 1)
+    R.stream_events_once(rows, f"{base}/kept", f"{base}/late", f"{base}/counts", f"{base}/state", "4 days").awaitTermination()
+    return tuple(read_table(spark, f"{base}/{t}") for t in ("kept", "late", "counts"))
+
 
+_SPLIT = _FILED + """, w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM n GROUP BY batch),
+  s AS (SELECT n.*, coalesce(ts < latest - INTERVAL 4 DAY, false) AS late FROM n JOIN w USING (batch)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY batch, ts, event_id) AS turn FROM s WHERE NOT late)"""
 
-@query("SELECT DISTINCT user_id AS case_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM events")
+
+@query(f"WITH {_SPLIT} SELECT event_id, batch, 'kept' AS outcome FROM k WHERE turn = 1 UNION ALL SELECT event_id, batch, 'late' FROM s WHERE late")
 def x02_stream_dedup(spark, d):
-    rows = events_stream(spark, d).withColumnRenamed("user_id", "case_id").withColumn("event_date", F.to_date("ts"))
-    return dated(streamed(R.dedup_events(rows, delay="3650 days"), "append").select("case_id", "event_type", "event_date"), "event_date")
+    """Each case's first event of a type and day, of those that came before the watermark had passed them, and the late ones."""
+    kept, late, _ = deduplicated(spark, d)
+    told = lambda df, outcome: df.select("event_id", "batch", F.lit(outcome).alias("outcome"))
+    return told(kept, "kept").unionByName(told(late, "late"))
+
+
+@query(f"""WITH {_SPLIT} SELECT batch, count(*) AS rows, count(*) FILTER (WHERE s.late) AS late, count(*) FILTER (WHERE k.turn = 1) AS added, count(*) FILTER (WHERE k.turn > 1) AS duplicates
+  FROM s LEFT JOIN k USING (event_id, batch) GROUP BY 1""")
+def x02_stream_counts(spark, d):
+    """By batch: kept, late and repeated events make up what came."""
+    return deduplicated(spark, d)[2].select("batch", "rows", "late", "added", "duplicates")
+
 
+_SLIDES = "SELECT ts, event_type, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS w FROM events, range(0, 4) t(i)"
 
-@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+
+@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY")
 def x03_stream_task_counts(spark, d):
-    return dated(streamed(R.task_counts(events_stream(spark, d)), "complete").select("window_start", "event_type", "n"), "window_start")
+    """Hours that the watermark has closed, each given out once."""
+    return dated(streamed(R.task_counts(events_stream(spark, d)), "append").select("window_start", "event_type", "n"), "window_start")
+
 
+@query(f"SELECT CAST(w AS VARCHAR) AS window_start, event_type, count(*) AS n FROM ({_SLIDES}) GROUP BY w, event_type HAVING w + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 DAY")
+def x03_stream_sliding(spark, d):
+    """Hours that start every quarter, closed by a watermark two days back."""
+    counts = R.task_counts(events_stream(spark, d), slide="15 minutes", delay="2 days")
+    return dated(streamed(counts, "append").select("window_start", "event_type", "n"), "window_start")
 
-@query("""SELECT user_id AS case_id, CAST(date_diff('day', a, b) AS INTEGER) AS days FROM (
-  SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) a, min(CASE WHEN event_type = 'purchase' THEN ts END) b FROM events GROUP BY 1)""")
+
+@query("""SELECT user_id AS case_id, CAST(a AS VARCHAR) AS start_ts, CAST(b AS VARCHAR) AS end_ts, CAST(date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) AS INTEGER) AS days FROM (
+  SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) a, min(CASE WHEN event_type = 'purchase' THEN ts END) b FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1)""")
 def x04_stream_velocity(spark, d):
+    """Spans of cases, merged into a stored table as they change; state goes two days after a case's last event."""
     rows = events_stream(spark, d).withColumnRenamed("user_id", "case_id")
-    return streamed(R.stream_velocity(rows, "signup", "purchase"), "complete").select("case_id", "days")
+    spans, base = R.stream_velocity(rows, "signup", "purchase", delay="1 day", keep="2 days"), new_path(spark, "spans")
+    create_table(spark.createDataFrame([], spans.schema), f"{base}/cases", ["case_id"], 8)
+    writer = spans.writeStream.outputMode("update").foreachBatch(R.table_sink(f"{base}/cases", "spans", R.earliest_span))
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return dated(read_table(spark, f"{base}/cases").select("case_id", "start_ts", "end_ts", "days"), "start_ts", "end_ts")

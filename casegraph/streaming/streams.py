@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.entities import link_responses
 from ..operators.stance import stance
+from ..sources.scratch import written
+from ..sources.stored import read_table, rows_beside, upsert_table
+from ..sources.tables import dedupe_keep_oldest
+
+
+def table_sink(path: str, source: str, on_conflict="update") -> Callable[[DataFrame, int], None]:
+    """X1. Puts each batch of a stream into the stored table at path, once: see upsert_table."""
+    return lambda df, number: None if upsert_table(df, path, on_conflict, source, number) else None
 
 
 def stream_responses(answers: DataFrame, entities: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """X1. A stream of answers (id, responding_organization, entity_id, match_confidence, text): each batch is linked to
-    entities, judged by its text, and handed to write(batch, number), which should upsert by id, as a batch may come
-    twice. Returns the started query over what is there now."""
+    entities, judged by its text, and handed to write(batch, number); a table_sink upserts it by id, and a batch that
+    comes twice has no further effect. Returns the started query over what is there now."""
 
     def batch(df: DataFrame, number: int) -> None:
         linked = link_responses(df, entities)
@@ -28,16 +37,92 @@ def dedup_events(events: DataFrame, delay: str = "7 days", keys: tuple[str, ...]
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def stream_events_once(events: DataFrame, kept: str, late: str, counts: str, checkpoint: str, delay: str = "7 days", keys: tuple[str, ...] = ("case_id", "event_type", "event_date"), ts: str = "ts", id: str = "event_id"):
+    """X2. A stream of events into three stored tables: kept (by keys, each once: the first by ts and id), late (by id), and
+    counts (by batch: rows, late, added, duplicates, watermark).
+
+    A batch's watermark is the latest ts of the batches before it less `delay`; rows older than it are late, whatever their
+    key, and go to a table of their own where a rule that drops them would lose them. The others are kept unless their
+    key is there. Each table takes a batch once, and the watermark stands in counts, so a batch that comes again after a
+    failure between the tables is split as it was the first time. Returns the started query."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        rows = written(df, "events")
+        before = read_table(spark, counts).where(F.col("batch") < number).agg(F.max("latest").alias("latest"))
+        split = rows.crossJoin(F.broadcast(before)).withColumn("_late", F.coalesce(F.col(ts) < F.col("latest") - F.expr(f"INTERVAL {delay}"), F.lit(False))).drop("latest")
+        split = written(split, "split")
+        first = dedupe_keep_oldest(split.where("not _late").drop("_late"), list(keys), ts, [id])
+        known = rows_beside(first, kept).where(F.col("batch") < number).select(*(F.col(k).alias(f"_{k}") for k in keys))
+        same = reduce(lambda a, b: a & b, (first[k].eqNullSafe(known[f"_{k}"]) for k in keys))
+        fresh = written(first.join(known, same, "left_anti").withColumn("batch", F.lit(number).cast("long")), "fresh")
+        upsert_table(fresh, kept, "ignore", checkpoint, number)
+        upsert_table(split.where("_late").drop("_late").withColumn("batch", F.lit(number).cast("long")), late, "update", checkpoint, number)
+        n = split.agg(F.count("*").alias("rows"), F.count_if("_late").alias("late"), F.max(ts).alias("newest"))
+        n = n.crossJoin(F.broadcast(fresh.agg(F.count("*").alias("added")))).crossJoin(F.broadcast(before))
+        n = n.select(F.lit(number).cast("long").alias("batch"), "rows", "late", "added", (F.col("rows") - F.col("late") - F.col("added")).alias("duplicates"), F.greatest("newest", "latest").alias("latest"))
+        upsert_table(n, counts, "update", checkpoint, number)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def task_counts(events: DataFrame, kind: str = "event_type", window: str = "1 hour", slide: str | None = None, delay: str = "1 day") -> DataFrame:
-    """X3. Counts by window of ts and kind; a slide makes windows overlap."""
+    """X3. Counts by window of ts and kind; a slide makes windows overlap. In append mode a window is given out once, when the
+    watermark (the latest ts less delay) has passed its end; rows of closed windows are dropped."""
     at = F.window("ts", window, slide) if slide else F.window("ts", window)
     counts = events.withWatermark("ts", delay).groupBy(at.alias("w"), kind).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), kind, "n")
 
 
-def stream_velocity(events: DataFrame, start: str, end: str, case: str = "case_id", kind: str = "event_type") -> DataFrame:
-    """X4. The earliest start and end of each case so far and the days between, in update or complete mode. State is
-    two times a case; group by a window of cases or set a TTL where cases never end."""
-    first = lambda k: F.min(F.when(F.col(kind) == k, F.col("ts")))
-    spans = events.groupBy(case).agg(first(start).alias("start_ts"), first(end).alias("end_ts"))
-    return spans.withColumn("days", F.datediff("end_ts", "start_ts"))
+_SPAN = "case_id {kind}, start_ts timestamp, end_ts timestamp, days int, closed boolean"
+
+
+def stream_velocity(events: DataFrame, start: str, end: str, case: str = "case_id", kind: str = "event_type", delay: str = "1 day", keep: str = "7 days") -> DataFrame:
+    """X4. The earliest start and end of each case so far and the days between, in update mode: a row whenever they change
+    and a last one, closed, when the state goes. Columns: case_id, start_ts, end_ts, days, closed.
+
+    State is two times a case. Of a case that has both it goes once the watermark (the latest ts less delay) is `keep` past its
+    last event, so what stays is the open cases and the freshly ended ones. Events older than the watermark are dropped by
+    Spark and counted in the query's progress: so is a start date that comes that late. An event of a case whose state
+    has gone opens a new one; a sink that takes the least start and end of a case (earliest_span) is right all the same.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    far = 1 << 62
+
+    def spans(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        held = [None if v == far else v for v in state.get] if state.exists else [None, None, 0]
+        stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
+        row = lambda closed: pd.DataFrame({"case_id": [key[0]], "start_ts": [stamp(held[0])], "end_ts": [stamp(held[1])], "days": pd.array([None if None in held[:2] else (stamp(held[1]).normalize() - stamp(held[0]).normalize()).days], dtype="Int32"), "closed": [closed]})
+        if state.hasTimedOut:
+            state.remove()
+            yield row(True)
+            return
+        before = list(held[:2])
+        for part in batches:
+            us = part["ts"].astype("datetime64[us]").astype("int64")
+            held[2] = max(held[2], int(us.max()))
+            for i, name in enumerate((start, end)):
+                own = us[part["kind"] == name]
+                if len(own):
+                    held[i] = int(own.min()) if held[i] is None else min(held[i], int(own.min()))
+        state.update(tuple(far if v is None else v for v in held))
+        if None not in held[:2]:
+            state.setTimeoutTimestamp(max(held[2] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if held[:2] != before:
+            yield row(False)
+
+    rows = events.select(F.col(case).alias("case_id"), F.col(kind).alias("kind"), "ts").withWatermark("ts", delay).where(F.col("kind").isin(start, end))
+    schema = _SPAN.format(kind=rows.schema["case_id"].dataType.simpleString())
+    return rows.groupBy("case_id").applyInPandasWithState(spans, schema, "start_us long, end_us long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def earliest_span(new: DataFrame, old: DataFrame) -> DataFrame:
+    """X4. How rows of stream_velocity meet those of a stored table: the least start and end of each case, closed as the
+    latest row says."""
+    others = [c for c in old.columns if c not in ("start_ts", "end_ts", "days", "closed")]
+    both = new.withColumn("_turn", F.lit(1)).unionByName(old.withColumn("_turn", F.lit(0)))
+    least = both.groupBy(*others).agg(F.min("start_ts").alias("start_ts"), F.min("end_ts").alias("end_ts"), F.max(F.struct("_turn", "closed")).alias("_last"))
+    return least.select(*others, "start_ts", "end_ts", F.datediff("end_ts", "start_ts").alias("days"), F.col("_last.closed").alias("closed"))
