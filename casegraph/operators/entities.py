@@ -235,21 +235,96 @@ def _rank(c: Column) -> Column:
     return F.when(c == "high", 3).when(c == "medium", 2).when(c == "low", 1).otherwise(0)
 
 
-def link_responses(rows: DataFrame, entities: DataFrame, name: str = "responding_organization", mode: str = "unlinked", min_confidence: str = "high") -> DataFrame:
-    """E9, E10. rows (id, name column, entity_id, match_confidence) with links. mode: unlinked (no entity yet), unmatched
-    (judged unmatched or low before) or all. A match below min_confidence is kept as a suggestion in matched_name."""
-    asked = {"unlinked": F.col("entity_id").isNull(), "unmatched": F.col("entity_id").isNull() & F.col("match_confidence").isin("unmatched", "low"), "all": F.lit(True)}[mode]
-    rows = rows.withColumn("_name", F.when(asked, F.lower(normalize_org(F.col(name)))).otherwise(None))
+#: Which unlinked rows a mode takes, by their confidence: null means that none has looked at the row yet.
+LINK_MODES = {"unlinked": (None,), "pending_review": (None, "medium", "low", "unmatched"), "unmatched_and_rejected": (None, "rejected"), "all": None}
+
+
+def _asked(mode: str, force: bool) -> Column:
+    if mode not in LINK_MODES:
+        raise ValueError(f"mode must be one of {', '.join(LINK_MODES)}, not {mode}")
+    bands = LINK_MODES[mode]
+    band = F.lit(True) if bands is None else F.col("match_confidence").isNull() | F.coalesce(F.col("match_confidence").isin(*[b for b in bands if b]), F.lit(False))
+    return band if force else band & F.col("entity_id").isNull()
+
+
+def link_responses(rows: DataFrame, entities: DataFrame, name: str = "responding_organization", mode: str = "unlinked", min_confidence: str = "high", force: bool = False, held: Column | None = None) -> DataFrame:
+    """E9, E10. rows (id, name column, entity_id, match_confidence) with links, and matched_name and score of the match.
+
+    mode says which rows are looked at: unlinked (no confidence yet), pending_review (also medium, low and unmatched ones),
+    unmatched_and_rejected (no confidence, or rejected) or all; rows with an entity only with force. Rows for which held
+    is true (what people have decided) are never touched. A match of min_confidence or better links; a lesser one is kept
+    as a suggestion with its confidence, and a row that nothing matches is unmatched. A row whose name is empty once it
+    is normal stays as it is, as do all rows that are not looked at, with the suggestion of an earlier pass."""
+    asked = _asked(mode, force) if held is None else _asked(mode, force) & ~F.coalesce(held, F.lit(False))
+    earlier = {"matched_name": "string", "score": "double"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in earlier.items() if c not in rows.columns})
+    rows = rows.withColumn("_name", F.when(asked, F.nullif(F.lower(normalize_org(F.col(name))), F.lit(""))))
     found = resolve(rows.where("_name is not null").select(F.col("_name").alias("name")), entities)
-    hit = found.select(F.col("name").alias("_name"), F.col("entity_id").alias("_entity"), "matched_name", F.col("confidence").alias("_confidence"), "score")
+    hit = found.select(F.col("name").alias("_name"), F.col("entity_id").alias("_entity"), F.col("matched_name").alias("_matched"), F.col("confidence").alias("_confidence"), F.col("score").alias("_score"))
     joined = rows.join(hit, "_name", "left")
-    good = _rank(F.col("_confidence")) >= _rank(F.lit(min_confidence))
-    return joined.withColumn("entity_id", F.when(good & F.col("_entity").isNotNull(), F.col("_entity")).otherwise(F.col("entity_id"))).withColumn("match_confidence", F.coalesce("_confidence", "match_confidence")).drop("_name", "_entity", "_confidence")
+    looked = F.col("_confidence").isNotNull()
+    good = (_rank(F.col("_confidence")) >= _rank(F.lit(min_confidence))) & F.col("_entity").isNotNull()
+    new = {"entity_id": F.when(good, F.col("_entity")), "match_confidence": F.col("_confidence"), "matched_name": F.col("_matched"), "score": F.col("_score")}
+    out = joined.withColumns({c: F.when(looked, x).otherwise(F.col(c)) for c, x in new.items()})
+    return out.drop("_name", "_entity", "_confidence", "_matched", "_score")
+
+
+def create_unmatched(linked: DataFrame, entities: DataFrame, name: str = "responding_organization", held: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """E9. (rows, entities) with an entity for each normal name of an unmatched row, of which the least spelling counts. The
+    rows link to it and keep their confidence, unmatched, which says how they came by it."""
+    clean = normalize_org(F.col(name))
+    open_ = F.col("entity_id").isNull() & (F.col("match_confidence") == "unmatched") & (clean != "")
+    if held is not None:
+        open_ = open_ & ~F.coalesce(held, F.lit(False))
+    rows = linked.withColumn("_k", F.when(open_, F.lower(clean)))
+    names = rows.where("_k is not null").select(F.col("_k").alias("k"), clean.alias("entity_name")).groupBy("k").agg(F.min("entity_name").alias("entity_name"))
+    old = entities.groupBy(F.lower("entity_name").alias("k")).agg(F.min("entity_id").alias("_created"))
+    new = checkpointed(_new_ids(names.join(old, "k", "left_anti"), entities))
+    ids = old.unionByName(new.select(F.lower("entity_name").alias("k"), F.col("entity_id").alias("_created"))).withColumnRenamed("k", "_k")
+    out = rows.join(ids, "_k", "left").withColumn("entity_id", F.when(F.col("_k").isNotNull(), F.col("_created")).otherwise(F.col("entity_id"))).drop("_k", "_created")
+    return out, entities.unionByName(new, allowMissingColumns=True)
+
+
+#: Whose word counts more: a person's over a model's over a rule's.
+DECIDERS = ("rule", "model", "person")
+
+
+def standing_decisions(log: DataFrame) -> DataFrame:
+    """E14. Of a log of decisions (id, source, decided_at, action approve/reject, entity_id) the one that stands for each id: a
+    person's before a model's before a rule's, then the latest; of several at one time a rejection, then the least entity.
+    Other sources and actions are left out."""
+    weight = reduce(lambda w, x: w.when(F.col("source") == x[1], x[0]), enumerate(DECIDERS), F.when(F.lit(False), 0))
+    known = log.where(F.col("source").isin(*DECIDERS) & F.col("action").isin("approve", "reject")).withColumn("_weight", weight)
+    # of equal times the last by these counts, so the entity is ordered downwards
+    first = known.groupBy("id", "_weight", "decided_at").agg(F.max(F.when(F.col("action") == "reject", 1).otherwise(0)).alias("_no"), F.min(F.when(F.col("action") == "approve", F.col("entity_id"))).alias("_entity"))
+    best = first.groupBy("id").agg(F.max_by(F.struct("_weight", "_no", "_entity"), F.struct("_weight", "decided_at")).alias("d"))
+    no = F.col("d._no") == 1
+    return best.select("id", F.element_at(F.array(*(F.lit(x) for x in DECIDERS)), F.col("d._weight") + 1).alias("source"), F.when(no, "reject").otherwise("approve").alias("action"), F.when(~no, F.col("d._entity")).alias("decided_entity"))
+
+
+def replay_decisions(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """E14. rows (id, entity_id, match_confidence) as the log has them: approved ones have their entity (high), rejected ones
+    none (rejected). Adds decided_by, whose decision stands (null: nobody's), anew at each call."""
+    d = standing_decisions(log).select("id", F.col("source").alias("decided_by"), "action", "decided_entity")
+    joined = rows.drop("decided_by").join(d, "id", "left")
+    entity = F.when(F.col("action") == "approve", F.col("decided_entity")).when(F.col("action") == "reject", None).otherwise(F.col("entity_id"))
+    band = F.when(F.col("action") == "approve", "high").when(F.col("action") == "reject", "rejected").otherwise(F.col("match_confidence"))
+    return joined.withColumn("entity_id", entity).withColumn("match_confidence", band).drop("action", "decided_entity")
+
+
+def relink(rows: DataFrame, entities: DataFrame, log: DataFrame, name: str = "responding_organization", mode: str = "unlinked", min_confidence: str = "high", force: bool = False, create: bool = False) -> tuple[DataFrame, DataFrame]:
+    """E9, E14. (rows, entities) of one pass: decisions are replayed, then the rest is linked, and with create unmatched names
+    become entities. What a person has decided holds in every mode, forced or not, so a rejection survives all passes;
+    a model's or a rule's word holds unless the pass is forced."""
+    decided = replay_decisions(rows, log)
+    held = F.col("decided_by") == "person" if force else F.col("decided_by").isNotNull()
+    linked = link_responses(decided, entities, name, mode, min_confidence, force, held)
+    return create_unmatched(linked, entities, name, held) if create else (linked, entities)
 
 
 def link_report(linked: DataFrame, name: str = "responding_organization", top: int = 20) -> tuple[DataFrame, DataFrame]:
-    """E9. (rows by confidence, the names most often unmatched)."""
-    unmatched = linked.where("match_confidence = 'unmatched'").groupBy(name).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), name).limit(top)
+    """E9. (rows by confidence, the normal names most often unmatched)."""
+    unmatched = linked.where("match_confidence = 'unmatched'").groupBy(normalize_org(F.col(name)).alias(name)).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), name).limit(top)
     return linked.groupBy("match_confidence").agg(F.count("*").alias("n")), unmatched
 
 
@@ -297,18 +372,18 @@ def review_counts(rows: DataFrame) -> DataFrame:
     return rows.where("entity_id is null").groupBy(F.coalesce("match_confidence", F.lit("none")).alias("confidence")).agg(F.count("*").alias("n"))
 
 
-def _new_ids(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """names (k, entity_name) with entity_id: the hash of the name, SHA-1 as text or 64 bits as a number. A number that an
+def _new_ids(names: DataFrame, entities: DataFrame, columns: tuple[str, ...] | list[str] = ("entity_name",)) -> DataFrame:
+    """names (k and columns) with entity_id: the hash of k, SHA-1 as text or 64 bits as a number. A number that an
     entity has already gives way to a hash with a mark; of new names that share one the least keeps it."""
     kind = entities.schema["entity_id"].dataType.simpleString()
     if kind == "string":
-        return names.select(F.sha1("k").alias("entity_id"), "entity_name")
+        return names.select(F.sha1("k").alias("entity_id"), *columns)
     if kind != "bigint":
         raise TypeError(f"entity_id must be string or bigint for new entities, not {kind}")
     taken = entities.select(F.col("entity_id").alias("_id")).distinct()
     hashed = names.withColumn("_first", F.xxhash64("k")).join(taken, F.col("_first") == F.col("_id"), "left")
-    hashed = hashed.select(F.when(F.col("_id").isNull(), F.col("_first")).otherwise(F.xxhash64(F.concat("k", F.lit("|")))).alias("entity_id"), "entity_name")
-    return hashed.groupBy("entity_id").agg(F.min("entity_name").alias("entity_name"))
+    hashed = hashed.select(F.when(F.col("_id").isNull(), F.col("_first")).otherwise(F.xxhash64(F.concat("k", F.lit("|")))).alias("entity_id"), F.struct(*columns).alias("_row"))
+    return hashed.groupBy("entity_id").agg(F.min("_row").alias("_row")).select("entity_id", "_row.*")
 
 
 def apply_decisions(rows: DataFrame, entities: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -329,10 +404,11 @@ def apply_decisions(rows: DataFrame, entities: DataFrame, decisions: DataFrame)
 
 def upsert_extracted(people: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """E15. (entities, relations, counts created and reused) with extracted people (doc_id, doc_type, name, entity_type,
-    role). Entities are unique by (type, name), relations by (entity, document, kind)."""
+    role). Entities are unique by (type, name), relations by (entity, document, kind). Ids are text or bigint."""
     keys = ["entity_type", "entity_name"]
     seen = people.select("entity_type", F.col("name").alias("entity_name")).distinct()
-    new = seen.join(entities.select(*keys), keys, "left_anti").withColumn("entity_id", F.sha1(F.concat_ws("|", *keys)))
+    fresh = seen.join(entities.select(*keys), keys, "left_anti").withColumn("k", F.concat_ws("|", *keys))
+    new = _new_ids(fresh, entities, keys)
     all_entities = entities.select("entity_id", *keys).unionByName(new.select("entity_id", *keys))
     role = F.regexp_replace(F.lower(F.trim("role")), r"\s+", "_")
     kind = F.when(role.isin("särskild_utredare", "utredare", "huvudutredare"), "lead").when(role.isin("sekreterare", "huvudsekreterare"), "secretary").when(role.isin("ledamot", "ordförande"), "member").when(role.isin("minister", "statsråd"), "responsible").when(F.col("doc_type") == "directive", "assigned").otherwise("mentioned")

@@ -188,3 +188,52 @@ def test_similar_pairs_are_all_found(spark):
     plain = left.crossJoin(right).select("a", "b", E.similarity(F.col("a"), F.col("b")).alias("score")).where("score >= 0.5")
     rows = lambda d: {(r["a"], r["b"], round(r["score"], 9)) for r in d.collect()}
     assert rows(E.similar_pairs(left, right)) == rows(plain)
+
+
+def test_modes_of_linking(spark):
+    entities = spark.createDataFrame([(1, "Kalmar kommun"), (2, "Naturvårdsverket")], "entity_id long, entity_name string")
+    bands = [None, "high", "medium", "low", "unmatched", "rejected"]
+    rows = [(i, "Kalmar kommun", None, b) for i, b in enumerate(bands)] + [(10 + i, "Naturvårdsverket.pdf", 1, b) for i, b in enumerate(bands)] + [(20, None, None, None), (21, "info@x.se", None, None), (22, "Okänt sällskap", None, None), (23, "Naturvårdsverkett", None, None)]
+    frame = spark.createDataFrame(rows, "id long, responding_organization string, entity_id long, match_confidence string")
+
+    def linked(mode, **how):
+        return {r["id"]: (r["entity_id"], r["match_confidence"]) for r in E.link_responses(frame, entities, mode=mode, **how).collect()}
+
+    before = {r[0]: (r[2], r[3]) for r in rows}
+    first = {22: (None, "unmatched"), 23: (2, "high")}
+    expected = {"unlinked": [0], "pending_review": [0, 2, 3, 4], "unmatched_and_rejected": [0, 5], "all": [0, 1, 2, 3, 4, 5]}
+    for mode, ids in expected.items():
+        assert linked(mode) == before | first | {i: (1, "high") for i in ids}, mode
+    assert linked("all", force=True) == before | first | {i: (1, "high") for i in range(6)} | {10 + i: (2, "high") for i in range(6)}
+    held = linked("all", force=True, held=F.col("id") < 12)
+    assert all(held[i] == before[i] for i in before if i < 12) and held[15] == (2, "high")
+    with pytest.raises(ValueError):
+        E.link_responses(frame, entities, mode="unmatched")
+
+
+def test_rejections_survive_passes(spark):
+    entities = spark.createDataFrame([("a", "Kalmar kommun"), ("b", "Naturvårdsverket")], "entity_id string, entity_name string")
+    rows = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(["Kalmar kommun", "Kalmar kommun", "Naturvårdsverket", "Okänt sällskap", "OKÄNT sällskap", "Kalmar kommun"])], "id long, responding_organization string, entity_id string, match_confidence string")
+    log = spark.createDataFrame([(1, "person", 5, "reject", None), (1, "model", 9, "approve", "b"), (1, "rule", 10, "approve", "a"), (2, "model", 1, "approve", "a"), (2, "model", 0, "reject", None), (4, "person", 1, "reject", None), (5, "person", 2, "approve", "a"), (5, "person", 2, "reject", None), (0, "nobody", 3, "reject", None)], "id long, source string, decided_at int, action string, entity_id string")
+    expected = {0: ("a", "high"), 1: (None, "rejected"), 2: ("a", "high"), 3: (None, "unmatched"), 4: (None, "rejected"), 5: (None, "rejected")}
+    for mode in ("unlinked", "unmatched_and_rejected", "pending_review", "all"):
+        first = E.relink(rows, entities, log, mode=mode)[0]
+        again = E.relink(first, entities, log, mode=mode)[0]
+        assert sorted(again.columns) == sorted(first.columns)
+        for out in (first, again):
+            assert {r["id"]: (r["entity_id"], r["match_confidence"]) for r in out.collect()} == expected, mode
+    forced, known = E.relink(first, entities, log, mode="all", force=True, create=True)
+    got = {r["id"]: (r["entity_id"], r["match_confidence"]) for r in forced.collect()}
+    created = {r["entity_name"]: r["entity_id"] for r in known.collect()}["Okänt sällskap"]
+    assert got == expected | {2: ("b", "high"), 3: (created, "unmatched")}  # a model's word gives way to force, a person's does not
+
+
+def test_extracted_people_with_numbers_as_ids(spark):
+    people = spark.createDataFrame([(1, "sou", "A", "person", "Särskild utredare"), (1, "sou", "B", "person", "expert"), (2, "directive", "A", "person", None)], "doc_id long, doc_type string, name string, entity_type string, role string")
+    entities = spark.createDataFrame([(5, "person", "B"), (6, "organization", "A")], "entity_id long, entity_type string, entity_name string")
+    relations = spark.createDataFrame([(5, 1, "mentioned")], "entity_id long, doc_id long, relation_type string")
+    known, edges, counts = E.upsert_extracted(people, entities, relations)
+    ids = {(r["entity_type"], r["entity_name"]): r["entity_id"] for r in known.collect()}
+    assert len(ids) == 3 and ids["person", "B"] == 5
+    new = ids["person", "A"]
+    assert {tuple(r) for r in edges.collect()} == {(5, 1, "mentioned"), (new, 1, "lead"), (new, 2, "assigned")} and tuple(counts.first()) == (1, 1)
