@@ -9,36 +9,66 @@ from ..functions.numbers import rounded, zero
 
 
 def presence(invites: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per (case_id, actor_id) with flags invited and responded: duplicates go before any pairing. Rows are dealt
-    by case alone, which serves this sum and the joins by case that follow."""
+    """One row per (case_id, actor_id) with flags invited and responded: duplicates go before any pairing."""
     some = lambda df, i, r: df.where("actor_id is not null and case_id is not null").select("case_id", "actor_id", F.lit(i).alias("i"), F.lit(r).alias("r"))
-    return some(invites, True, False).unionByName(some(responses, False, True)).repartition("case_id").groupBy("case_id", "actor_id").agg(F.bool_or("i").alias("invited"), F.bool_or("r").alias("responded"))
+    return some(invites, True, False).unionByName(some(responses, False, True)).groupBy("case_id", "actor_id").agg(F.bool_or("i").alias("invited"), F.bool_or("r").alias("responded"))
 
 
-def cooccurrence(invites: DataFrame, responses: DataFrame, cases: DataFrame, keep_cases: int = 100) -> DataFrame:
+#: Both were invited to the case, or both answered.
+_TOGETHER = "(i_a and i_b) or (r_a and r_b)"
+
+
+def paired(present: DataFrame, block: int = 2_000) -> DataFrame:
+    """Rows (case_id, and actor, i, r of both sides) for each pair of actors a < b that a case brings together.
+
+    The actors of a case of more than `block` are dealt by hash into blocks. The case is then as many units as it has
+    ordered pairs of blocks: an actor goes to a row of them as a and to a column as b, so a pair meets in one unit, a
+    unit makes block squared pairs at most, and a case with a third of all rows is many tasks."""
+    hot = present.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("case_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = present.join(hot, "case_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("actor_id"), F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda s, row, column: dealt.select("case_id", row.alias("row"), column.alias("column"), F.col("actor_id").alias(f"actor_{s}"), F.col("invited").alias(f"i_{s}"), F.col("responded").alias(f"r_{s}"))
+    both = side("a", own, each).join(side("b", each, own), ["case_id", "row", "column"])
+    return both.where(f"actor_a < actor_b and ({_TOGETHER})").drop("row", "column")
+
+
+def cooccurrence(invites: DataFrame, responses: DataFrame, cases: DataFrame, keep_cases: int = 100, block: int = 2_000) -> DataFrame:
     """M11. Per pair of actors a < b: cases they were both invited to, both answered, either; Jaccard (4 decimals) of
     their cases, strength (2), the keep_cases latest shared cases, first and last date. cases: case_id, case_date.
 
-    A pair's latest cases are ranked before they are collected, so a list has keep_cases entries at most whatever a
-    pair shares; the number of pairs of a case with n actors is n (n - 1) / 2, which is the result itself.
+    Pairs are made as in paired. Counts are summed on the map side; the latest cases of a pair are a limit by rank, of
+    which each task keeps keep_cases a pair before the exchange. The number of pairs of a case with n actors is
+    n (n - 1) / 2, which is the result itself.
     """
     present = presence(invites, responses)
     totals = present.groupBy("actor_id").agg(F.count("*").alias("n"))
-    dated = present.join(cases.select("case_id", "case_date"), "case_id", "left")
-    side = lambda s: present.select("case_id", F.col("actor_id").alias(f"actor_{s}"), F.col("invited").alias(f"i_{s}"), F.col("responded").alias(f"r_{s}"))
-    a = dated.select("case_id", "case_date", F.col("actor_id").alias("actor_a"), F.col("invited").alias("i_a"), F.col("responded").alias("r_a"))
-    pairs = a.join(side("b"), "case_id").where("actor_a < actor_b and ((i_a and i_b) or (r_a and r_b))")
+    pairs = paired(present, block).join(cases.select("case_id", "case_date"), "case_id", "left")
     latest = Window.partitionBy("actor_a", "actor_b").orderBy(F.col("case_date").desc_nulls_last(), F.col("case_id"))
-    ranked = pairs.withColumn("_place", F.row_number().over(latest))
-    shared = F.sort_array(F.collect_list(F.when(F.col("_place") <= keep_cases, F.struct("_place", "case_id"))))
-    per = ranked.groupBy("actor_a", "actor_b").agg(
-        F.count_if(F.col("i_a") & F.col("i_b")).alias("invite_count"), F.count_if(F.col("r_a") & F.col("r_b")).alias("response_count"), F.count("*").alias("shared_count"),
-        F.transform(shared, lambda x: x["case_id"]).alias("shared_cases"), F.min("case_date").alias("first_date"), F.max("case_date").alias("last_date"),
+    ranked = pairs.select("actor_a", "actor_b", "case_id", "case_date").withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= keep_cases)
+    shared = ranked.groupBy("actor_a", "actor_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "case_id"))), lambda x: x["case_id"]).alias("shared_cases"))
+    per = pairs.groupBy("actor_a", "actor_b").agg(
+        F.count_if(F.col("i_a") & F.col("i_b")).alias("invite_count"), F.count_if(F.col("r_a") & F.col("r_b")).alias("response_count"), F.count("*").alias("shared_count"), F.min("case_date").alias("first_date"), F.max("case_date").alias("last_date"),
     )
     total = lambda s: totals.select(F.col("actor_id").alias(f"actor_{s}"), F.col("n").alias(f"n_{s}"))
-    per = per.join(total("a"), "actor_a").join(total("b"), "actor_b")
+    per = per.join(shared, ["actor_a", "actor_b"]).join(total("a"), "actor_a").join(total("b"), "actor_b")
     jaccard = F.col("shared_count") / (F.col("n_a") + F.col("n_b") - F.col("shared_count"))
-    return per.withColumn("jaccard", rounded(jaccard, 4)).withColumn("strength", rounded(jaccard, 2)).drop("n_a", "n_b")
+    columns = ["actor_a", "actor_b", "invite_count", "response_count", "shared_count", "shared_cases", "first_date", "last_date"]
+    return per.select(*columns, rounded(jaccard, 4).alias("jaccard"), rounded(jaccard, 2).alias("strength"))
+
+
+def actor_neighbors(invites: DataFrame, responses: DataFrame, actors: DataFrame, actor, k: int = 10) -> DataFrame:
+    """M15. The k actors most strongly tied to one actor, with names, without the pairs of others: that actor's cases come
+    first, then who else is there, then how many cases these have in all."""
+    present = presence(invites, responses)
+    own = present.where(F.col("actor_id") == actor).select("case_id", F.col("invited").alias("i_a"), F.col("responded").alias("r_a"))
+    others = present.where(F.col("actor_id") != actor).select("case_id", "actor_id", F.col("invited").alias("i_b"), F.col("responded").alias("r_b"))
+    shared = others.join(own, "case_id").where(_TOGETHER).groupBy("actor_id").agg(F.count("*").alias("shared_count"))
+    totals = present.join(shared.select("actor_id"), "actor_id", "left_semi").groupBy("actor_id").agg(F.count("*").alias("n"))
+    tied = shared.join(totals, "actor_id").crossJoin(F.broadcast(own.agg(F.count("*").alias("n_own"))))
+    strength = rounded(F.col("shared_count") / (F.col("n") + F.col("n_own") - F.col("shared_count")), 2)
+    top = tied.select("actor_id", strength.alias("strength"), "shared_count").orderBy(F.col("strength").desc(), "actor_id").limit(k)
+    return top.join(actors, "actor_id")
 
 
 def cooccurrence_stats(pairs: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,38 +19,76 @@ BASE = "https://www.regeringen.se"
 # Classes of sections, and parts of URLs that no reference has.
 RELATED = r"genv[äa]g|related|shortcuts"
 DOWNLOADS = r"list--icons|download|file-list"
-#: Sections within sections that page_tokens follows.
-DEEP = 12
+#: Tags that make sections.
+SECTIONS = ("div", "section", "aside", "ul", "ol", "main", "article", "footer", "nav")
 SOCIAL = r"facebook\.com|twitter\.com|linkedin\.com|email-protection"
 
 
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1>", re.S | re.I)
+_PARTS = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*)([^<]*)")
+_TAGS = "place int, tag string, attributes string, rest string, depth int, section string"
+
+
+def _tags(html: str) -> Iterator[tuple[int, str, str, str, int, str | None]]:
+    """The tags of a page in order: place, name, attributes, the text behind, how many sections are open, and the class of
+    the innermost open one that has a class. An end tag closes the last section of its name, and those that were opened
+    since and left open; one that has nothing to close counts for nothing."""
+    names, classes, open_ = [], [None], Counter()
+    for place, m in enumerate(_PARTS.finditer(_HIDDEN.sub(" ", html))):
+        tag = m[1].lower()
+        head, closed, rest = m[2].partition(">")
+        if tag in SECTIONS and not head.rstrip().endswith("/"):
+            found = _CLASS.search(head)
+            names.append(tag)
+            open_[tag] += 1
+            classes.append(found[1] if found and found[1] else classes[-1])
+        elif tag[0] == "/" and open_[tag[1:]]:
+            while True:
+                last = names.pop()
+                classes.pop()
+                open_[last] -= 1
+                if last == tag[1:]:
+                    break
+        yield place, tag, head, rest if closed else "", len(names), classes[-1]
+
+
+_CLASS = re.compile(r"""\bclass\s*=\s*["']([^"']*)["']""", re.I)
+
+
 def page_tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """T0. One row for each start tag: page, place, tag, class, href, text (up to the tag's own end tag's or the next start
-    tag's text), the nearest heading before it, and the class of the innermost section, list or division with a class that it stands in (DEEP levels).
+    tag's text), the nearest heading before it, the class of the innermost section, list or division with a class that it
+    stands in, at any depth, and the depth. Pages that share an id are read each for itself.
 
-    Text and context come from windows over a page's tags in order, whose sums run forward only, and one aggregate over
-    each run of tags behind an inline one, so a page costs as much as it has tags; depth is a running sum of section tags.
+    Tags and the sections that they stand in come from one pass over a page's text in Arrow batches; text and headings from
+    windows over a page's tags in order, whose sums run forward only, and one aggregate over each run of tags behind an
+    inline one, so a page costs as much as it has tags. A null page has none.
     """
-    parts = pages.select(key, F.posexplode(F.split(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " "), "(?=<)")).alias("place", "part"))
-    rows = parts.withColumn("tag", F.lower(F.regexp_extract("part", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))).where("tag <> ''")
-    attribute = lambda name: F.regexp_extract("part", rf"""(?is)^<[^>]*\b{name}\s*=\s*["']([^"']*)["']""", 1)
-    rows = rows.withColumn("class", attribute("class")).withColumn("href", attribute("href")).withColumn("own", decode_entities(F.regexp_extract("part", r"(?s)^<[^>]*>(.*)$", 1)))
-    order = Window.partitionBy(key).orderBy("place")
-    sections = ("div", "section", "aside", "ul", "ol", "main", "article", "footer", "nav")
-    step = F.when(F.col("tag").isin(*sections), 1).when(F.col("tag").isin(*(f"/{s}" for s in sections)), -1).otherwise(0)
-    rows = rows.withColumn("depth", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # at each depth the section that was opened last is the open one, if the depth still holds
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_s{k}": F.last(F.when((step == 1) & (F.col("depth") == k), F.col("class")), ignorenulls=True).over(running) for k in range(1, DEEP + 1)})
-    rows = rows.withColumn("section", F.coalesce(*(F.when((F.col("depth") >= k) & (F.col(f"_s{k}") != ""), F.col(f"_s{k}")) for k in range(DEEP, 0, -1))))
+    kind = pages.schema[key].dataType.simpleString()
+
+    def tags(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for page, own, html in zip(*(batch.column(i) for i in range(3)), strict=True):
+                found = _tags(html.as_py())
+                while rows := list(islice(found, 20_000)):
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(rows), pa.int64()), pa.array([own.as_py()] * len(rows), batch.column(1).type), *columns], ["_page", key, *(c.split()[0] for c in _TAGS.split(", "))])
+
+    numbered = pages.where("html is not null").select(F.monotonically_increasing_id().alias("_page"), key, "html")
+    rows = numbered.mapInArrow(tags, f"_page long, `{key}` {kind}, {_TAGS}")
+    attribute = lambda name: F.regexp_extract("attributes", rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+    rows = rows.select("_page", key, "place", "tag", attribute("class").alias("class"), attribute("href").alias("href"), decode_entities(F.col("rest")).alias("own"), "depth", "section")
+    order = Window.partitionBy("_page").orderBy("place")
     # the text up to the matching end tag: the rows of a tag share a running number of its starts
     inline = F.col("tag").isin("a", "h1", "h2", "h3", "h4", "strong", "b", "li", "button", "p", "title")
     head = F.col("tag").isin("h1", "h2", "h3", "h4", "strong", "b")
     rows = rows.withColumn("_n", F.sum(inline.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # each run is collected once and its first row gets the text
     items = F.sort_array(F.collect_list(F.struct("place", "tag", "class", "href", "own", "depth", "section")))
-    runs = rows.groupBy(key, "_n").agg(items.alias("items")).withColumn("whole", F.array_join(F.transform("items", lambda x: x["own"]), ""))
-    rows = runs.select(key, "whole", F.explode("items").alias("r")).select(key, "r.*", "whole")
+    runs = rows.groupBy("_page", key, "_n").agg(items.alias("items")).withColumn("whole", F.array_join(F.transform("items", lambda x: x["own"]), ""))
+    rows = runs.select("_page", key, "whole", F.explode("items").alias("r")).select("_page", key, "r.*", "whole")
     squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     rows = rows.withColumn("text", F.when(inline, squeezed("whole")).otherwise(squeezed("own"))).drop("whole")
     rows = rows.withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -193,7 +235,7 @@ def detect_document(pages: DataFrame, tokens: DataFrame, ministries: list[str],
     plain = decode_entities(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " "))
     title = tokens.where("tag in ('h1', 'title')").groupBy(key).agg(F.min_by("text", F.struct(F.when(F.col("tag") == "h1", 0).otherwise(1), F.col("place"))).alias("title"))
     rows = pages.select(key, plain.alias("_text")).join(title, key, "left")
-    number = F.coalesce(document_number(F.col("title")), document_number(F.substring("_text", 1, 20_000)))
+    number = F.coalesce(document_number(F.col("title")), document_number(F.col("_text")))
     rows = rows.withColumn("_n", number)
     kind = F.when(F.col("_n.number").startswith("SOU"), "sou").when(F.col("_n.number").startswith("Dir."), "directive").when(F.col("_n.number").startswith("Prop."), "proposition").when(F.col("_n.number").startswith("Ds"), "ds").otherwise("unknown")
     ministry = F.coalesce(*(F.when(F.contains(F.lower("_text"), F.lit(m.lower())), m) for m in ministries)) if ministries else F.lit(None).cast("string")

@@ -222,7 +222,7 @@ def m14_type_counts(spark, d):
 @query(f"""WITH {_PAIRS}, o AS (SELECT CASE WHEN actor_a = 7 THEN actor_b ELSE actor_a END AS actor_id, strength, shared_count FROM e WHERE actor_a = 7 OR actor_b = 7 ORDER BY strength DESC, 1 LIMIT 10)
   SELECT o.*, s_name AS name, s_nationkey AS actor_type FROM o JOIN supplier ON s_suppkey = actor_id""")
 def m15_neighbors(spark, d):
-    return N.neighbors(pairs(spark, d), actors(spark, d), 7)
+    return N.actor_neighbors(invites(spark, d), responses(spark, d), actors(spark, d), 7)
 
 
 # --- documents are parts, their actors the suppliers that deliver them; role is the part's type, ministry its brand ---

@@ -237,3 +237,30 @@ def test_extracted_people_with_numbers_as_ids(spark):
     assert len(ids) == 3 and ids["person", "B"] == 5
     new = ids["person", "A"]
     assert {tuple(r) for r in edges.collect()} == {(5, 1, "mentioned"), (new, 1, "lead"), (new, 2, "assigned")} and tuple(counts.first()) == (1, 1)
+
+
+@pytest.mark.parametrize("block", [2, 5, 2000])
+def test_cases_of_many_actors_meet_in_blocks(spark, block):
+    r = random.Random(3)
+    held = {(c, a): (r.random() < 0.7, r.random() < 0.5) for c in range(12) for a in range(20) if c == 0 or r.random() < 0.3}
+    pick = lambda k: spark.createDataFrame([(c, a) for (c, a), f in held.items() if f[k] for _ in range(2)] + [(None, 1), (3, None)], "case_id long, actor_id long")
+    cases = spark.createDataFrame([(c, dt.date(2024, 1, 1 + c % 5) if c % 4 else None) for c in range(12)], "case_id long, case_date date")
+    there = {k: f for k, f in held.items() if any(f)}
+    n, expected = {}, {}
+    for (_, a) in there:
+        n[a] = n.get(a, 0) + 1
+    for a in range(20):
+        for b in range(a + 1, 20):
+            both = [c for c in range(12) if (c, a) in there and (c, b) in there and any(x and y for x, y in zip(there[c, a], there[c, b], strict=True))]
+            if both:
+                order = sorted(both, key=lambda c: (-(1 + c % 5) if c % 4 else 99, c))
+                expected[a, b] = (len(both), order[:3], len(both) / (n[a] + n[b] - len(both)))
+    pairs = N.cooccurrence(pick(0), pick(1), cases, keep_cases=3, block=block)
+    got = {(x["actor_a"], x["actor_b"]): (x["shared_count"], x["shared_cases"], x["jaccard"]) for x in pairs.collect()}
+    assert got.keys() == expected.keys() and all(got[k][:2] == v[:2] and abs(got[k][2] - v[2]) < 1e-4 for k, v in expected.items())
+    if block == 2:
+        units = N.paired(N.presence(pick(0), pick(1)), block)
+        assert "row" not in units.columns and units.count() == sum(v[0] for v in expected.values())
+        actors = spark.createDataFrame([(a, f"n{a}") for a in range(20)], "actor_id long, name string")
+        tied = lambda df: [(x["actor_id"], x["strength"], x["shared_count"], x["name"]) for x in df.orderBy(F.col("strength").desc(), "actor_id").collect()]
+        assert tied(N.actor_neighbors(pick(0), pick(1), actors, 4, 6)) == tied(N.neighbors(pairs, actors, 4, 6))

@@ -81,3 +81,21 @@ def test_model_output(spark):
     assert (str(events["event_date"]), events["confidence"]) == ("2024-05-01", "medium")
     people = spark.createDataFrame([("Ann Ek", "sou"), ("Ann", "sou"), ("[x] y", "sou"), ("Statsrådet Ek", "sou"), ("Statsrådet Ek", "proposition")], "name string, doc_type string").withColumns({"excerpt": F.lit("e"), "page": F.lit(None).cast("int")})
     assert [r["reason"] for r in G.validate_extracted(people).collect()] == ["ok", "no_space", "brackets", "title_only", "ok"]
+
+
+def test_sections_at_any_depth_and_stray_end_tags(spark):
+    deep = '<div class="outer">' + "<div>" * 50 + '<section class="related"><ul><li><a href="/a">A</a></li></ul></section><a href="/b">B</a>' + "</div>" * 50 + '</div><a href="/c">C</a>'
+    stray = '</div></div></section><div class="related"><p><a href="/d">D</a></ul></p><nav><ul><a href="/e">E</a></div><a href="/f">F</a>'
+    rows = [(1, deep, "x"), (2, stray, "x"), (2, '<main class="m"><a href="/g">G</a>', "x"), (3, None, "x"), (4, "", "x"), (None, '<div class="n"/><a href="/h">H</a>', "x")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, section string")
+    got = {r["href"]: (r["page_id"], r["section"], r["depth"], r["text"]) for r in G.page_tokens(pages).where("tag = 'a'").collect()}
+    assert got == {
+        "/a": (1, "related", 53, "A"), "/b": (1, "outer", 51, "B"), "/c": (1, None, 0, "C"), "/d": (2, "related", 1, "D"), "/e": (2, "related", 3, "E"), "/f": (2, None, 0, "F"),
+        "/g": (2, "m", 1, "G"), "/h": (None, None, 0, "H"),
+    }
+    assert [r["url"] for r in G.extract_links(G.page_tokens(pages.where("page_id = 1"))).collect()] == ["https://www.regeringen.se/a"]
+
+
+def test_a_number_far_down_a_page_counts(spark):
+    pages = spark.createDataFrame([(1, "<h1>Om</h1><p>" + "ord " * 9000 + "SOU 2024:55</p>")], "page_id long, html string")
+    assert G.detect_document(pages, G.page_tokens(pages), []).first()["doc_number"] == "SOU 2024:55"
