@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, mix, release_memory, total_bytes
+from .common import binary_column, mix, release_memory, total_bytes, written
 from .shingles import powers
 from .words import slices
 
@@ -156,15 +156,15 @@ def longest_previous_factors(text: bytes) -> list[int]:
 
 
 def _spans(table, length: int) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[int, int, int]]]:
-    """(survivors, spans) of the snippets of a table (key, doc, nth, first, text).
+    """(survivors, spans) of the snippets of a table (key, doc, first, text).
 
     A span (row, skip, bytes) covers windows of a snippet that have an earlier equal window among the snippets; skip is
     counted from the snippet's start. Survivors (rows, skips) are the windows without one: they stand for all when parts
     of a key meet in a further round. Only those of rows with several salts are told. Snippets with equal text are one, the earliest: every window of the
     others repeats. The rest go through the suffix array."""
-    docs, nths, firsts, keys = (table.column(c).to_numpy() for c in ("doc", "nth", "first", "key"))
+    docs, firsts, keys = (table.column(c).to_numpy() for c in ("doc", "first", "key"))
     data, offsets = binary_column(table.column("text"))
-    rows = np.lexsort((firsts, nths, docs))
+    rows = np.lexsort((firsts, docs))
     rank = np.empty(len(rows), np.int64)
     rank[rows] = np.arange(len(rows))  # windows of two snippets of a text don't interleave: ranks order them all
     sizes = np.diff(offsets)
@@ -209,7 +209,7 @@ def window_rows(table, rows: np.ndarray, skips: np.ndarray, length: int):
     import pyarrow as pa
 
     data, offsets = binary_column(table.column("text"))
-    columns = {c: table.column(c).to_numpy() for c in ("doc", "nth", "first")}
+    columns = {c: table.column(c).to_numpy() for c in ("doc", "first")}
     out = []
     for a in range(0, len(rows), 1 << 15):
         row, skip = rows[a : a + (1 << 15)], skips[a : a + (1 << 15)]
@@ -220,23 +220,23 @@ def window_rows(table, rows: np.ndarray, skips: np.ndarray, length: int):
         bounds = np.arange(len(row) + 1, dtype=np.int32) * np.int32(length)
         texts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(text.tobytes())])
         n = np.zeros(len(row), np.int64)
-        out.append(pa.table({"key": mix(key).view(np.int64), "doc": columns["doc"][row], "nth": columns["nth"][row], "first": columns["first"][row] + skip, "salts": (n + 1).astype(np.int32), "bytes": n, "text": texts}))
+        out.append(pa.table({"key": mix(key).view(np.int64), "doc": columns["doc"][row], "first": columns["first"][row] + skip, "salts": (n + 1).astype(np.int32), "bytes": n, "text": texts}))
     return out
 
 
-def _numbered(table) -> np.ndarray:
-    """For each row of a group its number among the rows with its doc, in the order of their texts."""
-    docs = table.column("doc").to_numpy()
-    nth = np.zeros(len(docs), np.int64)
-    values, counts = np.unique(docs, return_counts=True)
-    for d in values[counts > 1].tolist():
-        own = np.flatnonzero(docs == d)
-        texts = [table.column("text")[int(i)].as_py() for i in own]
-        nth[own[sorted(range(len(own)), key=lambda i: texts[i])]] = np.arange(len(own))
-    return nth
+def numbered(texts: DataFrame, groups: int) -> DataFrame:
+    """texts (row, doc, text) with a doc of its own for each row, in the order of doc. If no doc is there twice these are
+    texts themselves. Else the rows are written in the order of doc, the first 100 characters, a hash of the text and
+    where they stood, dealt by range, so that not even equal rows need be in one task, and their places are the new docs."""
+    if not texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return texts
+    order = ["doc", "_head", "_hash", "_turn"]
+    placed = texts.withColumns({"_head": F.left("text", F.lit(100)), "_hash": F.xxhash64("text"), "_turn": F.monotonically_increasing_id()})
+    placed = placed.repartitionByRange(groups, *order).sortWithinPartitions(*order)
+    return written(placed.select("row", F.monotonically_increasing_id().alias("doc"), "text"), "numbered")
 
 
-_SNIPPETS = "key long, doc long, nth long, first long, salts int, bytes long, text binary"
+_SNIPPETS = "key long, doc long, first long, salts int, bytes long, text binary"
 
 
 def _table(columns: dict):
@@ -253,7 +253,8 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     Returns row (a struct of all columns of docs but text), kept (binary; with as_text a string without the bytes of
     characters that were cut in two), n_bytes, n_removed, n_spans (maximal removed
     runs). Strings are judged on the input. Null text is empty. A null doc_id counts as smaller than all; rows with
-    equal doc_id stand in the order of their texts. Any other columns, of any name, come back in row.
+    equal doc_id stand in the order of their first 100 characters, then of a hash of their texts, and are dealt out
+    as any others (see numbered). Any other columns, of any name, come back in row.
 
     1. Each window of `length` bytes is named by the 24-byte gram in it whose hash is least, so equal windows have equal
        names; neighbouring windows share them, about one name for 34 bytes, and make a snippet that holds them all.
@@ -271,6 +272,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
     texts = docs.select(F.struct(*(docs[c] for c in extra)).alias("row"), doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     groups = max(8, -(-total_bytes(texts, "text") // group_bytes))
+    texts = numbered(texts, groups)
     g = F.pmod(F.xxhash64("doc"), F.lit(groups)).alias("g")
 
     def first_of_each(met, keys, prints, docs, first, size):
@@ -310,19 +312,6 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in first_of_each(met, *map(np.concatenate, found))], ["key", "print", "doc", "first", "bytes", "known"])
 
-    def of_row(doc_rows: slice, nth: int, several: bool, text: np.ndarray, own) -> np.ndarray:
-        """Which of a document's rows of `own` are this text's: all, unless several texts share the doc."""
-        at = np.arange(doc_rows.start, doc_rows.stop)
-        if not several:
-            return at
-        first, size = own["first"][at], own["bytes"][at]
-        fits = (own["nth"][at] == nth) if "nth" in own else np.zeros(len(at), dtype=bool)
-        unsure = np.flatnonzero((own["nth"][at] < 0 if "nth" in own else True) & (first + size <= len(text)))
-        if len(unsure):
-            fits[unsure] |= snippet_prints(text, first[unsure], size[unsure]) == own["print"][at][unsure]
-        at = at[fits]
-        return at[np.unique(np.stack([first[fits], size[fits]]), axis=1, return_index=True)[1]] if len(at) else at  # equal texts name a place twice
-
     def by_doc(table, names) -> dict:
         columns = {n: table.column(n).to_numpy() for n in names}
         order = np.argsort(columns["doc"], kind="stable")
@@ -333,18 +322,15 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
         if len(wanted) and len(table):
             own = by_doc(wanted, ("doc", "key", "print", "first", "bytes", "salts"))
             data, offsets = binary_column(table.column("text"))
-            docs, nths = table.column("doc").to_numpy(), _numbered(table)
-            several = set(docs[nths > 0].tolist())
-            for i, (d, n) in enumerate(zip(docs.tolist(), nths.tolist(), strict=True)):
+            for i, d in enumerate(table.column("doc").to_pylist()):
                 a, b = np.searchsorted(own["doc"], [d, d + 1]).tolist()
                 if a == b:
                     continue
                 text = data[offsets[i] : offsets[i + 1]]
-                at = of_row(slice(a, b), n, d in several, text, own)
-                raw, count = text.tobytes(), len(at)
+                at = slice(a, b)
+                raw, count = text.tobytes(), b - a
                 out["key"] += own["key"][at].tolist()
                 out["doc"] += [d] * count
-                out["nth"] += [n] * count
                 out["first"] += own["first"][at].tolist()
                 out["salts"] += own["salts"][at].tolist()
                 out["bytes"] += [0] * count
@@ -361,7 +347,7 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
         table = table.filter(pc.equal(table.column("bytes"), 0))
         survivors, spans = _spans(table, length)
         of = np.array([s[0] for s in spans], np.int64)
-        columns = {c: table.column(c).to_numpy()[of] for c in ("key", "doc", "nth")}
+        columns = {c: table.column(c).to_numpy()[of] for c in ("key", "doc")}
         columns |= {"first": table.column("first").to_numpy()[of] + np.array([s[1] for s in spans], np.int64), "salts": np.ones(len(of), np.int32), "bytes": np.array([s[2] for s in spans], np.int64), "text": [None] * len(of)}
         cast = _table(columns).schema
         release_memory()
@@ -370,17 +356,15 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     def finish(_, table, spans):
         import pyarrow as pa
 
-        own = by_doc(spans, ("doc", "nth", "print", "first", "bytes"))
+        own = by_doc(spans, ("doc", "first", "bytes"))
         data, offsets = binary_column(table.column("text"))
         kept, facts = [], np.zeros((3, len(table)), np.int64)
-        docs, nths = table.column("doc").to_numpy(), _numbered(table)
-        several = set(docs[nths > 0].tolist())
-        for i, (d, n) in enumerate(zip(docs.tolist(), nths.tolist(), strict=True)):
+        for i, d in enumerate(table.column("doc").to_pylist()):
             text = data[offsets[i] : offsets[i + 1]]
             facts[0, i] = len(text)
             a, b = np.searchsorted(own["doc"], [d, d + 1]).tolist()
             if a < b:
-                at = of_row(slice(a, b), n, d in several, text, own)
+                at = slice(a, b)
                 marks = np.zeros(len(text) + 1, np.int64)
                 np.add.at(marks, own["first"][at], 1)
                 np.subtract.at(marks, own["first"][at] + own["bytes"][at], 1)
@@ -396,14 +380,14 @@ def without_repeats(docs: DataFrame, length: int = 100, group_bytes: int = 5 <<
     ranked = named.withColumn("again", F.col("known") | (F.rank().over(Window.partitionBy("key", "print").orderBy("doc", "first")) > 1))
     prints = F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("key"))
     wanted = ranked.withColumn("n", prints).where("not again and n > 1").select("key", "print", "doc", "first", "bytes", F.ceil(F.col("n") / F.lit(salt_rows)).cast("int").alias("salts"), g)
-    whole = ranked.where("again").select("doc", F.lit(-1).cast("long").alias("nth"), "print", "first", "bytes", g)
+    whole = ranked.where("again").select("doc", "first", "bytes", g)
     texts = texts.withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(groups)))
     cut = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(snippets, _SNIPPETS)
     salt = F.pmod(F.xxhash64("doc", "first"), F.greatest("salts", F.lit(1)))
     first = cut.withColumn("part", F.pmod(F.xxhash64("key", salt), F.lit(groups * 2))).groupBy("part").applyInArrow(compare, _SNIPPETS)
     meet = F.when(F.col("bytes") > 0, F.xxhash64("doc", "first")).otherwise(F.xxhash64("key"))
     second = first.withColumn("part", F.pmod(meet, F.lit(groups * 2))).groupBy("part").applyInArrow(compare, _SNIPPETS)
-    spans = second.where("bytes > 0").select("doc", "nth", F.lit(0).cast("long").alias("print"), "first", "bytes", g).unionByName(whole)
+    spans = second.where("bytes > 0").select("doc", "first", "bytes", g).unionByName(whole)
     row = docs.select(F.struct(*(docs[c] for c in extra)).alias("row")).schema["row"].dataType.simpleString()
     return texts.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(finish, f"row {row}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from casegraph.llm import minhash, packing, warc
+from casegraph.llm import minhash, packing, suffix, warc
 
 
 def pattern(n, flip):
@@ -82,3 +82,29 @@ def test_pieces_of_one_id_are_dealt_over_shards(spark):
     assert sum(per) == 4000 and max(per) <= 200
     used = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
     assert all(r["n"] == r["end"] <= 64 for r in used)
+
+
+def test_texts_of_one_id_are_dealt_out(spark):
+    words = [f"w{i}x" for i in range(50)]
+    r = np.random.default_rng(6)
+    line = " ".join(words[:40])
+    rows = [(None, f"{i} " + " ".join(words[k] for k in r.integers(0, 50, 60)) + (f" {line}" if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(9, f"{line} end")] * 100 + [(i, f"{i}{line}") for i in range(20)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    texts = docs.select(F.struct("doc_id", "source").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text")
+    dealt = suffix.numbered(texts, 8)
+    assert dealt.select("doc").distinct().count() == len(rows)
+    per = [x["count"] for x in dealt.groupBy(F.pmod(F.xxhash64("doc"), F.lit(8))).count().collect()]
+    assert len(per) == 8 and max(per) < 2 * len(rows) / 8
+    places = {x["doc"] >> 33 for x in dealt.where("row.doc_id = 9").select("doc").collect()}
+    assert len(places) > 1  # equal rows come from several tasks
+    seen, expected = set(), Counter()
+    for d, t in sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], x[1][:100])):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(t[i : i + 100])
+        expected[d, len(t), int(gone.sum())] += 1
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix.repeat_report(docs).collect()) == expected
+    assert texts.where("doc = 3").count() == 1 and suffix.numbered(texts.where("doc = 3"), 8).collect() == texts.where("doc = 3").collect()
