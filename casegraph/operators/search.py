@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded, zero
@@ -53,6 +53,62 @@ def ranked_search(index: DataFrame, terms: list[str], key: str = "doc_id", k: in
     return hits.groupBy(key).agg(F.sum("weight").alias("score"), F.count("*").alias("terms")).orderBy(F.col("terms").desc(), F.col("score").desc(), key).limit(k)
 
 
+#: What a hit in a title, a number and the text of a document weighs.
+FIELD_WEIGHTS = {"title": 1.0, "doc_number": 0.4, "raw_content": 0.2}
+
+
+def _part(token: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
+
+
+def store_index(docs: DataFrame, path: str, weights: dict[str, float] | None = None, key: str = "doc_id", parts: int = 64) -> None:
+    """Q3. Writes an index of docs (key and the fields of weights) below path: postings (token, key, weight, places: number
+    of the field and of the token there, both from 0) and frequencies (token, documents), in folders by a hash of the token.
+
+    Postings are dealt by range of (part, token, key), so a token that every document has is spread over tasks and files,
+    and a part is few files. The table of parameters says how to read it."""
+    weights = FIELD_WEIGHTS if weights is None else weights
+    tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+    fields = [docs.select(key, F.posexplode(tokens(F.col(c))).alias("at", "token"), F.lit(i).alias("field"), F.lit(w).alias("w")) for i, (c, w) in enumerate(weights.items())]
+    rows = reduce(DataFrame.unionByName, fields).groupBy("token", key).agg(F.sum("w").alias("weight"), F.sort_array(F.collect_list(F.struct("field", "at"))).alias("places"))
+    rows = rows.withColumn("part", _part(F.col("token"), parts))
+    rows.repartitionByRange("part", "token", key).sortWithinPartitions("part", "token", key).write.partitionBy("part").parquet(f"{path}/postings")
+    counts = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "token").agg(F.count("*").alias("documents"))
+    counts.repartition(F.col("part")).sortWithinPartitions("token").write.partitionBy("part").parquet(f"{path}/frequencies")
+    docs.agg(F.count("*").alias("documents"), F.lit(parts).alias("parts")).write.parquet(f"{path}/parameters")
+
+
+def postings_of(spark: SparkSession, path: str, terms: list[str], table: str = "postings") -> DataFrame:
+    """Q3. The postings (or frequencies) of some terms: only the terms' own parts are read, and in these the row groups that
+    may hold them."""
+    low = sorted({t.lower() for t in terms})
+    parts = spark.read.parquet(f"{path}/parameters").first()["parts"]
+    here = spark.range(1).select(*(_part(F.lit(t), parts) for t in low)).first()
+    return spark.read.parquet(f"{path}/{table}").where(F.col("part").isin(*sorted(set(here))) & F.col("token").isin(*low)).drop("part")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str], key: str = "doc_id", k: int = 20, rare: bool = False) -> DataFrame:
+    """Q3. As ranked_search, from a stored index. With rare a token's weight is multiplied by ln(1 + documents / those that
+    have it), so that a rare word counts more."""
+    hits = postings_of(spark, path, terms)
+    if rare:
+        total = spark.read.parquet(f"{path}/parameters").select(F.col("documents").alias("_all"))
+        hits = hits.join(F.broadcast(postings_of(spark, path, terms, "frequencies")), "token").crossJoin(F.broadcast(total))
+        hits = hits.withColumn("weight", F.col("weight") * F.log(1 + F.col("_all") / F.col("documents")))
+    return ranked_search(hits.select("token", key, "weight"), terms, key, k)
+
+
+def search_phrase(spark: SparkSession, path: str, phrase: list[str], key: str = "doc_id", k: int = 20) -> DataFrame:
+    """Q3. The k documents that have the words of a phrase one behind the other in a field most often (key, times)."""
+    words = [w.lower() for w in phrase]
+    found = postings_of(spark, path, words).select("token", key, "places")
+    step = lambda i: found.where(F.col("token") == words[i]).select(key, F.explode("places").alias("p")).select(key, "p.field", (F.col("p.at") - i).alias("start"))
+    both = step(0)
+    for i in range(1, len(words)):
+        both = both.join(step(i), [key, "field", "start"])
+    return both.groupBy(key).agg(F.count("*").alias("times")).orderBy(F.col("times").desc(), key).limit(k)
+
+
 def search_actors(actors: DataFrame, links: DataFrame, q: str, types: list[str] | None = None, limit: int = 20) -> DataFrame:
     """Q4. Actors whose name holds q, with their distinct documents: an exact name first, then by documents and name."""
     hits = actors.where(like(F.col("name"), q))
