@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded, zero
+from ..sources.scratch import written
 
 
 def like(c: Column, text: str) -> Column:
@@ -137,6 +140,68 @@ def similar_documents(vectors: DataFrame, ids: list, k: int = 10, threshold: flo
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def hash_tables(n: int, threshold: float, recall: float, bucket: int = 64, most_bits: int = 24) -> tuple[int, int]:
+    """(bits, tables) of sign hashes for n vectors: as many bits as leave about `bucket` vectors in a bucket where they have no
+    structure, and as many tables as let two vectors at the threshold share a bucket with the chance `recall`."""
+    bits = max(1, min(most_bits, (max(n, 1) // bucket).bit_length()))
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    while bits > 1 and same**bits < 0.01:  # more than some hundred tables cost more than fuller buckets
+        bits -= 1
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same**bits, 1 - 1e-9))))
+
+
+def corpus_pairs(vectors: DataFrame, threshold: float = 0.8, recall: float = 0.95, key: str = "doc_id", vector: str = "embedding", block: int = 1_000, bits: int | None = None, seed: int = 11) -> DataFrame:
+    """Q5. (a, b, similarity): the pairs a < b of a whole table whose cosine reaches the threshold, each with the chance
+    `recall` at the threshold and more above it. With bits=0 all pairs are compared, which is the exact way.
+
+    Vectors get a hash of the signs of random projections in each of several tables, and meet where they share a
+    bucket; the cosine of those that met is exact. A bucket of more than `block` vectors is dealt into blocks by hash,
+    and these meet two by two as units of their own, so no task holds a full bucket and no pair of it is lost. Ids meet
+    first, once a pair, then the vectors of these pairs. Rows without id and vectors that are null, zero, not finite or
+    shorter than the longest take no part; of several vectors of one id the least counts."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    good = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, bad)).groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("v"))
+    size = good.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
+    dim = size["dim"] or 0
+    unit = good.where(F.size("v") == dim).withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))).where("norm > 0")
+    unit = written(unit, "vectors")
+    each, tables = hash_tables(size["n"], threshold, recall) if bits is None else (bits, 1 if not bits else hash_tables(size["n"], threshold, recall, most_bits=bits)[1])
+    planes = np.random.default_rng(seed).standard_normal((tables * each, dim)).astype(np.float32)
+
+    def signs(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(len(batch), dim)
+            on = (x @ planes.T > 0).reshape(len(batch), tables, each)
+            keys = (on * (1 << np.arange(each, dtype=np.int64))).sum(axis=2) * tables + np.arange(tables)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "keys"])
+
+    kind = unit.schema["id"].dataType.simpleString()
+    rows = unit.select("id", "v").mapInArrow(signs, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("bucket")) if each else unit.select("id", F.lit(0).cast("long").alias("bucket"))
+    rows = written(rows, "signs")
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = rows.join(full, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda name, row, column: dealt.select("bucket", row.alias("row"), column.alias("column"), F.col("id").alias(name))
+    met = side("a", own, other).join(side("b", other, own), ["bucket", "row", "column"]).where("a < b").groupBy("a", "b").agg(F.lit(1).alias("met"))
+    end = lambda name: unit.select(F.col("id").alias(name), F.col("v").alias(f"v_{name}"), F.col("norm").alias(f"n_{name}"))
+    both = met.join(end("a"), "a").join(end("b"), "b")
+    return both.select("a", "b", (_dot(F.col("v_a"), F.col("v_b")) / (F.col("n_a") * F.col("n_b"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def corpus_links(pairs: DataFrame, summaries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Q6. pairs (a, b, similarity) with score and confidence by what their summaries (key, leads, keywords, domains, bodies:
+    arrays; year) share; see link_score. Missing summaries share nothing."""
+    kinds = ("leads", "keywords", "domains", "bodies")
+    end = lambda name: summaries.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{name}") for c in (*kinds, "year")))
+    both = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    shared = [zero(F.size(F.array_intersect(f"{c}_a", f"{c}_b"))) for c in kinds]
+    shared = [F.greatest(F.lit(0), n) for n in shared]  # the size of null is -1
+    scored = link_score(F.col("similarity"), *shared, zero(F.col("year_a") - F.col("year_b")))
+    return both.select("a", "b", "similarity", scored["score"].alias("score"), scored["confidence"].alias("confidence"))
+
+
 def shared_terms(pairs: DataFrame, summaries: DataFrame, columns: tuple[str, ...] = ("keywords", "policy_domains")) -> DataFrame:
     """Q5. pairs (query_id, doc_id) with the terms that both summaries have."""
     left = summaries.select(F.col("doc_id").alias("query_id"), *(F.col(c).alias(f"_{c}") for c in columns))

@@ -149,3 +149,40 @@ def q03_rare_words(spark, d):
 def q03_phrase(spark, d):
     """The word "the" twice in a row."""
     return Q.search_phrase(spark, indexed(spark, d), ["the", "The"])
+
+
+def likened(spark, d) -> DataFrame:
+    """Each vector mixed with the one of the next lower number that seven divides: those of one seven are alike."""
+    v = S.load(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), "embedding")
+    base = v.select(F.col("doc_id").alias("_base"), F.col("embedding").alias("_e"))
+    both = v.join(base, (F.floor(F.col("doc_id") / 7) * 7) == F.col("_base"))
+    return both.select("doc_id", F.zip_with("embedding", "_e", lambda x, y: x * F.lit(0.4) + y).alias("embedding"))
+
+
+def similar_corpus(spark, d) -> DataFrame:
+    return Q.corpus_pairs(likened(spark, d), threshold=0.75, recall=0.99)
+
+
+@query()
+def q05_corpus_pairs(spark, d):
+    """All pairs of documents that are alike, found by sign hashes; tests hold it against all pairs."""
+    return similar_corpus(spark, d)
+
+
+@query()
+def q06_corpus_links(spark, d):
+    """The same pairs with their scores by what their documents share."""
+    docs = S.load(spark, d, "documents")
+    first = lambda n: F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\\s+"), lambda t: t != ""), 1, n)
+    summaries = docs.select("doc_id", F.array_compact(F.array("source")).alias("leads"), first(30).alias("keywords"), F.array_compact(F.array("lang")).alias("domains"), F.array().cast("array<string>").alias("bodies"), (F.col("n_chars") % 20).cast("int").alias("year"))
+    return Q.corpus_links(similar_corpus(spark, d), summaries)
+
+
+@query("""SELECT d.doc_id, CASE WHEN e.embedding IS NOT NULL AND d.doc_id % 3 <> 0 THEN floor(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) * 10000 + 0.5) END AS total FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def q07_stored_vectors(spark, d):
+    """Documents with the vectors of the right size; every third vector lacks a component."""
+    cut = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    vectors = S.load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), cut.alias("embedding"))
+    stored = Q.store_embeddings(S.load(spark, d, "documents").select("doc_id"), vectors, 64)[0]
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return stored.select("doc_id", F.floor(total * 10000 + 0.5).cast("double").alias("total"))

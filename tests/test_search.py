@@ -4,12 +4,15 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from casegraph.operators import search as Q
+from casegraph.plans import parts
 from casegraph.sources import tables as S
 from casegraph.sources.scratch import new_path
 
+DATA = "/root/testdata/sf0.001"
 ROWS = [(1, "Vägar i Kalmar", "SOU 2024:1", "kalmar har vägar. Kalmar har broar"), (2, "Broar", "SOU 2024:2", "vägar i norr"), (3, None, None, None), (4, "", "Dir. 2024:3", "har vägar har vägar har vägar"), (5, "Kalmar", None, "x" * 5000)]
 TITLE, NUMBER, BODY = 1.0, 0.4, 0.2
 
@@ -63,3 +66,59 @@ def test_texts_of_files(spark, tmp_path):
     (tmp_path / "empty.txt").write_text("")
     got = {r["doc_id"]: r["text"] for r in S.read_texts(spark, str(tmp_path)).collect()}
     assert got.pop("empty", "") == "" and got == {"a1": "first\nline two\n", "b.c.pdf": "Å", "plain": "no ending"}
+
+
+def vectors(spark, n=400, dim=16, seed=2):
+    r = np.random.default_rng(seed)
+    middle = r.standard_normal((n // 5, dim))
+    x = middle[np.arange(n) % (n // 5)] + 0.45 * r.standard_normal((n, dim))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(1000 + i, [1.0] * dim) for i in range(30)] + [(5, [9.0] * dim), (None, [1.0] * dim), (2000, None), (2001, [0.0] * dim), (2002, [1.0]), (2003, [float("nan")] * dim), (2004, [None] * dim)]
+    return rows, spark.createDataFrame([(i, v, "a", 1.0) for i, v in rows], "doc_id long, embedding array<double>, a string, similarity double")
+
+
+def alike(rows, threshold, dim=16):
+    least = {}
+    for i, v in rows:
+        if i is not None and v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v):
+            least[i] = min(least.get(i, v), v)
+    ids = sorted(i for i, v in least.items() if any(v))
+    x = np.array([least[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = x @ x.T
+    return {(ids[i], ids[j]): cos[i, j] for i in range(len(ids)) for j in range(i + 1, len(ids)) if cos[i, j] >= threshold}
+
+
+def test_corpus_pairs_against_all_pairs(spark):
+    rows, df = vectors(spark)
+    expected = alike(rows, 0.8)
+    found = {(r["a"], r["b"]): r["similarity"] for r in Q.corpus_pairs(df, 0.8, 0.95, block=10).collect()}
+    assert found.keys() <= expected.keys() and len(found) >= 0.9 * len(expected) and len(expected) > 500
+    assert all(math.isclose(v, expected[k], rel_tol=1e-9) for k, v in found.items())
+    exact = Q.corpus_pairs(df, 0.8, bits=0, block=50)
+    assert {(r["a"], r["b"]) for r in exact.collect()} == expected.keys()
+    assert Q.corpus_pairs(df.where("false")).count() == 0
+
+
+def test_recall_on_the_tables(spark):
+    pairs = parts.likened(spark, DATA).collect()
+    expected = alike([(r["doc_id"], [float(x) for x in r["embedding"]]) for r in pairs], 0.75, 64)
+    found = {(r["a"], r["b"]) for r in parts.q05_corpus_pairs(spark, DATA).collect()}
+    assert found <= expected.keys() and len(found) >= 0.9 * len(expected) and len(expected) > 50
+    links = parts.q06_corpus_links(spark, DATA).collect()
+    assert {(r["a"], r["b"]) for r in links} == found and all(0 <= r["score"] <= 1 for r in links)
+
+
+def test_links_of_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (2, 9, 0.5)], "a long, b long, similarity double")
+    summaries = spark.createDataFrame([(1, ["x"], ["k", "l"], ["d"], ["b"], 2020), (2, ["x"], ["k"], ["d"], [], 2010), (3, None, None, None, None, None)], "doc_id long, leads array<string>, keywords array<string>, domains array<string>, bodies array<string>, year int")
+    got = {(r["a"], r["b"]): (round(r["score"], 4), r["confidence"]) for r in Q.corpus_links(pairs, summaries).collect()}
+    assert got == {(1, 2): (round(0.45 + 0.15 + 0.02 + 0.05 - 0.1, 4), "low"), (1, 3): (0.45, "low"), (2, 9): (0.25, "low")}
+
+
+def test_tables_grow_with_bits():
+    assert Q.hash_tables(10, 0.9, 0.9)[0] == 1
+    for n in (10**3, 10**6, 10**9):
+        bits, tables = Q.hash_tables(n, 0.9, 0.9)
+        same = 1 - math.acos(0.9) / math.pi
+        assert 1 - (1 - same**bits) ** tables >= 0.9 and same**bits >= 0.01
