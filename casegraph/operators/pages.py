@@ -259,9 +259,9 @@ def parse_numbered_list(texts: DataFrame, key: str = "id", text: str = "text", m
 
 
 def key_sections(docs: DataFrame, key: str = "doc_id", text: str = "raw_content", most: int = 80_000) -> DataFrame:
-    """T20. (key, text, strategy): the part of a document to summarise. Short ones whole; directives, laws and committee
+    """T20. (key, text, strategy): the part of a document to summarise. Short ones whole (null is empty); directives, laws and committee
     reports cut; of others the longest summary section in the first 80 per cent with the table of contents, else the start."""
-    base = docs.select(key, "doc_type", F.col(text).alias("_t"))
+    base = docs.select(key, "doc_type", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     long = (F.length("_t") > most) & ~F.col("doc_type").isin("directive", "dir", "law", "committee_report", "bet")
     # each summary heading with what follows up to the next end mark, found by splitting the text behind headings
     mark = r"(?m)^(?:Författningsförslag|Förslag till riksdagsbeslut|Summary|1\s+[A-ZÅÄÖ])"

@@ -128,7 +128,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 def similar_documents(vectors: DataFrame, ids: list, k: int = 10, threshold: float = 0.0, key: str = "doc_id", vector: str = "embedding", most: int = 1_000) -> DataFrame:
     """Q5. For each of the given documents the k others of greatest cosine, from threshold on; ties to the smaller id.
-    Only the asked documents' vectors are broadcast, at most `most` of them (more ids raise an error); each task keeps k a
+    Only the asked documents' vectors are broadcast, at most `most` of them (more ids raise an error: a whole corpus goes through corpus_pairs); each task keeps k a
     query before the exchange."""
     if len(ids) > most:
         raise ValueError(f"more than {most} documents asked at once")

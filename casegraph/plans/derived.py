@@ -221,10 +221,9 @@ def t09_swedish_date(spark, d):
     return dated(rows.select("id", "f.date", "f.precision"), "date")
 
 
-@query("SELECT doc_id, substr('passage: ' || text || ' ' || lang || ' ' || source || ', x', 1, 1800) AS input FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, substr('passage: ' || concat_ws(' ', text, lang, concat_ws(', ', source, 'x')), 1, 1800) AS input FROM documents")
 def t22_embedding_input(spark, d):
-    docs = S.load(spark, d, "documents").where("text is not null and lang is not null and source is not null")
-    return docs.select("doc_id", X.embedding_input(F.col("text"), F.col("lang"), F.array("source", F.lit("x"))).alias("input"))
+    return S.load(spark, d, "documents").select("doc_id", X.embedding_input(F.col("text"), F.col("lang"), F.array("source", F.lit("x"))).alias("input"))
 
 
 _TYPES = ["prop", "directive", "sou", "law"]
@@ -337,12 +336,12 @@ def t18_detect_document(spark, d):
     return out.withColumn("published", F.col("published.date").cast("string"))
 
 
-@query("""WITH t AS (SELECT doc_id, text || repeat(' x', 40001) AS s FROM documents WHERE text IS NOT NULL)
-  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'full_text_truncated' WHEN doc_id % 3 = 1 THEN 'first_80k' ELSE 'sammanfattning_with_toc' END AS strategy,
-  sha1(CASE WHEN doc_id % 3 = 2 THEN '[SAMMANFATTNING]' || chr(10) || trim(repeat('Lång sammanfattning. ', 60)) ELSE substr(s, 1, 80000) END) AS part FROM t""")
+@query("""WITH t AS (SELECT doc_id, text || repeat(' x', 40001) AS s FROM documents)
+  SELECT doc_id, CASE WHEN s IS NULL THEN 'full_text' WHEN doc_id % 3 = 0 THEN 'full_text_truncated' WHEN doc_id % 3 = 1 THEN 'first_80k' ELSE 'sammanfattning_with_toc' END AS strategy,
+  sha1(CASE WHEN s IS NULL THEN '' WHEN doc_id % 3 = 2 THEN '[SAMMANFATTNING]' || chr(10) || trim(repeat('Lång sammanfattning. ', 60)) ELSE substr(s, 1, 80000) END) AS part FROM t""")
 def t20_key_sections(spark, d):
     """Long texts: laws, committee reports, and reports with a summary before the text."""
-    docs, n = S.load(spark, d, "documents").where("text is not null"), F.col("doc_id")
+    docs, n = S.load(spark, d, "documents"), F.col("doc_id")
     long = F.concat("text", F.repeat(F.lit(" x"), F.lit(40_001)))
     report = F.concat(F.lit("Sammanfattning\n" + "Lång sammanfattning. " * 60 + "\nSummary\n"), F.regexp_replace(long, "(?i)(sammanfattning|innehåll)", "y"))
     rows = docs.select("doc_id", one_of(n, ["law", "bet", "sou"]).alias("doc_type"), F.when(n % 3 == 2, report).otherwise(long).alias("raw_content"))
