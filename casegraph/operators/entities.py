@@ -272,7 +272,7 @@ def link_responses(rows: DataFrame, entities: DataFrame, name: str = "responding
 def create_unmatched(linked: DataFrame, entities: DataFrame, name: str = "responding_organization", held: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """E9. (rows, entities) with an entity for each normal name of an unmatched row, of which the least spelling counts. The
     rows link to it and keep their confidence, unmatched, which says how they came by it."""
-    clean = normalize_org(F.col(name))
+    linked, clean = checkpointed(linked), normalize_org(F.col(name))
     open_ = F.col("entity_id").isNull() & (F.col("match_confidence") == "unmatched") & (clean != "")
     if held is not None:
         open_ = open_ & ~F.coalesce(held, F.lit(False))
