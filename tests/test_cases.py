@@ -139,7 +139,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
     whole = {(r["window"]["start"], r["event_type"]): r["count"] for r in batch.collect()}
     assert closed and appended.count() == len(closed) and all(whole[k] == n for k, n in closed.items())
     renamed = stream.withColumnRenamed("user_id", "case_id")
-    spans = run(R.stream_velocity(renamed, "signup", "purchase"), "spans", "complete").where("days > 0")
+    spans = run(R.stream_velocity(renamed, "signup", "purchase"), "spans", "update").where("days > 0 and not closed")
     direct = M.velocity(events.select(F.col("user_id").alias("case_id"), "event_type", F.to_date("ts").alias("event_date")), "signup", "purchase")
     assert spans.select("case_id", "days").exceptAll(direct.select("case_id", "days")).count() == 0 and spans.count() == direct.count()
     once = run(R.dedup_events(renamed.withColumn("event_date", F.to_date("ts"))), "once", "append")
