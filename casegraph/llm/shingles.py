@@ -18,7 +18,7 @@ _PLACES: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
-    if len(_POWERS.get("up", ())) < n:
+    if not _POWERS or len(_POWERS["up"]) < n:
         n = max(n, 1 << 18)
         inverse = pow(_BASE, -1, 2**64)
         for name, base in (("up", _BASE), ("down", inverse)):
