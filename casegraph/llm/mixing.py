@@ -39,18 +39,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 2_000) -> DataFrame:
-    """What a mix takes of every document: doc_id, source, key, size, source_size, target, taken, epochs, rest.
-
-    Each document gets a hash-random key of (seed, doc_id, text); within a source the documents stand in key order, and
-    prefix sums of their words say where the budget is cut. The key's range is divided into buckets of about
-    bucket_rows documents: sums per (source, bucket) give each bucket's start, a window inside a bucket the rest, so a
-    source that holds a third of all rows is spread over many tasks. A source gives floor(target) words: whole passes
-    over it (epochs) and, of a further pass, the first words in key order; the document at the cut gives its first
-    `rest` words. So taken = epochs * size + rest, and no document gives more than `most` times its size (rounded up
-    to a whole number). Null or empty text has size 0 and gives nothing. Rows with equal doc_id and text share a key
-    and stand next to each other by size. The same input gives the same mix, whatever its partitions.
-    """
+def _groups(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int, bucket_rows: int) -> DataFrame:
+    """Rows that are equal in doc_id, text and source as one row with their number n, and what the mix takes of them:
+    epochs times all of them, `whole` of them once more, and the first `part` words of a further one."""
     key = F.xxhash64(F.lit(seed), *(F.col(c) for c in ("doc_id", "text")))
     sized = written(docs.select("doc_id", "source", n_words("text").alias("size"), key.alias("key")), "mix")
     rows = sized.count()
@@ -64,35 +55,63 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     same = lambda a, b, *cs: [a[c].eqNullSafe(b[c]) for c in cs]
     plan = starts.join(targets, same(starts, targets, "source")).select(starts["source"].alias("of"), F.col("bucket").alias("at"), "bucket_start", "source_size", "target")
+    equal = sized.groupBy("source", "bucket", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = equal.withColumn("inside", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)))
     placed = placed.join(plan, placed["source"].eqNullSafe(plan["of"]) & (placed["bucket"] == plan["at"])).drop("of", "at")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("epochs") * F.col("source_size") - F.col("bucket_start") - F.col("inside")))
-    placed = placed.withColumn("epochs", epochs).withColumn("rest", rest.cast("long"))
-    return placed.select("doc_id", "source", "key", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), "epochs", "rest")
+    room = F.greatest(F.lit(0), F.least(F.col("n") * F.col("size"), budget - F.col("epochs") * F.col("source_size") - F.col("bucket_start") - F.col("inside"))).cast("long")
+    placed = placed.withColumn("epochs", epochs).withColumn("room", room)
+    placed = placed.withColumn("part", F.when(F.col("size") > 0, F.pmod("room", "size")).otherwise(F.lit(0)))
+    placed = placed.withColumn("whole", F.when(F.col("size") > 0, F.expr("room div size")).otherwise(F.lit(0)))
+    return placed.select("doc_id", "source", "key", "size", "n", "source_size", F.col("target").cast("double").alias("target"), "epochs", "whole", "part")
 
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 2_000) -> DataFrame:
+    """What a mix takes of every document: doc_id, source, key, size, source_size, target, taken, epochs, rest.
+
+    Each document gets a hash-random key of (seed, doc_id, text); within a source the documents stand in key order, and
+    prefix sums of their words say where the budget is cut. The key's range is divided into buckets of about
+    bucket_rows documents: sums per (source, bucket) give each bucket's start, a window inside a bucket the rest, so a
+    source that holds a third of all rows is spread over many tasks. A source gives floor(target) words: whole passes
+    over it (epochs) and, of a further pass, the first words in key order; the document at the cut gives its first
+    `rest` words. So taken = epochs * size + rest, and no document gives more than `most` times its size (rounded up
+    to a whole number). Null or empty text has size 0 and gives nothing. Rows with equal doc_id, text and source are
+    counted before they are exchanged, however many there are, and become rows again at the end, a thousand at a time.
+    The same input gives the same mix, whatever its partitions.
+    """
+    groups = _groups(docs, weights, share, most, seed, bucket_rows)
+    last = F.when(F.col("part") > 0, 1).otherwise(0).cast("long")
+    kinds = ((F.col("size"), F.col("whole")), (F.col("part"), last), (F.lit(0), F.col("n") - F.col("whole") - last))
+    rests = F.filter(F.array(*(F.struct(rest.cast("long").alias("rest"), rows.cast("long").alias("rows")) for rest, rows in kinds)), lambda x: x["rows"] > 0)
+    each = groups.withColumn("of", F.explode(rests)).select("*", "of.rest", "of.rows")
+    each = each.withColumn("thousand", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / 1000))))
+    each = each.withColumn("row", F.explode(F.array_repeat(F.lit(True), F.least(F.lit(1000), F.col("rows") - F.col("thousand") * 1000).cast("int"))))
+    return each.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), "epochs", "rest")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 2_000) -> DataFrame:
     """The mix itself, with the columns of docs: each document epochs times, and once more with its first `rest` words.
 
-    A document of which nothing is taken is not in the mix. Rows that are equal in doc_id, source and text are numbered,
-    and of what the mix takes of them the first ones give whole texts, the next one the words at the cut: so the mix holds the
-    words that mix_sources counts, repeated rows too. Columns of docs may have any names. Empty docs give an empty mix.
+    A document of which nothing is taken is not in the mix. Rows that are equal in doc_id, source and text share their
+    fate but for those at a source's cut, at most one group of each source: these are numbered, the first ones give whole
+    texts, the next one the words at the cut. So the mix holds the words that mix_sources counts, repeated rows too. Only
+    such a group is sorted by one task, which spills; the join of texts and plan is left to adaptive execution, which
+    splits hot keys. Columns of docs may have any names. Empty docs give an empty mix.
     """
-    seed = parameters.get("seed", 17)
-    counts = mix_sources(docs, **parameters).where("size > 0").groupBy("key", "doc_id", "source").agg(
-        F.first("size").alias("size"), F.first("epochs").alias("epochs"), F.count_if(F.col("rest") == F.col("size")).alias("whole"), F.coalesce(F.max(F.when(F.col("rest") < F.col("size"), F.col("rest"))), F.lit(0)).alias("part")
-    )
-    # equal rows meet by two hashes: one exchange of the texts serves their numbers and the join
+    groups = _groups(docs, weights, share, most, seed, bucket_rows)
+    taken = groups.where("size > 0 and (epochs > 0 or whole > 0 or part > 0)")
+    # texts meet the plan by two hashes
     same = lambda doc, source: F.xxhash64("key", doc.isNull(), doc, source.isNull(), source)
-    plan = counts.where("epochs > 0 or whole > 0 or part > 0").select("key", same(F.col("doc_id"), F.col("source")).alias("same"), "size", "epochs", "whole", "part")
+    cut = (F.col("n") > 1) & (F.col("whole") < F.col("n")) & (F.col("left_over") > 0)
+    plan = taken.withColumn("left_over", F.col("whole") + F.col("part")).select("key", same(F.col("doc_id"), F.col("source")).alias("same"), "size", "epochs", "whole", "part", cut.alias("cut"))
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("key"), F.xxhash64(*(docs[c] for c in hashed)).alias("turn"))
-    rows = rows.withColumn("same", same(F.col("row.doc_id"), F.col("row.source"))).repartition("key", "same")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "same").orderBy("turn")))
-    both = rows.join(plan, ["key", "same"])
+    rows = rows.withColumn("same", same(F.col("row.doc_id"), F.col("row.source")))
+    one = rows.join(plan.where(~F.col("cut")), ["key", "same"]).withColumn("nth", F.lit(1))
+    several = rows.join(plan.where("cut"), ["key", "same"]).withColumn("nth", F.row_number().over(Window.partitionBy("key", "same").orderBy("turn")))
+    both = one.unionByName(several)
     # white space before the first word makes a part of its own
     text, rest = F.col("row.text"), F.when(F.col("nth") <= F.col("whole"), F.col("size")).when(F.col("nth") == F.col("whole") + 1, F.col("part")).otherwise(0)
     lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from casegraph.llm import minhash, packing, suffix, warc
+from casegraph.llm import minhash, mixing, packing, suffix, warc
 
 
 def pattern(n, flip):
@@ -108,3 +108,21 @@ def test_texts_of_one_id_are_dealt_out(spark):
         expected[d, len(t), int(gone.sum())] += 1
     assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix.repeat_report(docs).collect()) == expected
     assert texts.where("doc = 3").count() == 1 and suffix.numbered(texts.where("doc = 3"), 8).collect() == texts.where("doc = 3").collect()
+
+
+def test_equal_rows_are_counted_before_the_mix_orders_them(spark):
+    """A third of all rows are equal, with a null id: one row in a bucket's window; the mix holds what it counts."""
+    rows = [(None, "one two three four five six seven", "b")] * 2500 + [(i, f"w{i} x y z", "abc"[i % 3]) for i in range(5000)] + [(7, None, None), (7, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    groups = mixing._groups(docs, (5, 2, 1), 1.5, 2.0, 17, 500)
+    assert groups.where("doc_id is null").select("n", "size").collect() == [(2500, 7)] and groups.agg(F.sum("n")).first()[0] == len(rows)
+    for weights, share in (((5, 2, 1), 1.5), ((1, 1, 1), 0.4), ((1, 5, 1), 0.9)):
+        out = mixing.mix_sources(docs, weights=weights, share=share, bucket_rows=500)
+        got = Counter((r["doc_id"], r["source"], r["size"]) for r in out.collect())
+        assert got == Counter((d, s, len((t or "").split())) for d, t, s in rows)
+        per = {r["source"]: r for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count_if((F.col("rest") > 0) & (F.col("rest") < F.col("size"))).alias("cut")).collect()}
+        assert all(r["taken"] == int(r["target"]) and r["cut"] <= 1 for r in per.values())
+        mixed = mixing.mixed_documents(docs, weights=weights, share=share, bucket_rows=500)
+        expected = out.groupBy("doc_id", "source").agg(F.sum("taken").alias("words")).where("words > 0")
+        words = mixed.groupBy("doc_id", "source").agg(F.sum(mixing.n_words("text")).alias("words"))
+        assert Counter(map(tuple, words.collect())) == Counter(map(tuple, expected.collect()))
