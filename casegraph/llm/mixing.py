@@ -96,22 +96,27 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
     A document of which nothing is taken is not in the mix. Rows that are equal in doc_id, source and text share their
     fate but for those at a source's cut, at most one group of each source: these are numbered, the first ones give whole
-    texts, the next one the words at the cut. So the mix holds the words that mix_sources counts, repeated rows too. Only
-    such a group is sorted by one task, which spills; the join of texts and plan is left to adaptive execution, which
-    splits hot keys. Columns of docs may have any names. Empty docs give an empty mix.
+    texts, the next one the words at the cut. So the mix holds the words that mix_sources counts, repeated rows too. Such
+    groups' hashes are broadcast, up to 10,000 of them, and only their rows are sorted, a group in one task, which
+    spills; the join of all other texts with the plan is left to adaptive execution, which splits hot keys. Columns of
+    docs may have any names. Empty docs give an empty mix.
     """
     groups = _groups(docs, weights, share, most, seed, bucket_rows)
     taken = groups.where("size > 0 and (epochs > 0 or whole > 0 or part > 0)")
     # texts meet the plan by two hashes
     same = lambda doc, source: F.xxhash64("key", doc.isNull(), doc, source.isNull(), source)
     cut = (F.col("n") > 1) & (F.col("whole") < F.col("n")) & (F.col("left_over") > 0)
-    plan = taken.withColumn("left_over", F.col("whole") + F.col("part")).select("key", same(F.col("doc_id"), F.col("source")).alias("same"), "size", "epochs", "whole", "part", cut.alias("cut"))
+    plan = written(taken.withColumn("left_over", F.col("whole") + F.col("part")).select("key", same(F.col("doc_id"), F.col("source")).alias("same"), "size", "epochs", "whole", "part", cut.alias("cut")), "plan")
+    cuts = plan.where("cut")
+    n_cuts = cuts.count()
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("key"), F.xxhash64(*(docs[c] for c in hashed)).alias("turn"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("key"))
     rows = rows.withColumn("same", same(F.col("row.doc_id"), F.col("row.source")))
-    one = rows.join(plan.where(~F.col("cut")), ["key", "same"]).withColumn("nth", F.lit(1))
-    several = rows.join(plan.where("cut"), ["key", "same"]).withColumn("nth", F.row_number().over(Window.partitionBy("key", "same").orderBy("turn")))
-    both = one.unionByName(several)
+    both = rows.join(plan.where(~F.col("cut")), ["key", "same"]).withColumn("nth", F.lit(1))
+    if n_cuts:
+        turn = F.xxhash64(*(F.col("row").getField(c) for c in hashed))
+        several = rows.join(F.broadcast(cuts) if n_cuts <= 10_000 else cuts, ["key", "same"])
+        both = both.unionByName(several.withColumn("nth", F.row_number().over(Window.partitionBy("key", "same").orderBy(turn))))
     # white space before the first word makes a part of its own
     text, rest = F.col("row.text"), F.when(F.col("nth") <= F.col("whole"), F.col("size")).when(F.col("nth") == F.col("whole") + 1, F.col("part")).otherwise(0)
     lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
