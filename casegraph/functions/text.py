@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +15,11 @@ from . import rules
 from .rules import FLAGS
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(c), for which c is computed once a row, however often `of` names it."""
+    return F.element_at(F.transform(F.array(c), of), 1)
+
+
 def _normal_form(form: str):
     @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:
@@ -70,7 +76,10 @@ def session_code(year: Column) -> Column:
 
 def document_number(c: Column) -> Column:
     """T7. struct(number, evidence) of the first kind of number that a text has; nulls without one."""
-    text = decode_entities(F.coalesce(c, F.lit("")))
+    return once(decode_entities(F.coalesce(c, F.lit(""))), _document_number)
+
+
+def _document_number(text: Column) -> Column:
     part = lambda kind, i: F.regexp_extract(text, "(?i)" + rules.NUMBERS[kind], i)
     has = lambda kind: text.rlike("(?i)" + rules.NUMBERS[kind])
     glue = lambda kind, form: F.when(has(kind), F.struct(F.format_string(form, *(part(kind, i + 1) for i in range(form.count("%s")))).alias("number"), F.lit(kind).alias("evidence")))
@@ -87,7 +96,10 @@ def normal_number(c: Column) -> Column:
 
 def swedish_date(c: Column) -> Column:
     """T9. struct(date, precision): ISO dates, "7 april 2025", "den 7 april 2025" (day), "i april 2025" (month, the 1st)."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+    return once(F.lower(F.coalesce(c, F.lit(""))), _swedish_date)
+
+
+def _swedish_date(low: Column) -> Column:
     months = "|".join(rules.MONTHS)
     number = lambda name: F.array_position(F.array(*map(F.lit, rules.MONTHS)), name).cast("int")
     iso = F.try_to_timestamp(F.nullif(F.regexp_extract(low, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")

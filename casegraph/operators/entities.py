@@ -34,7 +34,8 @@ def normalize_org(c: Column) -> Column:
     name = F.trim(cut(name, r"\s*bilaga\s*(?:till\s+remissvar)?\s*$", r"\s*bilaga\s+\d+\s*$", r"\s*svar\s*$", r"\s+AB$"))
     name = F.trim(F.regexp_replace(name, r"\s*\([A-ZÄÖÅ]{2,6}\)\s*$", ""))
     kept = "|".join(e[:-1] for e in rules.KEEP_FINAL_S)
-    name = F.regexp_replace(name, rf"{FLAGS}^(.{{6,}})(?<!{kept})(?-i:s)$", "$1")
+    # the s is asked for first: the list of endings is dear and is tried at one place a name only
+    name = F.regexp_replace(name, rf"{FLAGS}^(.{{6,}})(?=(?-i:s)$)(?<!{kept})(?-i:s)$", "$1")
     name = F.regexp_replace(name, FLAGS + r"\bAP[\s–]+fonden\b", "AP-fonden")
     name = F.regexp_replace(name, FLAGS + r"\b(Patent|Post|Havs|Tandvårds|Klimat|Arbets|Miljö)\s+och\s+", "$1- och ")
     return F.when(has_contact(raw) | name.rlike(FLAGS + rules.DOCUMENT_TITLE), "").otherwise(name)
@@ -131,14 +132,24 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def stem_candidates(names: DataFrame, entities: DataFrame, least: int = 6) -> DataFrame:
-    """E5. An entity's name without its ending holds the name without Svensk(a) or Sveriges, of `least` characters or
-    more (step 7). Names meet entities on the name's first six characters as a gram of the stem, so only holders can meet."""
+def _stem_meetings(names: DataFrame, entities: DataFrame, least: int) -> DataFrame:
+    """Names and the entities whose stem may hold them. A stem that holds a name has all of the name's grams of `least`
+    characters, so they meet on the one of these that the fewest stems have; a name with a gram of no stem meets none."""
     stem = reduce(lambda c, e: F.trim(F.regexp_replace(c, e + "$", "")), rules.ORG_ENDINGS, F.lower("entity_name"))
     part = F.regexp_replace(F.regexp_replace(F.lower("name"), r"^svenska?\s+", ""), r"^sveriges\s+", "")
-    left = names.withColumn("part", part).where(F.length("part") >= least).withColumn("gram", F.substring("part", 1, least))
+    parts = names.select("name", part.alias("part")).where(F.length("part") >= least)
     right = entities.withColumn("stem", stem).withColumn("gram", F.explode(_grams(F.col("stem"), least)))
-    return _candidates(left.join(right, "gram").where(F.contains("stem", "part")), 7, 0.95, "stem")
+    held = right.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = parts.select("part").distinct().select("part", F.explode(_grams(F.col("part"), least)).alias("gram"))
+    rarest = grams.join(held, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    left = parts.join(rarest.where("r.n > 0").select("part", "r.gram"), "part")
+    return left.join(right, "gram")
+
+
+def stem_candidates(names: DataFrame, entities: DataFrame, least: int = 6) -> DataFrame:
+    """E5. An entity's name without its ending holds the name without Svensk(a) or Sveriges, of `least` characters or
+    more (step 7)."""
+    return _candidates(_stem_meetings(names, entities, least).where(F.contains("stem", "part")), 7, 0.95, "stem")
 
 
 def match_stem(names: DataFrame, entities: DataFrame) -> DataFrame:
@@ -247,6 +258,17 @@ def _asked(mode: str, force: bool) -> Column:
     return band if force else band & F.col("entity_id").isNull()
 
 
+def normal_names(rows: DataFrame, name: str) -> DataFrame:
+    """(name column, _clean): the distinct names of a column with their normal forms, those that have one. The form is dear,
+    so it is made once a name and not once a row, and is kept."""
+    return checkpointed(rows.where(F.col(name).isNotNull()).select(name).distinct().select(name, normalize_org(F.col(name)).alias("_clean"))).where("_clean <> ''")
+
+
+def with_normal_names(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """E1. rows with the normal form of their name as `out`, made once a distinct name."""
+    return rows.join(normal_names(rows, name), name, "left").withColumn(out, F.coalesce("_clean", F.lit(""))).drop("_clean")
+
+
 def link_responses(rows: DataFrame, entities: DataFrame, name: str = "responding_organization", mode: str = "unlinked", min_confidence: str = "high", force: bool = False, held: Column | None = None) -> DataFrame:
     """E9, E10. rows (id, name column, entity_id, match_confidence) with links, and matched_name and score of the match.
 
@@ -258,26 +280,29 @@ def link_responses(rows: DataFrame, entities: DataFrame, name: str = "responding
     asked = _asked(mode, force) if held is None else _asked(mode, force) & ~F.coalesce(held, F.lit(False))
     earlier = {"matched_name": "string", "score": "double"}
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in earlier.items() if c not in rows.columns})
-    rows = rows.withColumn("_name", F.when(asked, F.nullif(F.lower(normalize_org(F.col(name))), F.lit(""))))
-    found = resolve(rows.where("_name is not null").select(F.col("_name").alias("name")), entities)
-    hit = found.select(F.col("name").alias("_name"), F.col("entity_id").alias("_entity"), F.col("matched_name").alias("_matched"), F.col("confidence").alias("_confidence"), F.col("score").alias("_score"))
-    joined = rows.join(hit, "_name", "left")
+    rows = rows.withColumn("_raw", F.when(asked, F.col(name)))
+    names = normal_names(rows.select("_raw"), "_raw").withColumn("name", F.lower("_clean"))
+    found = resolve(names.select("name"), entities)
+    hit = names.join(found, "name").select("_raw", F.col("entity_id").alias("_entity"), F.col("matched_name").alias("_matched"), F.col("confidence").alias("_confidence"), F.col("score").alias("_score"))
+    joined = rows.join(hit, "_raw", "left")
     looked = F.col("_confidence").isNotNull()
     good = (_rank(F.col("_confidence")) >= _rank(F.lit(min_confidence))) & F.col("_entity").isNotNull()
     new = {"entity_id": F.when(good, F.col("_entity")), "match_confidence": F.col("_confidence"), "matched_name": F.col("_matched"), "score": F.col("_score")}
     out = joined.withColumns({c: F.when(looked, x).otherwise(F.col(c)) for c, x in new.items()})
-    return out.drop("_name", "_entity", "_confidence", "_matched", "_score")
+    return out.drop("_raw", "_entity", "_confidence", "_matched", "_score")
 
 
 def create_unmatched(linked: DataFrame, entities: DataFrame, name: str = "responding_organization", held: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """E9. (rows, entities) with an entity for each normal name of an unmatched row, of which the least spelling counts. The
     rows link to it and keep their confidence, unmatched, which says how they came by it."""
-    linked, clean = checkpointed(linked), normalize_org(F.col(name))
-    open_ = F.col("entity_id").isNull() & (F.col("match_confidence") == "unmatched") & (clean != "")
+    linked = checkpointed(linked)
+    open_ = F.col("entity_id").isNull() & (F.col("match_confidence") == "unmatched")
     if held is not None:
         open_ = open_ & ~F.coalesce(held, F.lit(False))
-    rows = linked.withColumn("_k", F.when(open_, F.lower(clean)))
-    names = rows.where("_k is not null").select(F.col("_k").alias("k"), clean.alias("entity_name")).groupBy("k").agg(F.min("entity_name").alias("entity_name"))
+    rows = linked.withColumn("_raw", F.when(open_, F.col(name)))
+    forms = normal_names(rows.select("_raw"), "_raw").withColumn("_k", F.lower("_clean"))
+    rows = rows.join(forms.select("_raw", "_k"), "_raw", "left").drop("_raw")
+    names = forms.groupBy(F.col("_k").alias("k")).agg(F.min("_clean").alias("entity_name"))
     old = entities.groupBy(F.lower("entity_name").alias("k")).agg(F.min("entity_id").alias("_created"))
     new = checkpointed(_new_ids(names.join(old, "k", "left_anti"), entities))
     ids = old.unionByName(new.select(F.lower("entity_name").alias("k"), F.col("entity_id").alias("_created"))).withColumnRenamed("k", "_k")
@@ -324,15 +349,16 @@ def relink(rows: DataFrame, entities: DataFrame, log: DataFrame, name: str = "re
 
 def link_report(linked: DataFrame, name: str = "responding_organization", top: int = 20) -> tuple[DataFrame, DataFrame]:
     """E9. (rows by confidence, the normal names most often unmatched)."""
-    unmatched = linked.where("match_confidence = 'unmatched'").groupBy(normalize_org(F.col(name)).alias(name)).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), name).limit(top)
+    raw = linked.where("match_confidence = 'unmatched'").groupBy(name).agg(F.count("*").alias("n"))  # a name's form is made once
+    unmatched = raw.groupBy(normalize_org(F.col(name)).alias(name)).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), name).limit(top)
     return linked.groupBy("match_confidence").agg(F.count("*").alias("n")), unmatched
 
 
 def bootstrap_entities(names: DataFrame, entities: DataFrame, name_rules: DataFrame, min_occurrences: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """E11. (new entities with count and first spelling, counts by reason) of raw names (name, seen_at): checked, normal,
     short ones by the rule table (name_lower, rule_type), grouped without case, those that exist left out."""
-    clean = normalize_org(F.col("name"))
-    rows = names.withColumn("clean", clean).withColumn("name_lower", F.lower("clean"))
+    spelled = names.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("seen_at")).alias("seen_at"))  # what is said of a name is said once
+    rows = checkpointed(spelled.withColumn("clean", normalize_org(F.col("name")))).withColumn("name_lower", F.lower("clean"))
     rows = rows.join(name_rules.select("name_lower", "rule_type"), "name_lower", "left")
     size = F.length("clean")
     reason = (
@@ -340,11 +366,11 @@ def bootstrap_entities(names: DataFrame, entities: DataFrame, name_rules: DataFr
         .when(F.col("clean") == "", "not_a_name").when(F.col("rule_type") == "block", "blocked").when((size <= 4) & F.coalesce(F.col("rule_type") != "allow", F.lit(True)) & (F.col("clean") != F.upper("clean")), "short_mixed_case")
     )
     rows = rows.withColumn("reason", F.coalesce(reason, F.lit("ok")))
-    good = rows.where("reason = 'ok'").groupBy("name_lower").agg(F.count("*").alias("occurrences"), F.min_by("clean", F.struct("seen_at", "clean")).alias("entity_name"))
+    good = rows.where("reason = 'ok'").groupBy("name_lower").agg(F.sum("n").alias("occurrences"), F.min_by("clean", F.struct("seen_at", "clean")).alias("entity_name"))
     fresh = good.where(F.col("occurrences") >= min_occurrences).join(entities.select(F.lower("entity_name").alias("name_lower")), "name_lower", "left_anti")
     if limit is not None:
         fresh = fresh.orderBy(F.col("occurrences").desc(), "name_lower").limit(limit)
-    return fresh, rows.groupBy("reason").agg(F.count("*").alias("n"))
+    return fresh, rows.groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 def merge_duplicates(entities: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -264,3 +264,37 @@ def test_cases_of_many_actors_meet_in_blocks(spark, block):
         actors = spark.createDataFrame([(a, f"n{a}") for a in range(20)], "actor_id long, name string")
         tied = lambda df: [(x["actor_id"], x["strength"], x["shared_count"], x["name"]) for x in df.orderBy(F.col("strength").desc(), "actor_id").collect()]
         assert tied(N.actor_neighbors(pick(0), pick(1), actors, 4, 6)) == tied(N.neighbors(pairs, actors, 4, 6))
+
+
+def test_names_meet_stems_on_a_rare_part(spark):
+    names = spark.createDataFrame([(f"Svenska kund{i:06d}",) for i in range(300)] + [("Sveriges kundverket",)], "name string")
+    entities = spark.createDataFrame([(i, f"Kund{i:06d}föreningen") for i in range(300)], "entity_id long, entity_name string")
+    got = {r["name"]: r["entity_id"] for r in E.match_stem(names, entities).collect()}
+    assert got == {f"Svenska kund{i:06d}": i for i in range(300)}
+    assert E._stem_meetings(names, entities, 6).count() <= 600  # they all begin alike: 90,000 pairs
+
+
+def test_a_name_is_made_normal_once(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), E.normalize_org
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(E, "normalize_org", lambda c: counted(plain(c)))
+    rows = spark.range(400).select("id", F.concat(F.lit("Yttrande från Verket "), (F.col("id") % 2).cast("string")).alias("responding_organization"), F.lit(None).cast("long").alias("entity_id"), F.lit(None).cast("string").alias("match_confidence"))
+    known = spark.createDataFrame([(7, "Verket 0")], "entity_id long, entity_name string")
+    linked = E.link_responses(rows, known)
+    assert {(r["entity_id"], r["n"]) for r in linked.groupBy("entity_id").agg(F.count("*").alias("n")).collect()} == {(7, 200), (None, 200)}
+    assert seen.value <= 40
+    assert E.with_normal_names(rows, "responding_organization", "name").where("name = 'Verket 1'").count() == 200
+    fresh = E.bootstrap_entities(rows.select(F.col("responding_organization").alias("name"), F.col("id").alias("seen_at")), known, spark.createDataFrame([], "name_lower string, rule_type string"))[0]
+    assert [(r["name_lower"], r["occurrences"]) for r in fresh.collect()] == [("verket 1", 200)]
+    assert seen.value <= 120
+
+
+def test_final_s_goes_but_for_kept_endings(spark):
+    names = [("Kalmars", "Kalmars"), ("Borås", "Borås"), ("Stiftelsen Ukrainas", "Stiftelsen Ukrainas"), ("Stiftelsen KALMARS", "Stiftelsen KALMARS"), ("Ässas", "Ässas"), ("Försvarets", "Försvaret")]
+    got = {r["a"]: r["b"] for r in spark.createDataFrame(names, "a string, w string").select("a", E.normalize_org(F.col("a")).alias("b")).collect()}
+    assert got == dict(names)
