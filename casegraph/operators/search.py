@@ -140,9 +140,10 @@ def similar_documents(vectors: DataFrame, ids: list, k: int = 10, threshold: flo
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def hash_tables(n: int, threshold: float, recall: float, bucket: int = 64, most_bits: int = 24) -> tuple[int, int]:
-    """(bits, tables) of sign hashes for n vectors: as many bits as leave about `bucket` vectors in a bucket where they have no
-    structure, and as many tables as let two vectors at the threshold share a bucket with the chance `recall`."""
+def hash_tables(n: int, threshold: float, recall: float, bucket: int = 16_384, most_bits: int = 24) -> tuple[int, int]:
+    """(bits, tables) of sign hashes for n vectors: as many bits as leave at most `bucket` vectors in a bucket where they have no
+    structure, and as many tables as let two vectors at the threshold share a bucket with the chance `recall`. Vectors are
+    exchanged once a table and compared in memory, so full buckets and few tables are the cheap way."""
     bits = max(1, min(most_bits, (max(n, 1) // bucket).bit_length()))
     same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
     while bits > 1 and same**bits < 0.01:  # more than some hundred tables cost more than fuller buckets
@@ -150,21 +151,71 @@ def hash_tables(n: int, threshold: float, recall: float, bucket: int = 64, most_
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same**bits, 1 - 1e-9))))
 
 
-def corpus_pairs(vectors: DataFrame, threshold: float = 0.8, recall: float = 0.95, key: str = "doc_id", vector: str = "embedding", block: int = 1_000, bits: int | None = None, seed: int = 11) -> DataFrame:
+def _near(least: float, kind: str):
+    """For rows (bucket, row, column, own, id, unit) sorted by the first three: the ids (a, b) of vectors of block `row` and of
+    block `column` (of one block: of any two) whose inner product is `least` or more. A unit of two blocks is held at once;
+    its pairs go out piece by piece."""
+
+    def pairs(xs, left, ys, right):
+        import pyarrow as pa
+
+        for at in range(0, len(xs), 512):
+            i, j = np.nonzero(xs[at : at + 512] @ ys.T >= least)
+            i += at
+            if left is right:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 100_000):
+                yield pa.RecordBatch.from_arrays([left.take(pa.array(i[k : k + 100_000])), right.take(pa.array(j[k : k + 100_000]))], ["a", "b"])
+
+    def unit(key, parts):
+        import pyarrow as pa
+
+        whole = pa.concat_arrays([p.field("unit") for p in parts])
+        own = np.concatenate([p.field("own").to_numpy() for p in parts])
+        ids = pa.concat_arrays([p.field("id") for p in parts])
+        x = np.frombuffer(b"".join(whole.to_pylist()), np.float32).reshape(len(own), -1)
+        if key[1] == key[2]:
+            yield from pairs(x, ids, x, ids)
+        else:
+            a, b = np.nonzero(own == key[1])[0], np.nonzero(own == key[2])[0]
+            yield from pairs(x[a], ids.take(pa.array(a)), x[b], ids.take(pa.array(b)))
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            starts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1), len(batch)]
+            rows = batch.to_struct_array()
+            for begin, end in zip(starts, starts[1:]):
+                if begin == end:
+                    continue
+                if key is not None and tuple(keys[begin]) != key:
+                    yield from unit(key, parts)
+                    parts = []
+                key = tuple(keys[begin])
+                parts.append(rows.slice(begin, end - begin))
+        if parts:
+            yield from unit(key, parts)
+
+    return run, f"a {kind}, b {kind}"
+
+
+def corpus_pairs(vectors: DataFrame, threshold: float = 0.8, recall: float = 0.95, key: str = "doc_id", vector: str = "embedding", block: int = 16_384, bits: int | None = None, seed: int = 11) -> DataFrame:
     """Q5. (a, b, similarity): the pairs a < b of a whole table whose cosine reaches the threshold, each with the chance
     `recall` at the threshold and more above it. With bits=0 all pairs are compared, which is the exact way.
 
     Vectors get a hash of the signs of random projections in each of several tables, and meet where they share a
-    bucket; the cosine of those that met is exact. A bucket of more than `block` vectors is dealt into blocks by hash,
-    and these meet two by two as units of their own, so no task holds a full bucket and no pair of it is lost. Ids meet
-    first, once a pair, then the vectors of these pairs. Rows without id and vectors that are null, zero, not finite or
-    shorter than the longest take no part; of several vectors of one id the least counts."""
+    bucket. They come there as unit vectors of 4 bytes a component, and a task multiplies a bucket's as a matrix; what it
+    sends on are the pairs near the threshold or above it only, whose cosine is then taken exactly. A bucket of more than
+    `block` vectors is dealt into blocks by hash, and these meet two by two as units of their own, so no task holds a full
+    bucket and no pair of it is lost. Rows without id and vectors that are null, zero, not finite or shorter than the
+    longest take no part; of several vectors of one id the least counts."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, bad)).groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("v"))
+    good = written(good.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))), "vectors")
     size = good.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
     dim = size["dim"] or 0
-    unit = good.where(F.size("v") == dim).withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))).where("norm > 0")
-    unit = written(unit, "vectors")
+    unit = good.where((F.size("v") == dim) & (F.col("norm") > 0))
     each, tables = hash_tables(size["n"], threshold, recall) if bits is None else (bits, 1 if not bits else hash_tables(size["n"], threshold, recall, most_bits=bits)[1])
     planes = np.random.default_rng(seed).standard_normal((tables * each, dim)).astype(np.float32)
 
@@ -172,19 +223,22 @@ def corpus_pairs(vectors: DataFrame, threshold: float = 0.8, recall: float = 0.9
         import pyarrow as pa
 
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(len(batch), dim)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dim)
+            x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             on = (x @ planes.T > 0).reshape(len(batch), tables, each)
             keys = (on * (1 << np.arange(each, dtype=np.int64))).sum(axis=2) * tables + np.arange(tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "unit", "keys"])
 
     kind = unit.schema["id"].dataType.simpleString()
-    rows = unit.select("id", "v").mapInArrow(signs, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("bucket")) if each else unit.select("id", F.lit(0).cast("long").alias("bucket"))
-    rows = written(rows, "signs")
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = rows.join(full, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = written(unit.select("id", "v").mapInArrow(signs, f"id {kind}, unit binary, keys array<long>"), "signs")
+    full = rows.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = rows.select("id", "unit", F.explode("keys").alias("bucket")).join(full, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side = lambda name, row, column: dealt.select("bucket", row.alias("row"), column.alias("column"), F.col("id").alias(name))
-    met = side("a", own, other).join(side("b", other, own), ["bucket", "row", "column"]).where("a < b").groupBy("a", "b").agg(F.lit(1).alias("met"))
+    dealt = dealt.select("bucket", own.alias("own"), other.alias("other"), "id", "unit")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "own", "id", "unit")
+    near = dealt.repartition("bucket", "row", "column").sortWithinPartitions("bucket", "row", "column").mapInArrow(*_near(threshold - 1e-4 - dim * 1e-6, kind))
+    met = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("met"))
     end = lambda name: unit.select(F.col("id").alias(name), F.col("v").alias(f"v_{name}"), F.col("norm").alias(f"n_{name}"))
     both = met.join(end("a"), "a").join(end("b"), "b")
     return both.select("a", "b", (_dot(F.col("v_a"), F.col("v_b")) / (F.col("n_a") * F.col("n_b"))).alias("similarity")).where(F.col("similarity") >= threshold)

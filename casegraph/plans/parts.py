@@ -173,7 +173,7 @@ def q05_corpus_pairs(spark, d):
 def q06_corpus_links(spark, d):
     """The same pairs with their scores by what their documents share."""
     docs = S.load(spark, d, "documents")
-    first = lambda n: F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\\s+"), lambda t: t != ""), 1, n)
+    first = lambda n: F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda t: t != ""), 1, n)
     summaries = docs.select("doc_id", F.array_compact(F.array("source")).alias("leads"), first(30).alias("keywords"), F.array_compact(F.array("lang")).alias("domains"), F.array().cast("array<string>").alias("bodies"), (F.col("n_chars") % 20).cast("int").alias("year"))
     return Q.corpus_links(similar_corpus(spark, d), summaries)
 

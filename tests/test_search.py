@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casegraph.operators import search as Q
@@ -122,3 +123,14 @@ def test_tables_grow_with_bits():
         bits, tables = Q.hash_tables(n, 0.9, 0.9)
         same = 1 - math.acos(0.9) / math.pi
         assert 1 - (1 - same**bits) ** tables >= 0.9 and same**bits >= 0.01
+
+
+def test_a_pair_meets_only_if_it_is_near(spark):
+    """What a bucket's task sends on are pairs about the threshold, not all that share the bucket."""
+    x = np.random.default_rng(4).standard_normal((600, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    run, _ = Q._near(0.5, "long")
+    rows = pa.table({"bucket": np.zeros(600, np.int64), "row": np.zeros(600, np.int32), "column": np.ones(600, np.int32), "own": (np.arange(600) % 2).astype(np.int32), "id": np.arange(600), "unit": [r.tobytes() for r in x]})
+    got = {tuple(sorted(p)) for b in run(iter(rows.to_batches(max_chunksize=70))) for p in zip(*(c.to_pylist() for c in b.columns))}
+    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if (i + j) % 2 and x[i] @ x[j] >= 0.5} and got
+    assert Q.hash_tables(100_000, 0.75, 0.99)[1] <= 12  # a vector is exchanged once a table
