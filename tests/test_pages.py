@@ -99,3 +99,20 @@ def test_sections_at_any_depth_and_stray_end_tags(spark):
 def test_a_number_far_down_a_page_counts(spark):
     pages = spark.createDataFrame([(1, "<h1>Om</h1><p>" + "ord " * 9000 + "SOU 2024:55</p>")], "page_id long, html string")
     assert G.detect_document(pages, G.page_tokens(pages), []).first()["doc_number"] == "SOU 2024:55"
+
+
+def test_small_tables_are_dealt_over_the_cores(spark):
+    """Pages made of a small file's rows are read by many tasks, and what is made of a text is made of it once."""
+    from casegraph.functions import text as X
+    from casegraph.plans import derived
+
+    assert derived.case_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    got = spark.range(1).select(X.once(counted(F.lit("a")), lambda c: F.concat(c, c, c)).alias("x")).collect()
+    assert got[0]["x"] == "aaa" and seen.value == 1
