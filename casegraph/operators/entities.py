@@ -98,7 +98,8 @@ def match_exact(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 def aliases(spark) -> DataFrame:
     """The fixed table of abbreviations: alias (upper case) and target (lower case)."""
-    return spark.createDataFrame([(k.upper(), v.lower()) for k, v in rules.ABBREVIATIONS.items()], "alias string, target string")
+    rows = F.array(*(F.struct(F.lit(k.upper()).alias("alias"), F.lit(v.lower()).alias("target")) for k, v in rules.ABBREVIATIONS.items()))
+    return spark.range(0, 1, 1, 1).select(F.inline(rows))  # one task of the JVM; rows of Python's would start a worker on each core
 
 
 def abbreviation_candidates(names: DataFrame, entities: DataFrame) -> DataFrame:

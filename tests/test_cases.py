@@ -298,3 +298,16 @@ def test_final_s_goes_but_for_kept_endings(spark):
     names = [("Kalmars", "Kalmars"), ("Borås", "Borås"), ("Stiftelsen Ukrainas", "Stiftelsen Ukrainas"), ("Stiftelsen KALMARS", "Stiftelsen KALMARS"), ("Ässas", "Ässas"), ("Försvarets", "Försvaret")]
     got = {r["a"]: r["b"] for r in spark.createDataFrame(names, "a string, w string").select("a", E.normalize_org(F.col("a")).alias("b")).collect()}
     assert got == dict(names)
+
+
+def test_answers_are_exchanged_once_for_their_boards(spark):
+    from casegraph.plans.derived import answers
+
+    plan = answers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
+
+
+def test_the_table_of_aliases_takes_no_python_rows(spark):
+    table = E.aliases(spark)
+    assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert ("SKR", "sveriges kommuner och regioner") in {tuple(r) for r in table.collect()}
