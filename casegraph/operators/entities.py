@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import FLAGS
-from ..functions.text import normal_form
+from ..functions.text import normal_form, once
 from ..sources.scratch import checkpointed, written
 
 
@@ -38,7 +38,8 @@ def normalize_org(c: Column) -> Column:
     name = F.regexp_replace(name, rf"{FLAGS}^(.{{6,}})(?=(?-i:s)$)(?<!{kept})(?-i:s)$", "$1")
     name = F.regexp_replace(name, FLAGS + r"\bAP[\s–]+fonden\b", "AP-fonden")
     name = F.regexp_replace(name, FLAGS + r"\b(Patent|Post|Havs|Tandvårds|Klimat|Arbets|Miljö)\s+och\s+", "$1- och ")
-    return F.when(has_contact(raw) | name.rlike(FLAGS + rules.DOCUMENT_TITLE), "").otherwise(name)
+    # made once a row, though it is both asked and given
+    return once(F.struct(has_contact(raw).alias("contact"), name.alias("name")), lambda x: F.when(x["contact"] | x["name"].rlike(FLAGS + rules.DOCUMENT_TITLE), "").otherwise(x["name"]))
 
 
 def folded(c: Column) -> Column:
