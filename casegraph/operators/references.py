@@ -223,8 +223,11 @@ def linkage_manifest(orphan_docs: DataFrame, adopted: DataFrame, members: DataFr
 def store_link_references(links: DataFrame, documents: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """G15. Reference edges of page links (source_id, url, anchor): kind, number (the anchor's text where the URL has
     none) and target, one for each (source, number); those that exist are left out."""
-    kinds = link_kind(F.col("url"), F.col("anchor"))
-    rows = links.select("source_id", "url", "anchor", *(c.alias(n) for n, c in kinds.items()))
+    kinds = link_kind(F.col("_url"), F.col("_anchor"))
+    # what is said of a link is said once a distinct one: patterns are dear, and pages link to the same places
+    known = links.select(F.col("url").alias("_url"), F.col("anchor").alias("_anchor")).distinct().select("_url", "_anchor", *(c.alias(n) for n, c in kinds.items()))
+    same = F.col("url").eqNullSafe(F.col("_url")) & F.col("anchor").eqNullSafe(F.col("_anchor"))
+    rows = links.select("source_id", "url", "anchor").join(known, same).drop("_url", "_anchor")
     rows = rows.withColumn("target_number", F.coalesce("target_number", F.nullif(F.trim("anchor"), F.lit("")))).where("target_number is not null")
     rows = rows.groupBy("source_id", "target_number").agg(F.min(F.struct("url", "reference_type", "confidence", "external", "external_type")).alias("r")).select("source_id", "target_number", "r.*")
     known = documents.groupBy(normal_number(F.col("doc_number")).alias("_k")).agg(F.min("doc_id").alias("target_id"))

@@ -311,3 +311,21 @@ def test_the_table_of_aliases_takes_no_python_rows(spark):
     table = E.aliases(spark)
     assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
     assert ("SKR", "sveriges kommuner och regioner") in {tuple(r) for r in table.collect()}
+
+
+def test_equal_links_are_judged_once(spark, monkeypatch):
+    judged, kinds = spark.sparkContext.accumulator(0), G.link_kind
+
+    def counted(url, anchor):
+        @F.udf("string")
+        def seen(x):
+            judged.add(1)
+            return x
+
+        return kinds(url, anchor) | {"external_type": seen(url)}
+
+    monkeypatch.setattr(G, "link_kind", counted)
+    links = spark.createDataFrame([(i, "https://www.regeringen.se/x", "SOU 2024:5") for i in range(50)] + [(1, None, "Ds 2024:1"), (2, "https://www.regeringen.se/x", None)], "source_id int, url string, anchor string")
+    rows = G.store_link_references(links, spark.createDataFrame([(7, "SOU 2024:5")], "doc_id int, doc_number string")).collect()
+    assert judged.value < 10
+    assert sorted((r["source_id"], r["target_number"], r["target_id"]) for r in rows) == sorted([(i, "SOU 2024:5", 7) for i in range(50)] + [(1, "Ds 2024:1", None)])
