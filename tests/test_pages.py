@@ -116,3 +116,26 @@ def test_small_tables_are_dealt_over_the_cores(spark):
 
     got = spark.range(1).select(X.once(counted(F.lit("a")), lambda c: F.concat(c, c, c)).alias("x")).collect()
     assert got[0]["x"] == "aaa" and seen.value == 1
+
+
+def test_tags_are_neither_exchanged_nor_sorted(spark):
+    html = "<p>a&aring;&amp;ouml; <i>\x0bb</i> </p><h2 CLASS='x' id=1>H  <em> c</em></h2><a href=\"/u\">d</a><li>e</li>"
+    tokens = G.page_tokens(spark.createDataFrame([(1, html), (1, html), (2, None), (3, "")], "page_id int, html string"))
+    assert "Exchange" not in tokens._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["place"], r["tag"], r["class"], r["href"], r["text"], r["heading"]) for r in tokens.where("page_id = 1").collect())
+    one = [(0, "p", "", "", "aåö b ", None), (1, "i", "", "", "b", None), (4, "h2", "x", "", "H c", None), (5, "em", "", "", "c", "H c"), (8, "a", "", "/u", "d", "H c"), (10, "li", "", "", "e", "H c")]
+    assert got == [row for row in one for _ in range(2)] and tokens.where("page_id <> 1").count() == 0
+
+
+def test_a_listed_name_is_made_normal_in_one_place(spark):
+    names = G.parse_numbered_list(spark.createDataFrame([("a", "1. Almega\n2\nBorås hamns")], "id string, text string"))[0]
+    assert names._jdf.queryExecution().optimizedPlan().toString().count("AP[") == 1
+    assert {r["name"] for r in names.collect()} == {"Almega", "Borås hamn"}
+
+
+def test_key_sections_exchange_no_text(spark):
+    long = "Sammanfattning\n" + "Kort. " * 90 + "\nSummary\n2 Sammanfattning\n" + "Lång. " * 90 + "\nSummary\nSammanfattning\n" + "Lika. " * 90 + "\n1 Början\n" + "x" * 90_000 + "\nSammanfattning\n" + "Sen. " * 900
+    got = G.key_sections(spark.createDataFrame([("a", "sou", long), (None, "sou", long), ("b", None, "x" * 90_000)], "doc_id string, doc_type string, raw_content string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows["a"]["text"] == rows[None]["text"] == "[SAMMANFATTNING]\n" + ("Kort. " * 90).strip() and rows["b"]["strategy"] == "fallback_first_80k"
