@@ -64,36 +64,100 @@ def _part(token: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
 
 
-def store_index(docs: DataFrame, path: str, weights: dict[str, float] | None = None, key: str = "doc_id", parts: int = 64) -> None:
-    """Q3. Writes an index of docs (key and the fields of weights) below path: postings (token, key, weight, places: number
-    of the field and of the token there, both from 0) and frequencies (token, documents), in folders by a hash of the token.
+#: Bytes of text whose postings make a file of a part, and the most words that a task groups at once.
+_FILE_BYTES, _GROUP_WORDS = 8 << 20, 1 << 20
+
+
+def _postings(weights: list[float], key: str):
+    """For batches of (key, the words of each field): (token, keys, weights, places), a row for each word of some documents.
+    Words are grouped by their numbers, many documents at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def lists(start: np.ndarray, values) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(start, len(values)), pa.int32()), values)
+
+    def grouped(batch) -> pa.RecordBatch:
+        words, rows, places = [], [], []
+        for i, column in enumerate(batch.columns[1:]):
+            row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+            column = column.flatten()
+            word = pc.binary_length(column).to_numpy(zero_copy_only=False) > 0  # a text may start and end with what is no word
+            row = row[word]
+            count = np.bincount(row, minlength=len(batch))
+            words.append(column.filter(pa.array(word)))
+            rows.append(row)
+            places.append((i << 32) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+        coded, place = pa.concat_arrays(words).dictionary_encode(), np.concatenate(places)
+        bits = len(place).bit_length()  # sorted with its number, a word keeps the order of its places
+        order = np.sort((coded.indices.to_numpy() * np.int64(len(batch)) + np.concatenate(rows) << bits) + np.arange(len(place)))
+        place = place[order & (1 << bits) - 1]
+        order >>= bits
+        start = np.flatnonzero(np.diff(order, prepend=-1))
+        kind, row = np.divmod(order[start], max(1, len(batch)))
+        counts = [np.add.reduceat((place >> 32 == i).astype(np.int64), start) if len(start) else start for i in range(len(weights))]
+        weight = sum(n * w for n, w in zip(counts, weights, strict=True))
+        first = np.flatnonzero(np.diff(kind, prepend=-1))
+        held = (batch.column(0).take(pa.array(row)), pa.array(weight, pa.float64()), lists(start, pa.array(place)))
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(kind[first])), *(lists(first, x) for x in held)], ["token", key, "weight", "places"])
+
+    def run(batches):
+        for batch in batches:
+            words = np.cumsum(sum(pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in batch.columns[1:]))
+            start = 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(words, (words[start - 1] if start else 0) + _GROUP_WORDS, "right")))
+                yield grouped(batch.slice(start, stop - start))
+                start = stop
+
+    return run
 
-    Postings are dealt by range of (part, token, key), so a token that every document has is spread over tasks and files,
-    and a part is few files. The table of parameters says how to read it."""
+
+def _each(postings: DataFrame, key: str) -> DataFrame:
+    """A row for each document of the rows of an index."""
+    return postings.select("token", F.inline(F.arrays_zip(key, "weight", "places")))
+
+
+def store_index(docs: DataFrame, path: str, weights: dict[str, float] | None = None, key: str = "doc_id", parts: int = 64) -> None:
+    """Q3. Writes an index of docs (key and the fields of weights) below path: postings (token, and of some documents that
+    have it the keys, weights and places: number of the field times 2^32 and of the token there, both from 0) and
+    frequencies (token, documents), in folders by a hash of the token.
+
+    Words are grouped where the texts are read, so what is exchanged is a row for each word of many documents. Rows are
+    dealt by part and, of large inputs, by their first key, so a token that every document has is spread over tasks and
+    files, and a part is few files. Rows of docs with one key count as one document. The table of parameters says how to
+    read it."""
     weights = FIELD_WEIGHTS if weights is None else weights
-    tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-    fields = [docs.select(key, F.posexplode(tokens(F.col(c))).alias("at", "token"), F.lit(i).alias("field"), F.lit(w).alias("w")) for i, (c, w) in enumerate(weights.items())]
-    rows = reduce(DataFrame.unionByName, fields).groupBy("token", key).agg(F.sum("w").alias("weight"), F.sort_array(F.collect_list(F.struct("field", "at"))).alias("places"))
-    rows = rows.withColumn("part", _part(F.col("token"), parts))
-    rows.repartitionByRange("part", "token", key).sortWithinPartitions("part", "token", key).write.partitionBy("part").parquet(f"{path}/postings")
-    counts = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "token").agg(F.count("*").alias("documents"))
+    kind, size = docs.schema[key].dataType.simpleString(), reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in weights))
+    keys = docs.groupBy(key).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    asked = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    words = docs.select(key, *(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+").alias(f"_{i}") for i, c in enumerate(weights)))
+    rows = words.mapInArrow(_postings(list(weights.values()), key), f"token string, {key} array<{kind}>, weight array<double>, places array<array<long>>")
+    if asked["most"] > 1:
+        both = _each(rows, key).groupBy("token", key).agg(F.sum("weight").alias("weight"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+        rows = both.select("token", *(F.array(c).alias(c) for c in (key, "weight", "places")))
+    slices = max(1, -(-asked["bytes"] // (parts * _FILE_BYTES)))
+    rows = rows.withColumn("part", _part(F.col("token"), parts)).repartition("part", F.pmod(F.xxhash64(F.col(key)[0]), F.lit(slices)))
+    rows.sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{path}/postings")
+    counts = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("part", "token").agg(F.sum(F.size(key)).alias("documents"))
     counts.repartition(F.col("part")).sortWithinPartitions("token").write.partitionBy("part").parquet(f"{path}/frequencies")
-    docs.agg(F.count("*").alias("documents"), F.lit(parts).alias("parts")).write.parquet(f"{path}/parameters")
+    docs.sparkSession.range(1).select(F.lit(asked["documents"]).cast("long").alias("documents"), F.lit(parts).alias("parts")).write.parquet(f"{path}/parameters")
 
 
-def postings_of(spark: SparkSession, path: str, terms: list[str], table: str = "postings") -> DataFrame:
-    """Q3. The postings (or frequencies) of some terms: only the terms' own parts are read, and in these the row groups that
-    may hold them."""
+def postings_of(spark: SparkSession, path: str, terms: list[str], table: str = "postings", key: str = "doc_id") -> DataFrame:
+    """Q3. The postings (token, key, weight, places) or frequencies of some terms: only the terms' own parts are read, and
+    in these the row groups that may hold them."""
     low = sorted({t.lower() for t in terms})
     parts = spark.read.parquet(f"{path}/parameters").first()["parts"]
     here = spark.range(1).select(*(_part(F.lit(t), parts) for t in low)).first()
-    return spark.read.parquet(f"{path}/{table}").where(F.col("part").isin(*sorted(set(here))) & F.col("token").isin(*low)).drop("part")
+    found = spark.read.parquet(f"{path}/{table}").where(F.col("part").isin(*sorted(set(here))) & F.col("token").isin(*low)).drop("part")
+    return _each(found, key) if table == "postings" else found
 
 
 def search_index(spark: SparkSession, path: str, terms: list[str], key: str = "doc_id", k: int = 20, rare: bool = False) -> DataFrame:
     """Q3. As ranked_search, from a stored index. With rare a token's weight is multiplied by ln(1 + documents / those that
     have it), so that a rare word counts more."""
-    hits = postings_of(spark, path, terms)
+    hits = postings_of(spark, path, terms, key=key)
     if rare:
         total = spark.read.parquet(f"{path}/parameters").select(F.col("documents").alias("_all"))
         hits = hits.join(F.broadcast(postings_of(spark, path, terms, "frequencies")), "token").crossJoin(F.broadcast(total))
@@ -104,11 +168,11 @@ def search_index(spark: SparkSession, path: str, terms: list[str], key: str = "d
 def search_phrase(spark: SparkSession, path: str, phrase: list[str], key: str = "doc_id", k: int = 20) -> DataFrame:
     """Q3. The k documents that have the words of a phrase one behind the other in a field most often (key, times)."""
     words = [w.lower() for w in phrase]
-    found = postings_of(spark, path, words).select("token", key, "places")
-    step = lambda i: found.where(F.col("token") == words[i]).select(key, F.explode("places").alias("p")).select(key, "p.field", (F.col("p.at") - i).alias("start"))
+    found = postings_of(spark, path, words, key=key).select("token", key, "places")
+    step = lambda i: found.where(F.col("token") == words[i]).select(key, F.explode(F.transform("places", lambda p: p - i)).alias("start"))
     both = step(0)
     for i in range(1, len(words)):
-        both = both.join(step(i), [key, "field", "start"])
+        both = both.join(step(i), [key, "start"])
     return both.groupBy(key).agg(F.count("*").alias("times")).orderBy(F.col("times").desc(), key).limit(k)
 
 

@@ -60,6 +60,44 @@ def test_only_asked_parts_are_read(spark):
     assert len(files) == 1 and f"/part={own}/" in files.pop()
 
 
+def test_an_index_row_holds_many_documents(spark):
+    """What is exchanged and stored is a row for each word of a group of documents, and the searches are the plain ones."""
+    rows = [(i, "häst", None, " ".join(f"Ord{(i * k) % 7}" for k in range(9)) + " Häst häst") for i in range(300)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, title string, doc_number string, raw_content string").repartition(2), new_path(spark, "index")
+    Q.store_index(docs, path, parts=2)
+    stored = spark.read.parquet(f"{path}/postings")
+    assert stored.count() <= 2 * stored.select("token").distinct().count() == 16
+    got = {(r["token"], r["doc_id"]): r["places"] for r in Q.postings_of(spark, path, ["häst", "ord0", "Ord3"]).collect()}
+    plain = {}
+    for i, *fields in rows:
+        for f, text in enumerate(fields):
+            for at, w in enumerate(words(text)):
+                plain.setdefault((w, i), []).append((f << 32) + at)
+    assert got == {k: v for k, v in plain.items() if k[0] in ("häst", "ord0", "ord3")}
+    assert {r["token"]: r["documents"] for r in Q.postings_of(spark, path, ["ord3"], "frequencies").collect()} == {"ord3": sum(k[0] == "ord3" for k in plain)}
+
+
+def test_groups_of_words_are_bounded(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a", "b", "a"], [""], ["", "b"], ["a"] * 9, [], ["c", ""]]), pa.array([["b"], ["b"], [], [], [""], ["a"]], pa.list_(pa.string()))], ["id", "x", "y"])
+    every = None
+    for most in (1, 4, 100):
+        monkeypatch.setattr(Q, "_GROUP_WORDS", most)
+        out = list(Q._postings([1.0, 0.5], "id")(iter([batch, batch.slice(0, 0)])))
+        found = sorted((r["token"], *x) for b in out for r in b.to_pylist() for x in zip(r["id"], r["weight"], r["places"], strict=True))
+        assert (len(out) > 2) == (most < 100) and every in (None, found)
+        every = found
+    y = 1 << 32
+    assert every == [("a", 0, 2.0, [0, 2]), ("a", 3, 9.0, list(range(9))), ("a", 5, 0.5, [y]), ("b", 0, 1.5, [1, y]), ("b", 1, 0.5, [y]), ("b", 2, 1.0, [0]), ("c", 5, 1.0, [0])]
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    rows = [(1, "a", None, "b c"), (2, "c", None, None), (1, "a", None, "a c"), (None, "a", None, None), (None, "c", None, None)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, title string, doc_number string, raw_content string").repartition(3), new_path(spark, "index")
+    Q.store_index(docs, path, parts=4)
+    assert {(r["doc_id"], round(r["score"], 6), r["terms"]) for r in Q.search_index(spark, path, ["a", "c"]).collect()} == {(1, 2.6, 2), (None, 2.0, 2), (2, 1.0, 1)}
+    assert Q.postings_of(spark, path, ["a"], "frequencies").first()["documents"] == 2
+
+
 def test_texts_of_files(spark, tmp_path):
     (tmp_path / "a1.txt").write_text("first\nline two\n")
     (tmp_path / "b.c.pdf.txt").write_text("Å")
