@@ -74,9 +74,6 @@ def task_counts(events: DataFrame, kind: str = "event_type", window: str = "1 ho
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), kind, "n")
 
 
-_SPAN = "case_id {kind}, start_ts timestamp, end_ts timestamp, days int, closed boolean"
-
-
 def stream_velocity(events: DataFrame, start: str, end: str, case: str = "case_id", kind: str = "event_type", delay: str = "1 day", keep: str = "7 days") -> DataFrame:
     """X4. The earliest start and end of each case so far and the days between, in update mode: a row whenever they change
     and a last one, closed, when the state goes. Columns: case_id, start_ts, end_ts, days, closed.
@@ -85,38 +82,53 @@ def stream_velocity(events: DataFrame, start: str, end: str, case: str = "case_i
     last event, so what stays is the open cases and the freshly ended ones. Events older than the watermark are dropped by
     Spark and counted in the query's progress: so is a start date that comes that late. An event of a case whose state
     has gone opens a new one; a sink that takes the least start and end of a case (earliest_span) is right all the same.
+    The state is kept in RocksDB, to which the session's later streams are set too; a checkpoint of the earlier form of this
+    stream can't be carried on.
     """
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    far = 1 << 62
-
-    def spans(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        held = [None if v == far else v for v in state.get] if state.exists else [None, None, 0]
-        stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
-        row = lambda closed: pd.DataFrame({"case_id": [key[0]], "start_ts": [stamp(held[0])], "end_ts": [stamp(held[1])], "days": pd.array([None if None in held[:2] else (stamp(held[1]).normalize() - stamp(held[0]).normalize()).days], dtype="Int32"), "closed": [closed]})
-        if state.hasTimedOut:
-            state.remove()
-            yield row(True)
-            return
-        before = list(held[:2])
-        for part in batches:
-            us = part["ts"].astype("datetime64[us]").astype("int64")
-            held[2] = max(held[2], int(us.max()))
-            for i, name in enumerate((start, end)):
-                own = us[part["kind"] == name]
-                if len(own):
-                    held[i] = int(own.min()) if held[i] is None else min(held[i], int(own.min()))
-        state.update(tuple(far if v is None else v for v in held))
-        if None not in held[:2]:
-            state.setTimeoutTimestamp(max(held[2] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
-        if held[:2] != before:
-            yield row(False)
-
+    far = 1 << 62  # no time yet
+
+    class Spans(StatefulProcessor):
+        # called for each case of a batch, so times are numbers here, and columns Spark's before and after
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.span = handle.getValueState("span", "start_us long, end_us long, last_us long, goes_ms long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:
+            start_us, end_us, last_us, goes_ms = before = self.span.get() or (far, far, 0, 0)
+            for r in rows:
+                start_us, end_us = (start_us, min(end_us, r.us)) if r.ended else (min(start_us, r.us), end_us)
+                last_us = max(last_us, r.us)
+            goes = 0 if far in (start_us, end_us) else max(last_us // 1000 + keep_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            if goes != goes_ms:
+                if goes_ms:
+                    self.handle.deleteTimer(goes_ms)
+                self.handle.registerTimer(goes)
+            if (after := (start_us, end_us, last_us, goes)) != tuple(before):
+                self.span.update(after)
+            if (start_us, end_us) != tuple(before[:2]):
+                yield Row(case_id=key[0], start_us=start_us, end_us=end_us, closed=False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+            start_us, end_us, *_ = self.span.get()
+            self.span.clear()
+            yield Row(case_id=key[0], start_us=start_us, end_us=end_us, closed=True)
+
+        def close(self) -> None:
+            pass
+
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select(F.col(case).alias("case_id"), F.col(kind).alias("kind"), "ts").withWatermark("ts", delay).where(F.col("kind").isin(start, end))
-    schema = _SPAN.format(kind=rows.schema["case_id"].dataType.simpleString())
-    return rows.groupBy("case_id").applyInPandasWithState(spans, schema, "start_us long, end_us long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.select("case_id", "ts", F.unix_micros("ts").alias("us"), (F.col("kind") != start).cast("int").alias("ended"))
+    schema = f"case_id {rows.schema['case_id'].dataType.simpleString()}, start_us long, end_us long, closed boolean"
+    out = rows.groupBy("case_id").transformWithState(Spans(), schema, "Update", "EventTime")
+    at = lambda c: F.timestamp_micros(F.nullif(F.col(c), F.lit(far)))
+    out = out.select("case_id", at("start_us").alias("start_ts"), at("end_us").alias("end_ts"), "closed")
+    return out.select("case_id", "start_ts", "end_ts", F.datediff("end_ts", "start_ts").alias("days"), "closed")
 
 
 def earliest_span(new: DataFrame, old: DataFrame) -> DataFrame:

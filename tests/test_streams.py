@@ -181,3 +181,14 @@ def test_sliding_windows_are_given_out_once(spark):
             if w + dt.timedelta(hours=2) <= at(4) - dt.timedelta(hours=6):
                 expected[w, kind] = expected.get((w, kind), 0) + 1
     assert len(out) == len({o[:2] for o in out}) and {o[:2]: o[2] for o in out} == expected
+
+
+def test_a_case_is_no_frame(spark):
+    """Spans come from a state of rows, a case's values in one; a data frame for each case of a batch took most of the time."""
+    schema, base = "case_id long, event_type string, ts timestamp", new_path(spark, "state")
+    spans = streams.stream_velocity(stream(spark, [[(1, "start", at(1)), (1, "end", at(3, 5)), (1, "start", at(2)), (None, "end", at(1)), (2, "other", at(1))]], schema), "start", "end")
+    out = []
+    query = spans.writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(out, key=str) == sorted([(1, at(1), at(3, 5), 2, False), (None, None, at(1), None, False)], key=str)
+    assert all(s.operatorName.startswith("transformWithState") for p in query.recentProgress for s in p.stateOperators)
