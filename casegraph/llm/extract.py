@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,11 @@ _PART = re.compile(r"site-(?:footer|header)|[a-z0-9]+")
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(text, region) of the blocks of a page in order. Region: "main" inside an article or main element, "aside" inside
-    an element that is not part of an article, else "open". White space in a block is one space; empty blocks go."""
+    """(text, region) of the blocks of a page in order. Region: "article n" inside the n-th outermost article element,
+    "main" elsewhere inside a main element, "aside" inside an element that is not part of an article, else "open". White
+    space in a block is one space; empty blocks go."""
     out: list[tuple[str, str]] = []
+    articles = 0
     stack: list[tuple[str, str]] = []  # open elements that set a region
     held: list[str] = []
     region = "open"
@@ -74,7 +78,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     region = stack[-1][1] if stack else "open"
                 if region == "aside":
                     own = "aside"
-            elif name in ASIDE or name == "header" and region != "main":
+                elif own == "main" and region.startswith("article"):
+                    own = region
+                elif own == "main" and name == "article":
+                    own, articles = f"article {articles + 1}", articles + 1
+            elif name in ASIDE or name == "header" and region in ("open", "aside"):
                 own = "aside"
             elif name not in ("html", "body") and any(not MARKS.isdisjoint(_PART.findall(w)) for w in tokens):
                 own = "aside"
@@ -87,9 +95,34 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The longest common subsequence's length of a and each start of b, by sums of integers with a bit for each line of b."""
+    where: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        where.setdefault(line, []).append(j)
+    frequent = {}
+    for line, places in where.items():
+        if len(places) > 16:
+            bits = np.zeros(len(b), np.uint8)
+            bits[places] = 1
+            frequent[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        here = frequent.get(line)
+        if here is None:
+            here = sum(1 << j for j in where.get(line, ()))
+        if here:
+            rising = row & here
+            row = ((row + rising) | (row - rising)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8) or 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[str], b: list[str], matches: int = 200_000) -> set[int]:
     """Places in a of a longest common subsequence of two lists of lines: matches by falling place in b, of which the
-    longest rising chain is kept."""
+    longest rising chain is kept. Lists with more matching pairs than `matches` (a table's cells, say) are cut in two
+    where the lengths of both halves say that a longest one can be cut, so memory stays bounded."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -100,6 +133,12 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     where: dict[str, list[int]] = {}
     for j in range(len(b) - stop - 1, start - 1, -1):
         where.setdefault(b[j], []).append(j)
+    inner, other = a[start : len(a) - stop], b[start : len(b) - stop]
+    if len(inner) > 1 and sum(len(where.get(x, ())) for x in inner) > matches:
+        half = len(inner) // 2
+        cut = int(np.argmax(_lengths(inner[:half], other) + _lengths(inner[half:][::-1], other[::-1])[::-1]))
+        found |= {start + i for i in common_lines(inner[:half], other[:cut], matches)}
+        return found | {start + half + i for i in common_lines(inner[half:], other[cut:], matches)}
     tails: list[int] = []
     links: list[tuple[int, int] | None] = []
     nodes: list[int] = []
@@ -122,40 +161,69 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def decided(page: str) -> tuple[str, str]:
-    """(regions, lines) of a page: "m" or "o" for each block inside an article or outside of one, and their texts joined
-    by line feeds, of which no block holds one. Blocks that are not part of an article are left out."""
+    """(regions, lines) of a page: a letter for each block, and their texts joined by line feeds, of which no block holds
+    one. The letter is A for an article's first block and a for its others, m for a main element's outside of articles,
+    else o. Blocks that are not part of an article are left out."""
     kept = [(t, r) for t, r in blocks(page) if r != "aside"]
-    return "".join(r[0] for _, r in kept), "\n".join(t for t, _ in kept)
+    before = [""] + [r for _, r in kept]
+    return "".join((r[0] if r == last else "A") if r[0] == "a" else r[0] for (_, r), last in zip(kept, before, strict=False)), "\n".join(t for t, _ in kept)
 
 
-def main_text(own: tuple[str, str], near: tuple[str, str] | None) -> str:
-    """The main text of a page's (regions, lines), given those of the page of the nearest URL.
+def candidates(regions: str) -> list[int]:
+    """Places of the lines that structure lets be the text: those inside articles and main elements, if there are any, else all."""
+    return [i for i, r in enumerate(regions) if r != "o"] or list(range(len(regions)))
+
 
-    Where a page has an article, that is the text; lines inside it stay even if the other page has them. Else lines that
-    both pages have are deleted, by a longest common subsequence of their lines, and the others are the text."""
+def differing(regions: str, sizes: list[int], lines: list, near: list) -> list[int]:
+    """Places of the candidates that the difference to the lines of the page of the nearest URL leaves.
+
+    Lines of a longest common subsequence are shared. What has no line of its own goes: where nothing is marked a line,
+    where articles are marked an article, or a line of a main element outside of them; a main element without an article
+    counts as one. An article with any line of its own is kept whole, with its shared lines. If what would go from a page
+    with marks is as long as what would stay (sizes are in code points), the other page is a version of this one, tells
+    nothing about the site, and all candidates stay."""
+    shared, places = common_lines(lines, near), candidates(regions)
+    if "A" in regions:
+        units: list[list[int]] = []
+        for i in places:
+            if regions[i] == "a":
+                units[-1].append(i)
+            else:
+                units.append([i])
+    else:
+        units = [places] if "m" in regions else [[i] for i in places]
+    kept = [i for unit in units if not shared.issuperset(unit) for i in unit]
+    if units and regions[places[0]] != "o" and 2 * sum(sizes[i] for i in kept) <= sum(sizes[i] for i in places):
+        return places
+    return kept
+
+
+def main_text(own: tuple[str, str], near: tuple[str, str] | None) -> str:
+    """The main text of a page's (regions, lines), given those of the page of the nearest URL, if there is one."""
     regions, lines = own[0], own[1].split("\n") if own[0] else []
-    if "m" in regions:
-        return "\n".join(t for t, r in zip(lines, regions, strict=True) if r == "m")
-    shared = common_lines(lines, near[1].split("\n")) if near and near[0] else set()
-    return "\n".join(t for i, t in enumerate(lines) if i not in shared)
+    if near and near[0]:
+        return "\n".join(lines[i] for i in differing(regions, [len(t) for t in lines], lines, near[1].split("\n")))
+    return "\n".join(lines[i] for i in candidates(regions))
 
 
-def extract_text(pages: DataFrame, part_rows: int = 2_000) -> DataFrame:
+def extract_text(pages: DataFrame, part_rows: int = 10_000) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars (code points of the text).
 
-    A page that marks an article, or whose URL has no host, is taken by its structure alone, where it is read. The other
-    pages meet the pages of their host, with an article or without. Pages of a host with the very same lines (regions
-    and texts, by a digest of 128 bits) are copies: they count as one page at the first of their URLs and get the same
-    text, however many there are and wherever they stand. These distinct pages are range-partitioned by host and path,
-    so near URLs are neighbours and a host with a third of all pages is spread; a page is compared with that neighbour
-    whose path has the longer common start (the one before, if equal). The first and the last page of a partition meet
-    their neighbours of the adjacent ones in a second step, so where partitions are cut changes nothing. A page whose
-    host has no other, or none with any line, is taken by its structure. Null html or url counts as empty; text is empty where nothing is left.
-    Rows with equal ids or URLs are pages of their own; other columns are not read. Pages stream through a task three
-    at a time. Hosts are broadcast up to 100,000 of them, beyond that they are joined.
+    Every page that has a line is compared with the page of the nearest URL of its host, whether it marks an article or
+    not: the difference of their lines decides (see `differing`), structure says what can be text at all. Pages are
+    compared by their lines' digests of 128 bits and lengths; texts are not exchanged for it. Pages of a host with the
+    very same lines (regions and texts, by a digest of 128 bits) are copies: they count as one page at the first of their
+    URLs and get the same text, however many there are and wherever they stand. These distinct pages are
+    range-partitioned by host and path, so near URLs are neighbours and a host with a third of all pages is spread; a
+    page is compared with that neighbour whose path has the longer common start (the one before, if equal). The first and
+    the last page of a partition meet their neighbours of the adjacent ones in a second step, so where partitions are cut
+    changes nothing. A page whose URL has no host, or whose host has no other page with a line, is taken by its structure.
+
+    Null html or url counts as empty; text is empty where nothing is left. Rows with equal ids or URLs are pages of their
+    own; other columns are not read. Pages are read twice, for their lines and for their texts, and stream through a task
+    three at a time. Only decisions that take some candidate away go back to the texts: Spark broadcasts them or joins
+    them by exchange, as their size is.
     """
-    import hashlib
-
     import pyarrow as pa
 
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -163,72 +231,78 @@ def extract_text(pages: DataFrame, part_rows: int = 2_000) -> DataFrame:
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("host", F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)).withColumn("path", F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^#]*)", 1))
 
-    def digest(own: tuple[str, str]) -> str:
-        return hashlib.blake2b("\n".join(own).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    def digest(text: str) -> bytes:
+        return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    def read(batches):  # print is null where the text is final
+    def read(batches):
         for batch in batches:
-            rows = []
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = decided(html)
-                final = not host or not own[0] or "m" in own[0]
-                rows.append((None, main_text(own, None)) if final else (digest(own), None))
-            new = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+            rows = [(digest("\n".join(own)), main_text(own, None)) for own in map(decided, batch.column("html").to_pylist())]
+            new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "url", "host")] + new, ["page_id", "url", "host", "print", "text"])
 
+    #: A page to compare: its lines' sizes in code points and digests, one after the other.
+    compared = {"host": pa.string(), "print": pa.binary(), "path": pa.string(), "regions": pa.string(), "sizes": pa.list_(pa.int32()), "lines": pa.binary()}
+
     def lines(batches):
         for batch in batches:
-            named = zip(*(batch.column(c).to_pylist() for c in ("host", "path", "html")), strict=True)
-            rows = [(host, path, digest(own), *own) for host, path, html in named if (own := decided(html))[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], ["host", "path", "print", "regions", "lines"])
-
-    whole = written(page.mapInArrow(read, f"page_id {kind}, url string, host string, print string, text string"), "pages")
-    hosts = written(whole.where("print is not null").select("host").distinct(), "hosts")
-    if hosts.count() <= 100_000:
-        hosts = F.broadcast(hosts)
-    n = max(2, -(-whole.join(hosts, "host", "left_semi").count() // part_rows))
-    lined = page.join(hosts, "host", "left_semi").select("host", "path", "html").mapInArrow(lines, "host string, path string, print string, regions string, lines string")
-    distinct = lined.groupBy("host", "print").agg(F.min("path").alias("path"), F.first("regions").alias("regions"), F.first("lines").alias("lines"))
+            rows = []
+            for host, path, html in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "html")), strict=True):
+                regions, text = decided(html)
+                if regions:
+                    texts = text.split("\n")
+                    rows.append((host, digest(f"{regions}\n{text}"), path, regions, [len(t) for t in texts], b"".join(digest(t) for t in texts)))
+            yield batch_of(rows, compared)
+
+    def batch_of(rows, columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(columns), columns.values(), strict=True)], list(columns))
+
+    shape = "host string, print binary, path string, regions string, sizes array<int>, lines binary"
+    lined = page.where("host != ''").select("host", "path", "html").mapInArrow(lines, shape)
+    distinct = written(lined.groupBy("host", "print").agg(F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("regions", "sizes", "lines"))), "pages")
+    n = max(2, -(-distinct.count() // part_rows))
     ranged = distinct.repartitionByRange(n, "host", "path", "print").sortWithinPartitions("host", "path", "print")
-    #: part and place are null where the text is final; else the row is a page at the edge of a partition, for its part.
-    columns = {"host": pa.string(), "print": pa.string(), "text": pa.string(), "n_chars": pa.int64(), "part": pa.int32(), "place": pa.int64(), "asked": pa.bool_(), "path": pa.string(), "regions": pa.string(), "lines": pa.string()}
+    #: Rows with part are pages at the edge of a partition, for that part; the others are decisions.
+    columns = {"host": pa.string(), "print": pa.binary(), "kept": pa.list_(pa.bool_()), "part": pa.int32(), "place": pa.int64(), "asked": pa.bool_(), **{c: compared[c] for c in ("path", "regions", "sizes", "lines")}}
     beyond = 1 << 62
 
     def shared_start(a: str, b: str) -> int:
         return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
-    def text_of(before, here, after) -> str:  # pages are (host, print, path, regions, lines)
-        near = [x for x in (before, after) if x is not None and x[0] == here[0]]
-        best = max(near, key=lambda x: shared_start(x[2], here[2]), default=None)
-        return main_text(here[3:], best[3:] if best else None)
+    def apart(lines: bytes) -> list[bytes]:
+        return [lines[i : i + 16] for i in range(0, len(lines), 16)]
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(columns), columns.values(), strict=True)], list(columns))
+    def decision(before, here, after) -> list[tuple]:
+        """Whether each candidate of a page is kept, if not all are; pages are (host, print, path, regions, sizes, lines)."""
+        near = [x for x in (before, after) if x is not None and x[0] == here[0]]
+        if not near:
+            return []
+        best = max(near, key=lambda x: shared_start(x[2], here[2]))
+        kept, places = set(differing(here[3], here[4], apart(here[5]), apart(best[5]))), candidates(here[3])
+        return [(*here[:2], [i in kept for i in places])] if len(kept) < len(places) else []
 
-    def texts(batches):
+    def decisions(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
 
         def edge(row, to, place, asked=False):
-            return (*row[:2], None, None, to, place, asked, *row[2:])
+            return (*row[:2], None, to, place, asked, *row[2:])
 
         out: list[tuple] = []
         first = before = here = None
         count = 0
         for batch in batches:
-            for after in zip(*(batch.column(c).to_pylist() for c in ("host", "print", "path", "regions", "lines")), strict=True):
+            for after in zip(*(batch.column(c).to_pylist() for c in compared), strict=True):
                 if count == 0:  # also for the partition before, which asks it of its last page
                     first = after
                     out += [edge(after, part - 1, beyond)]
                 elif count > 1:
-                    text = text_of(before, here, after)
-                    out.append((*here[:2], text, len(text), *[None] * 6))
+                    out += [(*x, *[None] * 7) for x in decision(before, here, after)]
                 if count == 1:
                     out += [edge(first, part, 0, True), edge(after, part, 1, False)]
                 before, here, count = here, after, count + 1
                 if len(out) >= 512:
-                    yield batch_of(out)
+                    yield batch_of(out, columns)
                     out = []
         if count == 1:
             out.append(edge(first, part, 0, True))
@@ -236,26 +310,27 @@ def extract_text(pages: DataFrame, part_rows: int = 2_000) -> DataFrame:
             out += [edge(before, part, count - 2), edge(here, part, count - 1, True)]
         if count:
             out.append(edge(here, part + 1, -1))
-        yield batch_of(out)
+        yield batch_of(out, columns)
 
     def at_edges(key, table):
         rows: dict = {}
         for r in sorted(table.to_pylist(), key=lambda r: (r["place"], r["asked"])):
             rows[r["place"]] = r  # of a page that came twice the asked one
         rows = list(rows.values())
-        held = [tuple(r[c] for c in ("host", "print", "path", "regions", "lines")) for r in rows]
+        held = [tuple(r[c] for c in compared) for r in rows]
         out = []
         for i, r in enumerate(rows):
             if r["asked"]:
-                text = text_of(held[i - 1] if i else None, held[i], held[i + 1] if i + 1 < len(held) else None)
-                out.append((*held[i][:2], text, len(text)))
-        return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(list(columns.values())[:4])], names=list(columns)[:4])
+                out += decision(held[i - 1] if i else None, held[i], held[i + 1] if i + 1 < len(held) else None)
+        return pa.Table.from_batches([batch_of(out, {c: columns[c] for c in ("host", "print", "kept")})])
 
     # partitions of a range exchange have rows, but for the last ones: each is bounded by a key that it holds
-    result = "host string, print string, text string, n_chars long"
-    found = written(ranged.mapInArrow(texts, f"{result}, part int, place long, asked boolean, path string, regions string, lines string"), "texts")
-    edges = found.where("part is not null").drop("text", "n_chars").groupBy("part").applyInArrow(at_edges, result)
-    text = found.where("part is null").select("host", "print", "text", "n_chars").unionByName(edges)
-    final = whole.where("print is null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    paired = whole.where("print is not null").drop("text").join(text, ["host", "print"])
-    return final.unionByName(paired.select("page_id", "url", "text", "n_chars"))
+    result = "host string, print binary, kept array<boolean>"
+    found = written(ranged.mapInArrow(decisions, f"{result}, part int, place long, asked boolean, path string, regions string, sizes array<int>, lines binary"), "decisions")
+    edges = found.where("part is not null").drop("kept").groupBy("part").applyInArrow(at_edges, result)
+    differ = written(found.where("part is null").select("host", "print", "kept").unionByName(edges), "differ")
+    whole = page.select("page_id", "url", "host", "html").mapInArrow(read, f"page_id {kind}, url string, host string, print binary, text string")
+    numbered = F.arrays_zip(F.split("text", "\n").alias("line"), F.col("kept").alias("kept"))
+    left = F.array_join(F.transform(F.filter(numbered, lambda x: x["kept"]), lambda x: x["line"]), "\n")
+    text = whole.join(differ, ["host", "print"], "left").withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(left))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -97,3 +97,63 @@ def test_copies_get_one_text(spark):
         assert {text[n] for n in [*range(20), 21]} == {"Copied words"} and text[20] == "Words of page 20"
         assert text[22] == text[23] == text[26] == "Site name\nCopied words"
         assert text[24] == "Own" and text[25] == "Words of page 25" and text[None] == "Site name" and text[28] == ""
+
+
+CARD = "<article class=card><h2>Most read</h2><p>Ten tips</p></article>"
+
+
+def test_the_difference_decides_articles_that_are_marked():
+    page = f"<main><p>Home of news</p><article><h1>Own head</h1><p>Shared words</p><p>Own words, many of them</p></article><p>Own note</p><p>Write to us</p>{CARD}</main>"
+    near = f"<main><p>Home of news</p><article><h1>Other head</h1><p>Shared words</p><p>Other words</p></article><p>Write to us</p>{CARD}</main>"
+    assert text(page, near) == "Own head\nShared words\nOwn words, many of them\nOwn note"  # an article is whole or gone
+    assert text(page) == "Home of news\nOwn head\nShared words\nOwn words, many of them\nOwn note\nWrite to us\nMost read\nTen tips"
+    assert text("<p>Site</p><main><h1>Head</h1><p>Shared</p><p>Own words</p></main>", "<main><p>Shared</p></main>") == "Head\nShared\nOwn words"
+
+
+def test_versions_of_an_article_stay_whole():
+    page = "<main><article><p>First part, which both have</p></article><article><p>Added</p></article></main>"
+    assert text(page, "<article><p>First part, which both have</p></article>") == "First part, which both have\nAdded"
+    assert text("<article><p>A</p></article>", "<article><p>A</p></article><p>More</p>") == "A"
+
+
+def test_articles_of_a_page():
+    regions, lines = decided("<p>o</p><main><p>m</p><article><p>1</p><nav>x</nav><article>1</article><p>1</p></article><article><main>2</main><p>2</p></article><p>m</p></main>")
+    assert (regions, lines.split("\n")) == ("omAaaAam", ["o", "m", "1", "1", "1", "2", "2", "m"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(0, 30))
+def test_common_lines_in_halves_are_as_many(a, b, matches):
+    found, whole = common_lines(a, b, matches), common_lines(a, b)
+    rest = iter(b)
+    assert len(found) == len(whole) and all(a[i] in rest for i in sorted(found))
+
+
+def test_common_lines_of_large_tables():
+    rng = random.Random(3)
+    a, b = (["x", *(rng.choice("01") for _ in range(20_000)), f"end {i}"] for i in range(2))  # 200 million matching pairs
+    found = common_lines(a, b)
+    rest = iter(b)
+    assert 0.75 * 20_000 < len(found) < 20_000 and all(a[i] in rest for i in sorted(found))
+
+
+def test_marked_pages_meet_their_nearest_page(spark):
+    """Each page's text is the plain version's: its neighbour by host and path, in Python."""
+    rng = random.Random(5)
+    rows = []
+    for host in range(4):
+        cards = [f"<article class=card><h2>Card {host}.{k}</h2></article>" for k in range(3)]
+        for n in range(12):
+            own = f"<h1>Head {host}.{n}</h1><p>Common words</p>" + "".join(f"<p>Own words {rng.random()} of page {n}</p>" for _ in range(rng.randint(1, 4)))
+            body = {0: f"<main><p>Site {host}</p><article>{own}</article>{cards[n % 3]}{cards[0]}</main>", 1: f"<main>{own}</main>", 2: f"<div>Site {host}</div>{own}<p>Ten tips</p>", 3: f"<div>Site {host}</div><article>{own}</article>{cards[0]}"}[rng.choice([0, 0, 1, 2, 3])]
+            rows.append((host * 100 + n, f"https://h{host}.example/{'ab'[n % 2]}/{n:02d}", f"<nav>Menu {n}</nav>{body}<footer>End</footer>"))
+    start = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), 0)
+    order = sorted(rows, key=lambda r: r[1])
+    expected = {}
+    for at, (i, url, html) in enumerate(order):
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0] // 100 == i // 100]
+        expected[i] = text(html, max(near, key=lambda r: start(r[1], url))[2])  # noqa: B023
+    assert sum(expected[i] != text(html) for i, _, html in rows) > 20
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for part_rows in (1, 5, 100):
+        assert {r["page_id"]: r["text"] for r in extract_text(pages, part_rows=part_rows).collect()} == expected
