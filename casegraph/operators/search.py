@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -40,10 +41,23 @@ def highlight(text: Column, q: str, width: int = 300, before: int = 100, within:
     return F.concat(F.when(at > 0, "...").otherwise(""), F.substring(start, at + 1, F.lit(width)), F.lit("..."))
 
 
+def _exact(weights: list[float]) -> tuple[list, int, int]:
+    """Weights as decimals with the digits and the scale that hold each of them, so that sums of hits are exact and equal ones tie.
+    Weights that take over 27 digits together stay doubles, and digits are 0."""
+    exact = [Decimal(str(w)).normalize() for w in weights]
+    if not all(w.is_finite() for w in exact):
+        return weights, 0, 0
+    scale = max(0, *(-w.as_tuple().exponent for w in exact))
+    digits = max(1, *(w.adjusted() + 1 + scale for w in exact))
+    return (exact, digits, scale) if digits <= 27 else (weights, 0, 0)
+
+
 def token_index(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Q3. (token, key, weight): each token's hits in the fields times their weights, summed. Tokens are runs of letters
+    """Q3. (token, key, weight): each token's hits in the fields times their weights, summed exactly. Tokens are runs of letters
     and digits, lower case."""
-    parts = [docs.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)).alias("token"), F.lit(w).alias("w")) for c, w in weights.items()]
+    exact, digits, scale = _exact(list(weights.values()))
+    kind = f"decimal({digits},{scale})" if digits else "double"
+    parts = [docs.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)).alias("token"), F.lit(w).cast(kind).alias("w")) for c, w in zip(weights, exact, strict=True)]
     rows = reduce(DataFrame.unionByName, parts)
     if stop_words:
         rows = rows.where(~F.col("token").isin(*stop_words))
@@ -51,9 +65,10 @@ def token_index(docs: DataFrame, weights: dict[str, float], key: str = "doc_id",
 
 
 def ranked_search(index: DataFrame, terms: list[str], key: str = "doc_id", k: int = 20) -> DataFrame:
-    """Q3. The k documents whose tokens for the terms weigh most, with how many terms they have."""
+    """Q3. The k documents whose tokens for the terms weigh most, with how many terms they have. Decimal weights are summed
+    before they become a double."""
     hits = index.where(F.col("token").isin([t.lower() for t in terms]))
-    return hits.groupBy(key).agg(F.sum("weight").alias("score"), F.count("*").alias("terms")).orderBy(F.col("terms").desc(), F.col("score").desc(), key).limit(k)
+    return hits.groupBy(key).agg(F.sum("weight").cast("double").alias("score"), F.count("*").alias("terms")).orderBy(F.col("terms").desc(), F.col("score").desc(), key).limit(k)
 
 
 #: What a hit in a title, a number and the text of a document weighs.
@@ -70,10 +85,13 @@ _FILE_BYTES, _GROUP_WORDS = 8 << 20, 1 << 20
 
 def _postings(weights: list[float], key: str):
     """For batches of (key, the words of each field): (token, keys, weights, places), a row for each word of some documents.
-    Words are grouped by their numbers, many documents at once."""
+    Words are grouped by their numbers, many documents at once. Weights are decimals with room for 10^10 words of a document."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    exact, digits, scale = _exact(weights)
+    total = pa.decimal128(digits + 10, scale) if digits else pa.float64()
+
     def lists(start: np.ndarray, values) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.append(start, len(values)), pa.int32()), values)
 
@@ -96,9 +114,13 @@ def _postings(weights: list[float], key: str):
         start = np.flatnonzero(np.diff(order, prepend=-1))
         kind, row = np.divmod(order[start], max(1, len(batch)))
         counts = [np.add.reduceat((place >> 32 == i).astype(np.int64), start) if len(start) else start for i in range(len(weights))]
-        weight = sum(n * w for n, w in zip(counts, weights, strict=True))
+        if digits:
+            times = [pc.multiply(pa.array(n, pa.int32()).cast(pa.decimal128(10)), pa.scalar(w, pa.decimal128(digits, scale))).cast(total) for n, w in zip(counts, exact, strict=True)]
+            weight = reduce(lambda a, b: pc.add(a, b).cast(total), times)
+        else:
+            weight = pa.array(sum(n * w for n, w in zip(counts, weights, strict=True)), total)
         first = np.flatnonzero(np.diff(kind, prepend=-1))
-        held = (batch.column(0).take(pa.array(row)), pa.array(weight, pa.float64()), lists(start, pa.array(place)))
+        held = (batch.column(0).take(pa.array(row)), weight, lists(start, pa.array(place)))
         return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(kind[first])), *(lists(first, x) for x in held)], ["token", key, "weight", "places"])
 
     def run(batches):
@@ -120,7 +142,7 @@ def _each(postings: DataFrame, key: str) -> DataFrame:
 
 def store_index(docs: DataFrame, path: str, weights: dict[str, float] | None = None, key: str = "doc_id", parts: int = 64) -> None:
     """Q3. Writes an index of docs (key and the fields of weights) below path: postings (token, and of some documents that
-    have it the keys, weights and places: number of the field times 2^32 and of the token there, both from 0) and
+    have it the keys, exact weights and places: number of the field times 2^32 and of the token there, both from 0) and
     frequencies (token, documents), in folders by a hash of the token.
 
     Words are grouped where the texts are read, so what is exchanged is a row for each word of many documents. Rows are
@@ -132,7 +154,9 @@ def store_index(docs: DataFrame, path: str, weights: dict[str, float] | None = N
     keys = docs.groupBy(key).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
     asked = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     words = docs.select(key, *(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+").alias(f"_{i}") for i, c in enumerate(weights)))
-    rows = words.mapInArrow(_postings(list(weights.values()), key), f"token string, {key} array<{kind}>, weight array<double>, places array<array<long>>")
+    _, digits, scale = _exact(list(weights.values()))
+    weight = f"decimal({digits + 10},{scale})" if digits else "double"
+    rows = words.mapInArrow(_postings(list(weights.values()), key), f"token string, {key} array<{kind}>, weight array<{weight}>, places array<array<long>>")
     if asked["most"] > 1:
         both = _each(rows, key).groupBy("token", key).agg(F.sum("weight").alias("weight"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
         rows = both.select("token", *(F.array(c).alias(c) for c in (key, "weight", "places")))

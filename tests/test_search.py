@@ -98,6 +98,22 @@ def test_rows_of_one_key_are_one_document(spark):
     assert Q.postings_of(spark, path, ["a"], "frequencies").first()["documents"] == 2
 
 
+def test_equal_scores_tie(spark):
+    """Weights are summed exactly: hits of equal weight score the same, in whatever fields and order they stand."""
+    rows = [(3, "b", None, "a"), (1, None, "a b a", None), (2, "a", None, "b"), (4, None, "b b b", "a"), (5, None, None, "a b b b b b b")]
+    fields, weights = ("title", "doc_number", "raw_content"), {"title": 1.0, "doc_number": 0.4, "raw_content": 0.2}
+    docs, path = spark.createDataFrame(rows, "doc_id long, title string, doc_number string, raw_content string"), new_path(spark, "index")
+    Q.store_index(docs.repartition(3), path, weights, parts=2)
+    expected = [(4, 1.4, 2), (5, 1.4, 2), (1, 1.2, 2), (2, 1.2, 2), (3, 1.2, 2)]
+    assert [tuple(r) for r in Q.search_index(spark, path, ["a", "b"]).collect()] == expected
+    assert [tuple(r) for r in Q.ranked_search(Q.token_index(docs, weights), ["a", "b"]).collect()] == expected
+    for odd in ((1.0, 1e-30, 0.2), (2, 100.0, 1 / 300)):  # more digits than a decimal has; no fractions and long ones
+        path = new_path(spark, "index")
+        Q.store_index(docs, path, dict(zip(fields, odd, strict=True)), parts=2)
+        got = {r["doc_id"]: r["score"] for r in Q.search_index(spark, path, ["a", "b"]).collect()}
+        assert got.keys() == {1, 2, 3, 4, 5} and all(math.isclose(got[d], sum(w * len(words(f)) for f, w in zip(x, odd, strict=True))) for d, *x in rows)
+
+
 def test_texts_of_files(spark, tmp_path):
     (tmp_path / "a1.txt").write_text("first\nline two\n")
     (tmp_path / "b.c.pdf.txt").write_text("Å")
