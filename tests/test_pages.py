@@ -127,6 +127,19 @@ def test_tags_are_neither_exchanged_nor_sorted(spark):
     assert got == [row for row in one for _ in range(2)] and tokens.where("page_id <> 1").count() == 0
 
 
+def test_what_pages_make_is_not_broadcast(spark):
+    """However small their file, the titles and lists of all pages are not sent to the driver, and pages are read once for both."""
+    rows = [(1, '<h1>Remissinstanser</h1><h1>B</h1><a href="/contentassets/x/lista.pdf">Sändlista</a><a href="/contentassets/x/k.pdf">Kalmar</a> 2025-04-07'), (2, '<a href="/contentassets/x/k.pdf">Kalmar</a><h1>C</h1>'), (3, "<h1>D</h1>"), (3, "<h1>D</h1>"), (4, None), (None, "<h1>E</h1>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    found, answers = G.parse_consultation_page(pages, G.page_tokens(pages))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MapInArrow ") == 1
+    base = "https://www.regeringen.se/contentassets/x/"
+    got = sorted((str(r["page_id"]), str(r["deadline"]), r["title"], r["invitees_url"]) for r in found.collect())
+    assert got == [("1", "2025-04-07", "Remissinstanser", f"{base}lista.pdf"), ("2", "None", "C", None), ("3", "None", "D", None), ("3", "None", "D", None), ("4", "None", None, None), ("None", "None", None, None)]
+    assert sorted((r["page_id"], r["url"]) for r in answers.collect()) == [(1, f"{base}k.pdf"), (2, f"{base}k.pdf")]
+
+
 def test_a_listed_name_is_made_normal_in_one_place(spark):
     names = G.parse_numbered_list(spark.createDataFrame([("a", "1. Almega\n2\nBorås hamns")], "id string, text string"))[0]
     assert names._jdf.queryExecution().optimizedPlan().toString().count("AP[") == 1
